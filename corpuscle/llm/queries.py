@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, html_text, simhash, toxicity, url_filter
 from .common import table
 
+#: The rules that op3_url_filter applies.
+URL_RULES = (
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+)
+
+
+def op3_url_filter(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
 
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_html_text(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_exact_dedup, op8_toxicity, op9_html_text, op10_simhash)}
 
 ORACLE_SQL = {
+    "op3_url_filter": """
+        WITH rules(r_host, r_path, r_verdict) AS (
+            VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+        ), cut AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parts AS (
+            SELECT page_id,
+                   translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        ), fits AS (
+            SELECT page_id, host, path, r_host || r_path AS rule, r_verdict,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(r_host || r_path) DESC NULLS LAST, length(r_host) DESC) AS k
+            FROM parts LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+        )
+        SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM fits WHERE k = 1
+    """,
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
