@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, simhash, toxicity, url_filter
+from . import exact_dedup, html_text, mixing, packing, simhash, token_files, toxicity, url_filter
 from .common import table
 
 #: The rules that op3_url_filter applies.
@@ -14,6 +14,14 @@ URL_RULES = (
 )
 
 
+def op1_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), keep_copy=True)
+
+
 def op3_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -22,6 +30,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,9 +46,32 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_exact_dedup, op8_toxicity, op9_html_text, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_url_filter, op4_exact_dedup, op6_token_files, op8_toxicity, op9_html_text, op10_simhash)}
 
 ORACLE_SQL = {
+    "op2_mixing": """
+        WITH sizes AS (
+            SELECT source, coalesce(sum(length(text)), 0)::DOUBLE AS chars FROM documents GROUP BY source
+        ), totals AS (
+            SELECT sum(chars) AS chars, sum(pow(chars, 0.7)) FILTER (chars > 0) AS weight FROM sizes
+        ), rates AS (
+            SELECT source, CASE WHEN s.chars > 0 THEN pow(s.chars, 0.7) / t.weight * t.chars / s.chars ELSE 1.0 END AS rate
+            FROM sizes s, totals t
+        ), cdf AS (
+            SELECT source, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+            FROM rates, range(0, 200) x(k)
+        ), listed AS (
+            SELECT source, list(c) AS cs FROM cdf GROUP BY source
+        ), drawn AS (
+            SELECT d.*, cs, ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u
+            FROM documents d JOIN listed l ON d.source IS NOT DISTINCT FROM l.source
+        ), counted AS (
+            SELECT * EXCLUDE (cs, u), len(list_filter(cs, lambda c: c <= u)) AS n FROM drawn
+        ), copies AS (
+            SELECT * EXCLUDE (n), unnest(range(0, n))::INT AS copy FROM counted WHERE n > 0
+        )
+        SELECT *, md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || copy || '|order') AS shuffle_key FROM copies
+    """,
     "op3_url_filter": """
         WITH rules(r_host, r_path, r_verdict) AS (
             VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
