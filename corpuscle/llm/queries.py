@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, packing, simhash, token_files, toxicity, url_filter
+from . import exact_dedup, html_text, language_model, mixing, packing, simhash, token_files, toxicity, url_filter, vector_graph
 from .common import table
 
 #: The rules that op3_url_filter applies.
@@ -30,10 +30,18 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_graph(spark, sf_dir):
+    return vector_graph.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_files(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +54,7 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_url_filter, op4_exact_dedup, op6_token_files, op8_toxicity, op9_html_text, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_url_filter, op4_exact_dedup, op5_vector_graph, op6_token_files, op7_language_model, op8_toxicity, op9_html_text, op10_simhash)}
 
 ORACLE_SQL = {
     "op2_mixing": """
