@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Replacements of the cleaning rules, in the order in which they apply.
 _CLEAN = (
@@ -49,7 +50,7 @@ def decode_entities(text: Column) -> Column:
     return _replaced(text, _ENTITIES)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_all_entities(text: pd.Series) -> pd.Series:
     """One level of every numeric and named entity; unknown ones stay."""
     pattern = r"&#?\w+;"
