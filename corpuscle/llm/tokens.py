@@ -20,12 +20,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
 
 
-class _Cache(dict):
-    def __init__(self, fill) -> None:
-        self.fill = fill
+class _Numbers(dict):
+    """Numbers words as they are met; those met for the first time wait in new."""
 
-    def __missing__(self, key):
-        value = self[key] = self.fill(key)
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = len(self)
+        self.new.append(word)
         return value
 
 
@@ -33,8 +36,9 @@ class Encoder:
     """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them, with special tokens' strings read as text.
 
     Byte-level BPE splits a text before each single space between two non-blanks, whatever stands around; the ids
-    of such a stretch are therefore the same wherever it occurs, and are looked up. Texts with any other blank
-    beside a space go to the library as a whole.
+    of such a stretch are therefore the same wherever it occurs, and are looked up. Stretches met for the first
+    time are encoded together: letters after a space are a piece of their own, whose first id, and no other,
+    is one that starts with a space. Texts with any other blank beside a space go to the library as a whole.
     """
 
     def __init__(self, path: str, pattern: str, cached: int = CACHED) -> None:
@@ -45,48 +49,91 @@ class Encoder:
         self.model = self.tokenizer.model
         self.split = regex.compile(pattern).findall
         self.letters = _byte_letters()
+        space = self.letters[0x20]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_start = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_start[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        self.marks = {c: self._piece(c) for c in ",.;:!?"}
         self.cached = cached
         self.clear()
 
     def clear(self) -> None:
-        self.words = _Cache(self._stretch)
-        self.pieces = _Cache(self._piece)
+        self.words = _Numbers()
+        self.pieces: dict[str, bytes] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
         self.lens = np.zeros(1 << 12, np.int64)
-        self.used = self.count = 0
+        self.used = 0
 
     def _piece(self, piece: str) -> bytes:
-        """The ids of a piece as unsigned 32-bit numbers; bytes take a fraction of a list's memory."""
+        """The ids of one piece as unsigned 32-bit numbers; bytes take a fraction of a list's memory."""
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([self.pieces[p] for p in self.split(text)]), np.uint32)
-
-    def _stretch(self, word: str) -> int:
-        """The number under which the ids of a space and word are kept; -1 if a blank stands at either end."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return -1
-        ids = self._ids(" " + word)
+    def _any(self, text: str) -> bytes:
+        """The ids of a text that is split by the pattern."""
+        out = []
+        for piece in self.split(text):
+            if piece not in self.pieces:
+                self.pieces[piece] = self._piece(piece)
+            out.append(self.pieces[piece])
+        return b"".join(out)
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        """Encodes words of letters only, each with a space before it, in one call."""
+        ids = np.array(self.tokenizer.encode(" " + " ".join(stems), add_special_tokens=False).ids, np.uint32)
+        at = np.flatnonzero(self.is_start[ids])
+        if len(at) == len(stems):
+            data, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
+            for stem, a, b in zip(stems, (at * 4).tolist(), ends):
+                self.pieces[" " + stem] = data[a:b]
+        else:
+            for stem in stems:
+                self.pieces[" " + stem] = self._piece(" " + stem)
+
+    def _learn(self, words: list[str]) -> None:
+        """Keeps the ids of a space and each word; a word with a blank at either end has length -1."""
+        stems = [w if w.isalpha() else w[:-1] if w[-1:] in self.marks and w[:-1].isalpha() else "" for w in words]
+        fresh = [s for s in dict.fromkeys(stems) if s and " " + s not in self.pieces]
+        if fresh:
+            self._learn_stems(fresh)
+        found: list[bytes] = []
+        lens: list[int] = []
+        for word, stem in zip(words, stems):
+            if stem:
+                data = self.pieces[" " + stem]
+                if len(stem) < len(word):
+                    data += self.marks[word[-1]]
+            elif not word or word[0].isspace() or word[-1].isspace():
+                lens.append(-1)
+                continue
+            else:
+                data = self._any(" " + word)
+            found.append(data)
+            lens.append(len(data) // 4)
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.array(lens, np.int64)
+        taken = np.maximum(sizes, 0)
+        first, end = len(self.words) - len(words), len(self.words)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        if self.count == len(self.starts):
+        while end > len(self.starts):
             self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[self.count], self.lens[self.count] = self.used, len(ids)
+        self.starts[first:end], self.lens[first:end] = self.used + np.cumsum(taken) - taken, sizes
         self.used += len(ids)
-        self.count += 1
-        return self.count - 1
 
     def encode(self, text: str) -> np.ndarray:
         first, *words = text.split(" ")
         if len(self.words) > self.cached or len(self.pieces) > self.cached:
             self.clear()
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if not first or first[-1].isspace() or first[0].isspace() or (len(at) and at.min() < 0):
+        if self.words.new:
+            new, self.words.new = self.words.new, []
+            self._learn(new)
+        lens = self.lens[at]
+        if not first or first[-1].isspace() or first[0].isspace() or (len(lens) and lens.min() < 0):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        head = self._ids(first)
-        return np.concatenate([head, self.flat[ragged(self.starts[at], self.lens[at])]])
+        return np.concatenate([np.frombuffer(self._any(first), np.uint32), self.flat[ragged(self.starts[at], lens)]])
 
 
 _encoders: dict[str, Encoder] = {}
