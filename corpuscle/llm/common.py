@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,30 +68,57 @@ def id_bitmap(ids: DataFrame, key: str, expected: int) -> tuple[DataFrame, int]:
     return rows, log2_bits
 
 
-def maybe_in(df: DataFrame, key: str, ids: DataFrame, ids_key: str, expected: int) -> DataFrame:
-    """df with boolean _maybe: false only for rows whose key is surely not among ids. No shuffle of df."""
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df already has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: Iterable[str]) -> list[str]:
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, ids_key: str, expected: int) -> tuple[DataFrame, str]:
+    """df with a new boolean column, and its name: false only where the key is surely not among ids. df isn't shuffled."""
     rows, log2_bits = id_bitmap(ids, ids_key, expected)
-    marked = df.withColumn("_b", _bit(F.col(key), log2_bits)).withColumn("_row", F.shiftright("_b", 15))
-    joined = marked.join(F.broadcast(rows), "_row", "left")
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_b % {BITS_PER_ROW}) / 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("shiftright(_byte, cast(_b % 8 as int)) & 1") == 1
-    return (
-        joined.withColumn("_byte", byte)
-        .withColumn("_maybe", F.coalesce(hit, F.lit(False)))
-        .drop("_b", "_row", "_bits", "_byte")
-    )
+    bit, row, bits, maybe = fresh(df, "_b", "_row", "_bits", "_maybe")
+    rows = rows.withColumnsRenamed({"_row": row, "_bits": bits})
+    marked = df.withColumn(bit, _bit(F.col(key), log2_bits)).withColumn(row, F.shiftright(bit, 15))
+    joined = marked.join(F.broadcast(rows), row, "left")
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast(({bit} % {BITS_PER_ROW}) / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr(f"cast(power(2, {bit} % 8) as int)")) != 0
+    return joined.withColumn(maybe, F.coalesce(hit, F.lit(False))).select(*quoted(df.columns), maybe), maybe
 
 
 def without_ids(df: DataFrame, key: str, ids: DataFrame, ids_key: str) -> DataFrame:
     """Rows of df whose key is not among ids (nulls equal nulls). Only rows that hit a bounded bitmap are shuffled."""
-    ids = ids.select(F.col(ids_key).alias("_drop"))
+    (drop,) = fresh(df, "_drop")
+    ids = ids.select(F.col(ids_key).alias(drop))
     n = ids.count()
     if n == 0:
         return df
-    marked = maybe_in(df, key, ids, "_drop", n)
-    sure = marked.filter(~F.col("_maybe")).drop("_maybe")
-    rest = marked.filter("_maybe").drop("_maybe")
-    return sure.unionByName(rest.join(ids, F.col(key).eqNullSafe(F.col("_drop")), "left_anti"))
+    marked, maybe = maybe_in(df, key, ids, drop, n)
+    rest = marked.where(maybe).drop(maybe)
+    return marked.where(~F.col(maybe)).drop(maybe).unionByName(rest.join(ids, F.col(key).eqNullSafe(F.col(drop)), "left_anti"))
+
+
+#: Rows and bytes of text that a Python function works on at a time, whatever the size of an Arrow batch.
+SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts; what Arrow has freed goes back to the system in between, as many workers share a machine."""
+    for batch in batches:
+        step = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+        pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

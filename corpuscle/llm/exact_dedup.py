@@ -72,10 +72,10 @@ def _hash_texts(primes):
 def _hash_slices(primes):
     def run(batches):
         for batch in batches:
-            slices = [x or b"" for x in batch.column("piece").to_pylist()]
-            sums = [[polynomial(x, p)[0] for x in slices] for p in primes]
+            pieces = [x or b"" for x in batch.column("piece").to_pylist()]
+            sums = [[polynomial(x, p)[0] for x in pieces] for p in primes]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("no"), pa.array(map(len, slices), pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64())],
+                [batch.column("uid"), batch.column("no"), pa.array(map(len, pieces), pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64())],
                 ["uid", "no", "n", "f1", "f2"],
             )
 
@@ -119,8 +119,8 @@ def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int =
     large = base.where(F.octet_length("text") > huge).select(
         "doc_id", F.monotonically_increasing_id().alias("uid"), F.sha2("text", 256).alias("text_sha256"), F.encode("text", "UTF-8").alias("bytes")
     )
-    slices = _explode_pieces(large, max(1, huge // 16), "uid").repartition("uid", "no")
-    hashed = slices.mapInArrow(_hash_slices(primes), "uid long, no int, n long, f1 long, f2 long")
+    cut = _explode_pieces(large, max(1, huge // 16), "uid").repartition("uid", "no")
+    hashed = cut.mapInArrow(_hash_slices(primes), "uid long, no int, n long, f1 long, f2 long")
     whole = (
         hashed.groupBy("uid")
         .agg(F.collect_list(F.struct("no", "n", "f1", "f2")).alias("parts"))
@@ -135,10 +135,10 @@ _KEY = ["n_bytes", "f1", "f2", "cls"]
 def _differing(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
     """Members of groups whose text differs from that of the row that would stay: chunk against chunk."""
     members = stage(prints.join(groups.select(*_KEY, "rep"), _KEY).select("doc_id", "text_sha256", *_KEY, "rep"), "members")
-    near = maybe_in(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", members, "doc_id", members.count())
+    near, maybe = maybe_in(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", members, "doc_id", members.count())
     told = members.withColumnRenamed("doc_id", "member_id").distinct()
     texts = (
-        near.where("_maybe")
+        near.where(maybe)
         .join(told, F.col("doc_id").eqNullSafe(F.col("member_id")) & (F.sha2("text", 256) == F.col("text_sha256")))
         .select("doc_id", "text_sha256", *_KEY, "rep", F.encode("text", "UTF-8").alias("bytes"))
     )

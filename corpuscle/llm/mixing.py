@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, quoted, stage
 
 SEED = 17
 #: Weights follow a source's size to this power unless they are given.
@@ -70,17 +70,19 @@ def mix(
     each. Rows are dealt out by a hash of (seed, doc_id, copy) and sorted by it: a shuffle of the whole corpus
     for which one pass suffices. keep_copy adds columns copy (from 0) and shuffle_key.
     """
+    named, cdf, u, n_copies, copy, key = fresh(docs, "_source", "_cdf", "_u", "_n", "_copy", "_key")
     rates = stage(source_rates(docs, weights, epochs, temperature).mapInPandas(_with_cdf, "_source string, _cdf array<double>"), "rates")
     few = rates.count() <= local_sources
+    rates = rates.select(F.col("_source").alias(named), F.col("_cdf").alias(cdf))
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), id_text).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    joined = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("_source")))
-    counted = joined.withColumn("_u", drawn).withColumn("_n", F.expr("size(filter(_cdf, c -> c <= _u))")).drop("_cdf", "_u", "_source")
-    copies = counted.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), id_text, F.col("_copy").cast("string"), F.lit("order")).cast("binary"))
-    shuffled = copies.withColumn("_key", key)
+    joined = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col(named)))
+    counted = joined.withColumn(u, drawn).withColumn(n_copies, F.expr(f"size(filter({cdf}, c -> c <= {u}))")).where(F.col(n_copies) > 0)
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1))).select(*quoted(docs.columns), copy)
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), id_text, F.col(copy).cast("string"), F.lit("order")).cast("binary"))
+    shuffled = copies.withColumn(key, order)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shuffled = shuffled.repartition(n, "_key").sortWithinPartitions("_key")
+    shuffled = shuffled.repartition(n, key).sortWithinPartitions(key)
     if keep_copy:
-        return shuffled.withColumnRenamed("_copy", "copy").withColumnRenamed("_key", "shuffle_key")
-    return shuffled.select(*docs.columns)
+        return shuffled.select(*quoted(docs.columns), F.col(copy).alias("copy"), F.col(key).alias("shuffle_key"))
+    return shuffled.select(*quoted(docs.columns))
