@@ -40,6 +40,14 @@ def test_pair_window_holds_the_word(spark):
     assert {r.word2 for r in found.collect()} == set("abcd")
 
 
+def test_pairs_of_long_documents(spark):
+    rows = docs(spark, "a b a b c", "a b", "", "a  b a")
+    found = [sorted(tuple(r) for r in windows.cooccurrence(rows, 4, 1, 1, at_once=n).collect()) for n in (1, 5, 1 << 20)]
+    assert found[0] == found[1] == found[2]
+    only = windows.cooccurrence(rows, 4, 1, 1, words(spark, "a", "b"))
+    assert {(r.word, r.word2) for r in only.collect()} == {(x, y) for x in "ab" for y in "ab"}
+
+
 def test_pmi(spark):
     pairs = spark.createDataFrame([("a", "a", 2, 1), ("a", "b", 1, 1), ("b", "a", 1, 1)], "word string, word2 string, cooc long, docs long")
     found = {(r.word, r.word2): r.pmi for r in windows.pmi(pairs).collect()}
