@@ -16,17 +16,33 @@ from pyspark.sql import functions as F
 BITS_PER_ROW = 32768
 
 
+_own_dirs: dict[str, str] = {}
+_roots: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpuscle-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="corpuscle-"))
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}-{label}"
+    """A new path in the application's part of the shared folder, which goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = f"{shared_dir(spark)}/llm-{app}-{uuid.uuid4().hex[:8]}"
+        system, target = _file_system(spark, _roots[app])
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+    return f"{_roots[app]}/{uuid.uuid4().hex}-{label}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -42,10 +58,9 @@ def release(df: DataFrame) -> None:
     """Deletes a stage table that no later plan reads."""
     path = getattr(df, "_stage_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        with contextlib.suppress(Exception):
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        with contextlib.suppress(Exception):  # what stays goes with the application
+            system, target = _file_system(df.sparkSession, path)
+            system.delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
