@@ -153,4 +153,9 @@ ORACLE_SQL = {
     "format_sparse_vector": f"WITH {_VECTORS} SELECT head || chr(9) || string_agg(feature || ':' || cnt, chr(9) ORDER BY feature) AS value FROM vectors GROUP BY head",
     "authors": f"WITH {_REVISIONS} SELECT title, CASE WHEN anon AND usr = '10.0.0.1' THEN 'ANONIPEDITS' ELSE usr END AS author, count(*) AS n_edits FROM revisions WHERE (anon AND usr = '10.0.0.1') OR NOT regexp_matches(usr, '(?i)bot') GROUP BY ALL",
     "size_changes": f"WITH {_REVISIONS} SELECT title, revid, abs(size - coalesce(lag(size) OVER (PARTITION BY title ORDER BY revid), 0)) AS diff_size FROM revisions",
+    "expressions": "SELECT p_partkey, (p_size * 2 + 3 - (1 < p_size)::INT)::DOUBLE AS value FROM part",
+    "collection_items": "SELECT c_nationkey::VARCHAR AS page, c_mktsegment AS chapter, c_name AS title FROM customer",
+    "overlay_docs": "SELECT doc_id::VARCHAR AS title, md5(CASE WHEN lang = 'de' THEN '+' || text ELSE text END) AS digest FROM documents",
+    "stream_term_counts": f"WITH {_TERMS} SELECT word, tf, df FROM terms",
+    "stream_windowed_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }

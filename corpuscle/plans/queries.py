@@ -6,11 +6,17 @@ pages for link graphs, events for revisions. Wikitext comes from literal pages,
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import collections, expr
 from ..functions import text as X
-from ..operators import graph, revisions, similarity, stats, windows
+from ..operators import graph, revisions, similarity, stats, trees, windows
+from ..sources import dump
+from ..streaming import counts
 
 #: Parameters that the queries and their SQL share.
 WINDOW, CONTEXT = 10, 5
@@ -327,6 +333,64 @@ def size_changes(spark, sf_dir):
     return revisions.size_changes(_revisions(spark, sf_dir)).select("title", "revid", "diff_size")
 
 
+# --- trees, collections, expressions, stores
+
+
+def tree_nodes(spark, sf_dir):
+    return trees.node_histogram(trees.node_table(_wiki(spark)))
+
+
+def tree_sections(spark, sf_dir):
+    return trees.section_table(_wiki(spark))
+
+
+def tree_plain_texts(spark, sf_dir):
+    return trees.plain_texts(_wiki(spark))
+
+
+def expressions(spark, sf_dir):
+    text = F.concat("p_size", F.lit(" * 2 + 7 mod 4 - (1 < "), "p_size", F.lit(")"))
+    return _table(spark, sf_dir, "part").select("p_partkey", expr.evaluate_expressions(text).alias("value"))
+
+
+def collection_items(spark, sf_dir):
+    """The customers of each nation as a collection: a chapter for each market segment."""
+    customers = _table(spark, sf_dir, "customer")
+    line = F.concat(F.lit(";"), "c_mktsegment", F.lit("\n:[["), "c_name", F.lit("]]"))
+    rows = customers.groupBy(F.col("c_nationkey").cast("string").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    return collections.collection_items(rows).where("kind = 'article'").select("page", "chapter", "title")
+
+
+def script_runs(spark, sf_dir):
+    return collections.script_runs(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
+def overlay_docs(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("title", "text", "lang")
+    return dump.overlay(docs, docs.where("lang = 'de'").withColumn("text", F.concat(F.lit("+"), "text"))).select("title", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def article_urls(spark, sf_dir):
+    found = X.article_of_url(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", found["title"].alias("title"))
+
+
+# --- streams
+
+
+def stream_term_counts(spark, sf_dir):
+    schema = _table(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    return counts.run_to_end(counts.term_counts(stream), f"terms_{uuid.uuid4().hex}", tempfile.mkdtemp())
+
+
+def stream_windowed_counts(spark, sf_dir):
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    found = counts.run_to_end(counts.windowed_counts(stream, "1 day"), f"windows_{uuid.uuid4().hex}", tempfile.mkdtemp())
+    return found.withColumn("total", F.round("total", 4))
+
+
 _NAMES = (
     "term_doc_freq corpus_totals min_len_docs vocab_filter stopword_removal in_degree_docs category_restriction sample_docs"
     " strip_html_pages clean_document clean_keep_punct strip_wiki extraneous_filter strict_filter redirect_flag plain_text_truncated"
@@ -335,5 +399,7 @@ _NAMES = (
     " esa_postings esa_doc_stats weight_tf weight_tfidf_mass weight_tfidf_df weight_ttest jaccard weighted_jaccard_tf"
     " weighted_jaccard_tfidf weighted_jaccard_ttest topk_neighbors random_similarity context_whitelist sense_overwrite"
     " contextual_similarity parse_sparse_vector format_sparse_vector authors size_changes"
+    " tree_nodes tree_sections tree_plain_texts expressions collection_items script_runs overlay_docs article_urls"
+    " stream_term_counts stream_windowed_counts"
 ).split()
 QUERIES = {name: globals()[name] for name in _NAMES}

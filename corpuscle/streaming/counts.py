@@ -33,7 +33,7 @@ def unseen_documents(docs: DataFrame, key: str = "text", delay: str = "1 hour")
 def windowed_counts(events: DataFrame, size: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) of events (ts, event_type, value) in windows of event time."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    grouped = events.withWatermark("ts", delay).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    grouped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
