@@ -127,17 +127,19 @@ def contextual_similarity(
     as the result has a row for each pair.
     """
     from ..functions import text as X
-    from .windows import around
+    from .windows import around, only_words
 
     rows = docs.select(X.tokens(F.col("text")).alias("w")).where(F.size("w") > min_doc_len)
     placed = rows.select("w", F.posexplode("w").alias("pos", "target"))
     targets = stats.where((F.col("df") >= min_target_df) & ~F.col("word").isin(list(stop))).select(F.col("word").alias("target"))
-    placed = placed.join(targets.distinct(), "target", "left_semi")
-    near = placed.select("target", F.explode(F.array_distinct(around(F.col("w"), F.col("pos"), size, size - 1))).alias("feature"))
+    words = targets.select(F.col("target").alias("word"))
+    placed, left = only_words(placed, words, "target", narrow=False)
+    near = placed.select("target", F.explode_outer(F.array_distinct(around(F.col("w"), F.col("pos"), size, size - 1))).alias("feature"))
+    near = near if left is None else only_words(near, left, "target", narrow=True)[0]
     counted = near.groupBy("target", "feature").agg(F.count(F.lit(1)).alias("n"))
     weighed = counted.join(stats.where(F.col("df") >= min_df).select(F.col("word").alias("feature"), "df"), "feature")
     whole = weighed.groupBy("target").agg(F.sum("n").alias("jb"), F.sum(F.col("n") / F.col("df")).alias("wb"))
-    seen = placed.select("target").distinct().join(whole, "target", "left")
+    seen = counted.select("target").distinct().join(whole, "target", "left")
     shared = weighed.join(heads.select("head", "feature").distinct(), "feature").groupBy("head", "target").agg(F.sum("n").alias("jt"), F.sum(F.col("n") / F.col("df")).alias("wt"))
     pairs = seen.crossJoin(heads.select("head").distinct()).where("head != target").join(shared, ["head", "target"], "left")
     jt, jb = F.coalesce("jt", F.lit(0)).cast("long"), F.coalesce("jb", F.lit(0)).cast("long")

@@ -35,6 +35,15 @@ def test_raw_window_is_shorter_on_the_right(spark):
     assert found.first().context == "a b c ###d### e f"
 
 
+def test_long_word_lists_wait_for_narrow_rows(spark, monkeypatch):
+    rows, heads, known = docs(spark, "a b c d e f g h a c"), words(spark, "e", "a"), words(spark, *"abcdefgh")
+    stats_ = known.withColumn("df", F.lit(9).cast("long"))
+    made = lambda: [sorted(map(tuple, x.collect())) for x in (windows.unigram_contexts(rows, heads, known, 2, min_doc_len=0), windows.raw_contexts(rows, heads, 2, min_doc_len=0), windows.gap_contexts(rows, heads, 2, min_doc_len=0), similarity.contextual_similarity(rows, vectors(spark, [("h", "b", 1)]), stats_, 2, 0, 1, 5))]
+    short = made()
+    monkeypatch.setattr(windows, "LOCAL_WORDS", 1)
+    assert made() == short and all(short)
+
+
 def test_pair_window_holds_the_word(spark):
     found = windows.cooccurrence(docs(spark, "a b c d e f"), 4, 1, 1).where("word = 'c'")
     assert {r.word2 for r in found.collect()} == set("abcd")
