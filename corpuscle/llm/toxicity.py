@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stage, utf8
+from .common import release, slices, stage, utf8
 
 #: Features are hashed to 2**BITS weights, which bounds what is sent to the executors.
 BITS = 20
@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     rows = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], "doc_id long, toxic int"))
 
     def to_features(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(x).astype("<u4").tobytes() for x in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "features"])
 
@@ -111,11 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     total, ones = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
     model = Ftrl((ones + 0.1) / (total + 1))
     if ones:
-        ordered = stage(seen.repartition(8, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id"), "ordered")
-        for _ in range(EPOCHS):
-            for row in ordered.toLocalIterator():
+        for _ in range(EPOCHS):  # always in the order of the files, a partition at a time
+            for row in seen.toLocalIterator():
                 model.learn(np.frombuffer(row.features, "<u4").astype(np.int64), int(row.toxic > 0))
-        release(ordered)
     release(seen)
     w = model.weights(np.arange((1 << BITS) + 1))
     at = np.flatnonzero(w[:-1])
@@ -149,7 +147,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
 
     def run(batches):
         score = start()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(score, utf8(batch.column("text"))), pa.float64())], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -162,7 +160,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
 
     def run(batches):
         score = start()
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([score(x) < threshold for x in utf8(batch.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
