@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from corpuscle.llm import exact_dedup, mixing, packing, simhash, toxicity
 from corpuscle.llm.common import stage, table
 
+#: Words whose ids a worker keeps: few, as packing follows other stages in the same workers.
+CACHED = 200_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -30,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 token ids."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cached=CACHED)
 
 
 STAGES = [

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -127,13 +129,22 @@ def without_ids(df: DataFrame, key: str, ids: DataFrame, ids_key: str) -> DataFr
 SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay for later stages, and many share a machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in small parts; what Arrow has freed goes back to the system in between, as many workers share a machine."""
+    """The batches in small parts; freed memory goes back to the system after each batch."""
     for batch in batches:
         step = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-        pa.default_memory_pool().release_unused()
+        del batch
+        give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -142,11 +153,6 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in out]
 
 
-def spread(df: DataFrame, n: int | None = None) -> int:
-    """Partitions for a shuffle of df's session."""
-    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices of the concatenated ranges [start, start + len)."""
     total = int(lens.sum())

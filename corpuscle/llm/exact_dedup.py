@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, release, stage, utf8, without_ids
+from .common import maybe_in, release, slices, stage, utf8, without_ids
 
 #: Two primes below 2**31 and the base of the polynomials.
 PRIMES = (2147483647, 2147483629)
@@ -52,7 +52,7 @@ def polynomial(data: bytes, prime: int) -> tuple[int, int]:
 
 def _hash_texts(primes):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column("text"))
             sums = [[polynomial(x, p)[0] for x in texts] for p in primes]
             yield pa.RecordBatch.from_arrays(
@@ -71,7 +71,7 @@ def _hash_texts(primes):
 
 def _hash_slices(primes):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             pieces = [x or b"" for x in batch.column("piece").to_pylist()]
             sums = [[polynomial(x, p)[0] for x in pieces] for p in primes]
             yield pa.RecordBatch.from_arrays(

@@ -13,6 +13,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Lines in a window, and the share of the largest window that counts as a surge.
 WINDOW, SURGE = 3, 0.2
 
@@ -177,7 +179,7 @@ def _article_id(lines, line, best: int) -> int:
 
 
 def _extract(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = [main_text(x) for x in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],

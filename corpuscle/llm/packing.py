@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
-from .tokens import encoder
+from .common import slices, stage
+from .tokens import CACHED, encoder
 
 SEQUENCE, END_ID = 1024, 0
 
@@ -65,10 +65,10 @@ def _slots(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray,
     return {k: tuple(np.array(x, np.int64) for x in zip(*v)) for k, v in out.items()}
 
 
-def _cut(path: str | None, size: int, with_ids: bool):
+def _cut(path: str | None, size: int, with_ids: bool, cached: int):
     def run(batches):
-        encode = encoder(path).encode
-        for batch in batches:
+        encode = encoder(path, cached).encode
+        for batch in slices(batches):
             rows: list[list] = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4")
@@ -86,23 +86,23 @@ def _cut(path: str | None, size: int, with_ids: bool):
     return run
 
 
-def cut_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False, cached: int = CACHED) -> DataFrame:
     """docs (doc_id, text) -> pieces (doc_id, start, length, ids_crc32, doc_tokens[, ids: little-endian uint32]).
 
     Every document, of null or empty text too, ends with id 0; it is cut every size ids.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, size, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, size, with_ids, cached), schema)
 
 
-def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False, cached: int = CACHED) -> DataFrame:
     """cut_documents' pieces with sequence_id and offset: offsets in a sequence are gapless from 0, its ids at most size.
 
     Pieces of a length are ranked by (bucket of the id, id, start); the pattern that a rank falls to gives the
     sequence and the place in it. Rows that repeat are packed each. An empty table gives no rows. The histogram,
-    at most size rows, is all that the driver sees.
+    at most size rows, is all that the driver sees. A worker keeps the ids of cached words.
     """
-    pieces = stage(cut_documents(docs, size, tokenizer, with_ids), "pieces")
+    pieces = stage(cut_documents(docs, size, tokenizer, with_ids, cached), "pieces")
     counted = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most size rows
     slots = _slots(shortest_pack_first({r.length: r.n for r in counted}, size))
     buckets = max(64, sum(r.n for r in counted) // 50_000)

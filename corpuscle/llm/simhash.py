@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stage, utf8, without_ids
+from .common import release, slices, stage, utf8, without_ids
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -42,7 +42,7 @@ def simhash(data: bytes) -> int:
 
 
 def _fingerprint(batches):
-    for batch in batches:
+    for batch in slices(batches):
         prints = np.fromiter(map(simhash, utf8(batch.column("text"))), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64), pa.int64())], ["doc_id", "fp"])
 

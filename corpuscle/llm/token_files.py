@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, slices
 from .tokens import encoder
 
 END_ID = 2
@@ -32,7 +32,7 @@ def _encode(path: str | None, end_id: int):
     def run(batches):
         encode = encoder(path).encode
         before = 0  # ids of the documents before, in this partition
-        for batch in batches:
+        for batch in slices(batches):
             sent, flat = 0, []
             for text in batch.column("text").to_pylist():
                 flat.append(np.append(encode(text or ""), np.uint32(end_id)).astype(np.int32))
@@ -85,7 +85,7 @@ def read_token_files(spark: SparkSession, path: str, only: Column | None = None)
 
 
 def _digest(batches):
-    for batch in batches:
+    for batch in slices(batches):
         ids = batch.column("ids")
         offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
         sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]

@@ -139,11 +139,12 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """The Encoder of this process for a vocabulary file (None: public_tokenizers' byte_bpe_50k.json)."""
+def encoder(path: str | None = None, cached: int = CACHED) -> Encoder:
+    """The Encoder of this process for a vocabulary file (None: public_tokenizers' byte_bpe_50k.json), keeping cached words."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     if path not in _encoders:
         _encoders[path] = Encoder(path, public_tokenizers.PATTERN)
+    _encoders[path].cached = cached
     return _encoders[path]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, stage, utf8
+from .common import give_back, release, slices, stage, utf8
 
 #: Features are hashed to 2**BITS weights, which bounds what is sent to the executors.
 BITS = 20
@@ -20,7 +20,7 @@ EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 3.0, 0.1
 THRESHOLD = 0.3
 #: First bytes of a word that are features of their own, so that unseen endings of a known stem count.
 PREFIXES = (4, 5, 6)
-CACHED = 400_000
+CACHED = 150_000
 # Odd multipliers that mix word hashes into features.
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 #: ASCII letters in lower case, digits as they are; other ASCII becomes a blank. Bytes of other scripts stay.
@@ -31,6 +31,10 @@ class _WordNumbers(dict):
     """Numbers words as they are met; hashes holds, for each, the hash of the word and of its first bytes."""
 
     def __init__(self) -> None:
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
         self.hashes = np.zeros((1 << 12, 1 + len(PREFIXES)), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
@@ -45,6 +49,12 @@ class _WordNumbers(dict):
 _numbers = _WordNumbers()
 
 
+def _forget() -> None:
+    """At the end of a task: the worker may run other stages next."""
+    _numbers.restart()
+    give_back()
+
+
 def features(data: bytes, weighted: np.ndarray | None = None) -> np.ndarray:
     """Distinct feature numbers of a text: words and their first bytes, pairs of neighbours, pairs with one word between.
 
@@ -52,7 +62,7 @@ def features(data: bytes, weighted: np.ndarray | None = None) -> np.ndarray:
     """
     words = data.translate(_WORDS).split()
     if len(_numbers) > CACHED:
-        _numbers.clear()
+        _numbers.restart()
     at = np.fromiter(map(_numbers.__getitem__, words), np.int64, len(words))
     own = _numbers.hashes[at]
     h = own[:, 0]
@@ -106,6 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
         for batch in slices(batches):
             found = [features(x).astype("<u4").tobytes() for x in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "features"])
+        _forget()
 
     seen = stage(docs.select("doc_id", "text").join(rows, "doc_id").mapInArrow(to_features, "doc_id long, toxic int, features binary"), "features")
     total, ones = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
@@ -149,6 +160,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
         score = start()
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(score, utf8(batch.column("text"))), pa.float64())], ["doc_id", "score"])
+        _forget()
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -162,5 +174,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
         score = start()
         for batch in slices(batches):
             yield batch.filter(pa.array([score(x) < threshold for x in utf8(batch.column("text"))], pa.bool_()))
+        _forget()
 
     return docs.mapInArrow(run, docs.schema)
