@@ -113,6 +113,31 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame, ids_key: str, expected: in
     return joined.withColumn(maybe, F.coalesce(hit, F.lit(False))).select(*quoted(df.columns), maybe), maybe
 
 
+def without_rows(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """docs without the listed (doc_id, text_sha256, one: boolean): all rows of that id and text go, or all but one of them.
+
+    A row is told by its id and text together, so ids that are null or repeat take no other text along. Null text
+    counts as empty. Only rows that hit a bounded bitmap are shuffled.
+    """
+    key, theirs, one, row = fresh(docs, "_key", "_theirs", "_one", "_whole")
+
+    def told(sha):
+        return F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha)
+
+    listed = stage(listed.select(told(F.col("text_sha256")).alias(theirs), F.col("one").alias(one)), "listed")
+    n, ones = listed.agg(F.count(F.lit(1)), F.count_if(F.col(one))).first()
+    if n == 0:
+        return docs
+    marked, maybe = maybe_in(docs.withColumn(key, told(F.sha2(F.coalesce("text", F.lit("")), 256))), key, listed, theirs, n)
+    columns = quoted(docs.columns)
+    rest = marked.where(maybe)
+    out = marked.where(~F.col(maybe)).select(*columns).unionByName(rest.join(listed, F.col(key) == F.col(theirs), "left_anti").select(*columns))
+    if ones:
+        single = rest.join(listed.where(one), F.col(key) == F.col(theirs), "left_semi").groupBy(key).agg(F.any_value(F.struct(*columns)).alias(row))
+        out = out.unionByName(single.select(*[F.col(row)[c].alias(c) for c in docs.columns]))
+    return out
+
+
 def without_ids(df: DataFrame, key: str, ids: DataFrame, ids_key: str) -> DataFrame:
     """Rows of df whose key is not among ids (nulls equal nulls). Only rows that hit a bounded bitmap are shuffled."""
     (drop,) = fresh(df, "_drop")

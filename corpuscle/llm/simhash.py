@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations, repeat
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, stage, utf8, without_ids
+from .common import maybe_in, release, slices, stage, utf8, without_rows
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -102,8 +103,138 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The stage's rule: words in a shingle, and the least share of shingles in common, in tenths.
+STAGE_SHINGLE, TENTHS = 5, 8
+#: Bands of minima over random orders of the shingles, and minima in a band: texts of similarity 0.8 share none with odds of 4 in 10,000.
+BANDS, ROWS = 20, 5
+#: Texts that each text of a band's bucket is compared with, where the bucket holds over PAIRED.
+LEADERS = 8
+_rng = np.random.default_rng(17)
+_FACTORS = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDED = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(data: bytes, width: int = STAGE_SHINGLE) -> np.ndarray:
+    """The distinct hashes of runs of width words (all words if fewer), sorted."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(each) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(width, len(each))):
+        out = out * _MIX + each[k : k + n]
+        out ^= out >> np.uint64(29)
+    return np.unique(out * _MIX)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A key for each band; none without shingles."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12)] * _FACTORS + _ADDED).min(axis=1))
+    keys = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64).tolist()
+
+
+def _sign(batches):
+    for batch in slices(batches):
+        texts = utf8(batch.column("text"))
+        prints = np.fromiter(map(simhash, texts), np.uint64, len(texts))
+        columns = [
+            batch.column("doc_id"),
+            pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
+            pa.array(prints.view(np.int64), pa.int64()),
+            pa.array([bands(shingles(x)) for x in texts], pa.list_(pa.int64())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_sha256", "fp", "bands"])
+
+
+def _shingle_sets(batches):
+    for batch in slices(batches):
+        sets = [shingles(x).view(np.int64) for x in utf8(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("sha"), pa.array(sets, pa.list_(pa.int64()))], ["sha", "shingles"])
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """nodes (node, bands) -> pairs (a, b) that share a band. In buckets of over PAIRED each node meets LEADERS of them."""
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    full = stage(
+        rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band_buckets"
+    )
+    shared = stage(rows.join(full, ["band", "key"]), "band_shared")
+    few = shared.where(F.col("size") <= PAIRED)
+    pairs = few.select("band", "key", F.col("node").alias("a")).join(few.select("band", "key", F.col("node").alias("b")), ["band", "key"]).where("a < b")
+    many = shared.where(F.col("size") > PAIRED)
+    # The smallest of each of LEADERS shares of a bucket, so that no task sorts a bucket.
+    leaders = stage(many.groupBy("band", "key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("share")).agg(F.min("node").alias("b")), "leaders")
+    led = many.select("band", "key", F.col("node").alias("a")).join(leaders.select("band", "key", "b"), ["band", "key"]).where("a != b")
+    both = pairs.select("a", "b").union(led.select(F.least("a", "b"), F.greatest("a", "b")))
+    return both.distinct()
+
+
+def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """docs (text), nodes (node, text_sha256, bands) -> links (a, b) of nodes whose shingle sets' Jaccard similarity is TENTHS/10 or more.
+
+    Candidates share a band; each is verified on the whole sets of both texts.
+    """
+    pairs = stage(_candidates(nodes), "candidates")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = stage(nodes.join(ends, "node").select("node", "text_sha256"), "wanted")
+    n = wanted.count()
+    if n == 0:
+        return pairs
+    text = F.coalesce("text", F.lit(""))
+    near, maybe = maybe_in(docs.select(text.alias("text"), F.sha2(text, 256).alias("sha")), "sha", wanted, "text_sha256", n)
+    sets = near.where(maybe).mapInArrow(_shingle_sets, "sha string, shingles array<long>")
+    sets = stage(
+        sets.join(wanted, F.col("sha") == F.col("text_sha256")).groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingles"
+    )
+    told = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    common = F.size(F.array_intersect("x", "y"))
+    links = told.where((10 + TENTHS) * common >= TENTHS * (F.size("x") + F.size("y"))).select("a", "b")
+    links = stage(links, "similar")
+    for old in (pairs, wanted, sets):
+        release(old)
+    return links
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; all columns stay."""
-    found = near_duplicates(docs)
-    dropped = stage(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "dropped")
-    return without_ids(docs, "doc_id", dropped, "doc_id")
+    """docs with one document of each group of near copies, that of the smallest doc_id; all columns stay.
+
+    Texts link at DISTANCE or fewer bits of their fingerprints, and where at least TENTHS/10 of their distinct
+    five-word shingles are common. Fingerprint blocks cannot reach the latter, which lie 3 to 15 bits apart, so
+    bands of minima find them; each is verified on the whole texts. Null ids count only if there is no other;
+    rows that repeat an id and its text stay or go together, but of rows without an id one stays.
+    """
+    signed = stage(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, text_sha256 string, fp long, bands array<long>"), "signed")
+    texts = signed.groupBy("text_sha256").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    nodes = stage(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    prints = stage(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "prints")
+    by_print = links(prints.select("fp"))
+    bits = by_print.join(prints.select(F.col("fp").alias("a"), F.col("lead").alias("la")), "a").join(
+        prints.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b"
+    )
+    same = nodes.join(prints, "fp").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    wide = similar(docs, nodes.select("node", "text_sha256", "bands"))
+    roots = components(bits.select(F.col("la").alias("a"), F.col("lb").alias("b")).union(same).union(wide))
+    linked = stage(
+        nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
+            "text_sha256", F.struct(F.col("first").isNull(), F.col("first").alias("first"), F.col("text_sha256").alias("sha")).alias("own"), F.coalesce("root", "node").alias("root")
+        ),
+        "linked",
+    )
+    best = stage(linked.groupBy("root").agg(F.min("own").alias("best")), "best")
+    counted = signed.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"))
+    told = counted.join(linked.join(best, "root").select("text_sha256", "best"), "text_sha256")
+    kept = F.col("doc_id").eqNullSafe(F.col("best.first")) & (F.col("text_sha256") == F.col("best.sha"))
+    told = told.withColumn("kept", kept).where(~F.col("kept") | (F.col("doc_id").isNull() & (F.col("rows") > 1)))
+    return without_rows(docs, told.select("doc_id", "text_sha256", F.col("kept").alias("one")))

@@ -171,3 +171,36 @@ def test_empty(spark, run):
 def test_empty_vectors(spark):
     assert vector_graph.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert F is not None
+
+
+def test_stage_drops_similar_texts(spark):
+    """Texts of which at least 0.8 of the five-word shingles are common go, many bits apart or in one large group; others stay."""
+    rng, rows = random.Random(9), []
+    for k in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        rows.append((10 * k, " ".join(words)))
+        for copy, edits in ((1, 1), (2, 2), (3, 8)):
+            other = list(words)
+            for at in range(edits):
+                other[5 + at * 13] = f"new{rng.random()}"
+            rows.append((10 * k + copy, " ".join(other)))
+    words = [f"v{n}" for n in range(150)]
+    rows += [(1000 + k, " ".join([*words[: k % 150], f"x{k}", *words[k % 150 + 1 :]])) for k in range(100)]
+
+    def sets(text):
+        words = text.split()
+        return {tuple(words[n : n + 5]) for n in range(len(words) - 4)}
+
+    each = {i: sets(t) for i, t in rows}
+    near = [(a, b) for a in each for b in each if a < b and len(each[a] & each[b]) >= 0.8 * len(each[a] | each[b])]
+    roots = {i: i for i in each}
+    for _ in range(len(each)):
+        before = dict(roots)
+        for a, b in near:
+            roots[a] = roots[b] = min(roots[a], roots[b])
+        if roots == before:
+            break
+    left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == set(roots.values())
+    far = [(a, b) for a, b in near if bin(simhash.simhash(dict(rows)[a].encode()) ^ simhash.simhash(dict(rows)[b].encode())).count("1") > 2]
+    assert far
