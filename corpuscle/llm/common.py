@@ -138,18 +138,6 @@ def without_rows(docs: DataFrame, listed: DataFrame) -> DataFrame:
     return out
 
 
-def without_ids(df: DataFrame, key: str, ids: DataFrame, ids_key: str) -> DataFrame:
-    """Rows of df whose key is not among ids (nulls equal nulls). Only rows that hit a bounded bitmap are shuffled."""
-    (drop,) = fresh(df, "_drop")
-    ids = ids.select(F.col(ids_key).alias(drop))
-    n = ids.count()
-    if n == 0:
-        return df
-    marked, maybe = maybe_in(df, key, ids, drop, n)
-    rest = marked.where(maybe).drop(maybe)
-    return marked.where(~F.col(maybe)).drop(maybe).unionByName(rest.join(ids, F.col(key).eqNullSafe(F.col(drop)), "left_anti"))
-
-
 #: Rows and bytes of text that a Python function works on at a time, whatever the size of an Arrow batch.
 SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, release, slices, stage, utf8, without_ids
+from .common import maybe_in, release, slices, stage, utf8, without_rows
 
 #: Two primes below 2**31 and the base of the polynomials.
 PRIMES = (2147483647, 2147483629)
@@ -195,6 +195,6 @@ def exact_duplicates(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: in
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates drops; all columns stay."""
-    dropped = stage(exact_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
-    return without_ids(docs, "doc_id", dropped, "doc_id")
+    """docs without the rows that exact_duplicates drops; all columns stay. Of equal texts that all lack an id one row stays."""
+    told = exact_duplicates(docs).where(~F.col("kept") | (F.col("doc_id").isNull() & (F.col("group_size") > 1)))
+    return without_rows(docs, told.select("doc_id", "text_sha256", F.col("kept").alias("one")).distinct())

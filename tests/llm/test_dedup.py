@@ -173,6 +173,17 @@ def test_empty_vectors(spark):
     assert F is not None
 
 
+def test_drops_by_row(spark):
+    """Null and repeated ids with different texts: no clean text goes, one of each group stays."""
+    words = [" ".join(f"{k}w{n}" for n in range(40)) for k in range(3)]
+    rows = [(None, words[0]), (3, words[0]), (None, words[1]), (5, "A"), (7, "A"), (5, words[2]), (None, "z"), (None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda found: sorted(found, key=str)
+    expected = order([(3, words[0]), (None, words[1]), (5, words[2]), (None, "z")])
+    assert order(tuple(r) for r in exact_dedup.drop_exact_duplicates(docs).collect()) == order([*expected, (7, "A")])
+    assert order(tuple(r) for r in simhash.drop_near_duplicates(docs).collect()) == order([*expected, (5, "A")])
+
+
 def test_stage_drops_similar_texts(spark):
     """Texts of which at least 0.8 of the five-word shingles are common go, many bits apart or in one large group; others stay."""
     rng, rows = random.Random(9), []
