@@ -22,7 +22,7 @@ def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the one of the smallest doc_id stays."""
+    """Of each group of near copies (0.8 of the five-word shingles, or all but 2 of 64 SimHash bits), the one of the smallest doc_id stays."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 token ids."""
-    return packing.pack_documents(docs, cached=CACHED)
+    """Sequences of 1024 token ids, padded, and the length of each before its padding."""
+    return packing.sequences(packing.pack_documents(docs, with_ids=True, cached=CACHED))
 
 
 STAGES = [

@@ -137,17 +137,22 @@ def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None
 
 
 def sequences(packed: DataFrame, size: int = SEQUENCE) -> DataFrame:
-    """(sequence_id, ids array<long>): the packed pieces with their ids, joined in order of offset, padded with END_ID to size."""
+    """(sequence_id, ids array<long>, length): the packed pieces with their ids, joined in order of offset, padded with END_ID to size.
+
+    length is the number of ids before the padding.
+    """
 
     def run(batches):
-        for batch in batches:
-            out = []
+        for batch in slices(batches):
+            out, lengths = [], []
             for parts in batch.column("parts").to_pylist():
                 data = b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["offset"]))
                 ids = np.full(size, END_ID, np.int64)
                 ids[: len(data) // 4] = np.frombuffer(data, "<u4")
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(out, pa.list_(pa.int64()))], ["sequence_id", "ids"])
+                lengths.append(len(data) // 4)
+            columns = [batch.column("sequence_id"), pa.array(out, pa.list_(pa.int64())), pa.array(lengths, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["sequence_id", "ids", "length"])
 
     grouped = packed.groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "ids")).alias("parts"))  # at most size pieces
-    return grouped.mapInArrow(run, "sequence_id long, ids array<long>")
+    return grouped.mapInArrow(run, "sequence_id long, ids array<long>, length long")

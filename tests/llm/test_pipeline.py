@@ -53,3 +53,12 @@ def test_stages(spark, tmp_path):
     assert sum(r.length for r in seen[4][1]) == sum(len(tokenizer.encode(r.text or "").ids) + 1 for r in seen[4][0])
     assert corpus_pipeline.run(spark, sf).count() == len(seen[4][1])
     assert simhash.DISTANCE == 2 and np.isfinite(expected)
+
+
+def test_last_stage_holds_the_ids(spark):
+    """The table that training reads: whole sequences of token ids, not their places alone."""
+    docs = spark.createDataFrame([(k, f"text {k} " * 300) for k in range(20)] + [(20, None)], "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = corpus_pipeline.pack(spark, docs, "").collect()
+    assert all(len(r.ids) == 1024 and not any(r.ids[r.length :]) for r in found)
+    assert sorted(x for r in found for x in r.ids[: r.length]) == sorted(x for d in docs.collect() for x in [*tokenizer.encode(d.text or "").ids, 0])
