@@ -2,7 +2,8 @@
 
 Markup is stripped to one line for each block element. Sliding windows of lines sum the text outside links and
 outside menus, adverts and the like; the text starts where the sums surge and ends where they dive. The stretch
-that holds most text names the element that carries the article, and all its lines are kept, short ones too.
+that holds most text is kept whole, along with all lines, short ones too, of the element that holds most of it; where
+that element lies in an article, the article's lines are kept instead.
 """
 
 from __future__ import annotations
@@ -165,7 +166,9 @@ def main_text(page: str | None) -> str:
     outer = next((x for x in lines[first:last] if best in x[2]))
     if outer[3]:  # the article element around it, if there is one
         best = _article_id(lines, outer, best)
-    return "\n".join(text for text, _, path, _ in lines if best in path)
+        return "\n".join(text for text, _, path, _ in lines if best in path)
+    heavy = [k for k in range(first, last) if weights[k]]  # a stretch may begin and end with lines of mere links
+    return "\n".join(x[0] for k, x in enumerate(lines) if heavy[0] <= k <= heavy[-1] or best in x[2])
 
 
 def _article_id(lines, line, best: int) -> int:

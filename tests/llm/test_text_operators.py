@@ -163,3 +163,12 @@ def test_language_model_without_training(spark):
     row = language_model.score_documents(spark.createDataFrame([(only_held, "a b")], "doc_id long, text string")).first()
     assert (row.n_known, row.train_tokens, row.n_tokens) == (0, 0, 3) and row.score <= 0
     assert F is not None
+
+
+def test_html_keeps_sibling_sections():
+    """No article element, and the sections of one stretch lie in containers of their own: all are kept, menus are not."""
+    long, short = "A first section with a good deal of text. " * 4, "A second section, shorter than that. " * 2
+    page = f"<body><div><a href=x>Home</a></div><div id=c><div><h2>A</h2><p>{long}</p></div><div><h2>B</h2><p>{short}</p></div></div><div><a href=y>More</a></div></body>"
+    assert html_text.main_text(page) == "\n".join(["A", long.strip(), "B", short.strip()])
+    two = page.replace("<div id=c>", "").replace("</p></div></div>", "</p></div>")
+    assert html_text.main_text(two) == html_text.main_text(page)
