@@ -10,6 +10,7 @@ short the shards are made to overlap more.
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -214,13 +215,21 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": ids, "near": [ids[ends[a:b]] for a, b in zip(starts[:-1], starts[1:])]})
 
 
+_FOUND = "node long, links long, degree long, root long, other long, own_size long, other_size long"
+
+
 def _search(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For each vector at home here: how many rows it links with, and the smallest node its links lead to in this graph."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each vector at home here: how many rows and nodes it links with, and the smallest node its links lead to in this graph.
+
+        Links between vectors that both search this graph and lie in it are counted for both ends here; no other
+        task meets them. All others go out as (node, other), block by block, as the other end's search may miss them.
+        """
+        pdf = pd.concat(list(parts), ignore_index=True)
         nodes, x = _graph_of(pdf)
         queries = pdf[~pdf.is_node]
         if not len(queries) or not len(nodes):
-            return pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
+            return
         ids, sizes = nodes.node.to_numpy(), nodes["size"].to_numpy()
         graph = FlatGraph(x) if len(nodes) > 1 else None
         if graph:
@@ -230,13 +239,16 @@ def _search(threshold: float):
             at = np.minimum(np.searchsorted(ids, b), len(ids) - 1)
             held = ids[at] == b
             graph.unite(a[held], at[held])
-        q_ids, q = queries.node.to_numpy(), _unit(np.stack(queries.embedding.to_numpy()))
+        q_ids, q, q_sizes = queries.node.to_numpy(), _unit(np.stack(queries.embedding.to_numpy())), queries["size"].to_numpy()
         every = np.unique(np.concatenate([ids, q_ids]))
         place, q_place = np.searchsorted(every, ids), np.searchsorted(every, q_ids)
         own = np.full(len(q_ids), -1)
         at = np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)
         own[ids[at] == q_ids] = at[ids[at] == q_ids]
-        links, firsts, seconds = np.zeros(len(q_ids), np.int64), [], []
+        asks = np.full(len(ids), -1)  # the query that a node is, if it searches here
+        asks[own[own >= 0]] = np.flatnonzero(own >= 0)
+        inner = np.zeros((len(q_ids), len(q_ids)), bool)
+        root = np.arange(len(every))
         for start in range(0, len(q_ids), 512):
             part = slice(start, start + 512)
             who, to = graph.within(q[part], own[part], threshold - SLACK) if graph else (np.arange(len(q_ids[part])), np.zeros(len(q_ids[part]), np.int64))
@@ -245,23 +257,50 @@ def _search(threshold: float):
                 true = np.einsum("ij,ij->i", q[i], x[j]) >= threshold  # in double precision
                 true &= ids[j] != q_ids[i]
                 i, j = i[true], j[true]
-                links += np.bincount(i, weights=sizes[j], minlength=len(q_ids)).astype(np.int64)
-                firsts.append(q_place[i])
-                seconds.append(place[j])
-        root = _roots(len(every), np.concatenate([*firsts, np.zeros(0, np.int64)]), np.concatenate([*seconds, np.zeros(0, np.int64)]))
+                root = _joined(root, q_place[i], place[j])
+                both = (own[i] >= 0) & (asks[j] >= 0)
+                inner[i[both], asks[j[both]]] = True
+                i, j = i[~both], j[~both]
+                if len(i):
+                    yield _rows(node=q_ids[i], other=ids[j], own_size=q_sizes[i], other_size=sizes[j])
+        inner |= inner.T.copy()
+        links = np.array([q_sizes[row].sum() for row in inner], np.int64)
         moved = np.flatnonzero(root != np.arange(len(every)))
         extra = moved[~np.isin(moved, q_place)]
-        return pd.DataFrame(
-            {
-                "node": np.concatenate([q_ids, every[extra]]),
-                "links": np.concatenate([links, np.zeros(len(extra), np.int64)]),
-                "root": every[np.concatenate([root[q_place], root[extra]])],
-            }
-        )
+        yield _rows(node=q_ids, links=links, degree=inner.sum(axis=1), root=every[root[q_place]])
+        if len(extra):
+            yield _rows(node=every[extra], links=np.zeros(len(extra), np.int64), degree=np.zeros(len(extra), np.int64), root=every[root[extra]])
 
     return run
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The roots once the links a-b are added."""
+    return _roots(len(root), root[a], root[b])[root]
+
+
+def _rows(**columns: np.ndarray) -> pd.DataFrame:
+    """A frame of _FOUND; columns that aren't given are null."""
+    n = len(columns["node"])
+    return pd.DataFrame({c: pd.array(columns[c].astype(np.int64) if c in columns else [None] * n, dtype="Int64") for c in (x.split()[0] for x in _FOUND.split(", "))})
+
+
+def _counts(found: DataFrame) -> DataFrame:
+    """(node, links, degree): rows and other nodes that a node links with, each link once, whichever end's search met it."""
+    low = F.col("node") < F.col("other")
+    pairs = found.where("other is not null").select(
+        F.least("node", "other").alias("a"),
+        F.greatest("node", "other").alias("b"),
+        F.when(low, F.col("own_size")).otherwise(F.col("other_size")).alias("a_size"),
+        F.when(low, F.col("other_size")).otherwise(F.col("own_size")).alias("b_size"),
+    )
+    pairs = stage(pairs.distinct(), "pairs")
+    one = F.lit(1).cast("long").alias("degree")
+    each = found.where("other is null").select("node", "links", "degree")
+    each = each.union(pairs.select("a", "b_size", one)).union(pairs.select("b", "a_size", one))
+    return stage(each.groupBy("node").agg(F.sum("links").alias("links"), F.sum("degree").alias("degree")), "counts")
+
+
 def _assign(centers: np.ndarray, overlap: int, graphs: np.ndarray, blocks: np.ndarray):
     """Rows for the graphs that hold a node and for those that a vector searches."""
 
@@ -300,7 +339,7 @@ def _homes(centers: np.ndarray, overlap: int):
 
 
 def _find_links(nodes: DataFrame, centers: np.ndarray, overlap: int, threshold: float) -> DataFrame:
-    """(node, links, root) for each node and graph it searched or was linked in."""
+    """Rows of _FOUND for each node and graph it searched or was linked in, and for each link that leaves a task."""
     fill = nodes.select("embedding").mapInPandas(_homes(centers, overlap), "shard long, home long")
     graphs, blocks = np.ones(len(centers), np.int64), np.ones(len(centers), np.int64)
     for row in fill.groupBy("shard").agg(F.count(F.lit(1)).alias("held"), F.sum("home").alias("home")).collect():  # a row for each centroid
@@ -311,13 +350,13 @@ def _find_links(nodes: DataFrame, centers: np.ndarray, overlap: int, threshold:
     united = stage(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     held = dealt.where("is_node").join(united, "node")
     rows = held.unionByName(dealt.where("not is_node").withColumn("near", F.lit(None).cast("array<long>")))
-    found = stage(rows.groupBy("shard", "graph", "block").applyInPandas(_search(threshold), "node long, links long, root long"), "found")
+    found = stage(rows.groupBy("shard", "graph", "block").applyInPandas(_search(threshold), _FOUND), "found")
     release(dealt)
     release(united)
     return found
 
 
-def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
+def _audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
     """The share of the links of AUDITED nodes, compared with all nodes in blocks, that were found."""
     picked = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(AUDITED).select("node", "embedding").toPandas()
     if not len(picked):
@@ -331,7 +370,7 @@ def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
                 yield pd.DataFrame({"node": q_ids, "links": hit @ pdf["size"].to_numpy()})
 
     true = nodes.mapInPandas(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).toPandas()
-    ours = found.where(F.col("node").isin([int(x) for x in q_ids])).groupBy("node").agg(F.sum("links").alias("ours")).toPandas()
+    ours = counts.where(F.col("node").isin([int(x) for x in q_ids])).select("node", F.col("links").alias("ours")).toPandas()
     both = true.merge(ours, on="node", how="left").fillna(0)
     total = both.links.sum()
     return float(np.minimum(both.links, both.ours).sum() / total) if total else 1.0
@@ -341,7 +380,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, ove
     """vectors (vec_id, embedding) -> (vec_id, n_links, component_id, kept), a row for each row.
 
     Rows link where the cosine is at least threshold; no other link is made, and a shard overlap that finds less
-    than RECALL of an audited sample is raised, TRIES times at most. component_id is the smallest vec_id reachable.
+    than RECALL of an audited sample is raised, TRIES times at most. A link counts
+    for both ends, whichever end's search met it. component_id is the smallest vec_id reachable.
     A vector that is null, empty, zero, or holds a null or non-finite part links with nothing, as do vectors of
     different lengths and null ids. A repeated row links with its copies. An empty table gives no rows.
     """
@@ -356,7 +396,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, ove
     nodes = stage(
         keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("size"), F.any_value("embedding").alias("embedding")), "nodes"
     )
-    found = None
+    found = counts = None
     for row in nodes.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect():  # a row for each length
         same = nodes.where(F.size("embedding") == row.n)
         sample = same.orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("embedding").toPandas()
@@ -364,19 +404,21 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, ove
         wide = overlap
         for attempt in range(TRIES):
             own = _find_links(same, centers, min(wide, len(centers)), threshold)
-            recall = _audit(same, own, threshold)
+            own_counts = _counts(own)
+            recall = _audit(same, own_counts, threshold)
             _log.info("recall %.4f with an overlap of %d", recall, wide)
             if recall >= RECALL or wide >= len(centers):
                 break
             wide *= 2
+        own = own.where("root is not null").select("node", "root")
         found = own if found is None else found.unionByName(own)
+        counts = own_counts if counts is None else counts.unionByName(own_counts)
     if found is None:
         return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     roots = components(found.where("root != node").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     told = stage(
         nodes.select("k1", "k2", "node", "size")
-        .join(counts, "node", "left")
+        .join(counts.select("node", "links"), "node", "left")
         .join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
         .select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id")),
         "told",

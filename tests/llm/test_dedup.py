@@ -215,3 +215,25 @@ def test_stage_drops_similar_texts(spark):
     assert left == set(roots.values())
     far = [(a, b) for a, b in near if bin(simhash.simhash(dict(rows)[a].encode()) ^ simhash.simhash(dict(rows)[b].encode())).count("1") > 2]
     assert far
+
+
+def paired_vectors(spark, pairs, singles):
+    """Vectors 2k and 2k + 1 link, the others with none."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(pairs, 24))
+    rows = np.stack([base, base + rng.normal(scale=0.2, size=base.shape)], axis=1).reshape(-1, 24)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    linked = (unit[::2] * unit[1::2]).sum(axis=1) >= 0.95
+    rows = np.concatenate([rows, rng.normal(size=(singles, 24))])
+    return spark.createDataFrame([(k, [float(v) for v in x]) for k, x in enumerate(rows)], "vec_id long, embedding array<double>"), np.flatnonzero(linked) * 2
+
+
+def test_links_count_for_both_ends(spark, monkeypatch):
+    """Shards that overlap little: the search of one end misses what that of the other finds."""
+    for name, value in (("SHARD", 8), ("RECALL", 0)):
+        monkeypatch.setattr(vector_graph, name, value)
+    vectors, linked = paired_vectors(spark, 300, 0)
+    found = vector_graph.near_duplicate_vectors(vectors, overlap=2).toPandas().set_index("vec_id")
+    ends = np.stack([found.n_links[linked].to_numpy(), found.n_links[linked + 1].to_numpy()])
+    assert (ends[0] == ends[1]).all()
+    assert (ends[0] == (found.component_id[linked + 1].to_numpy() == linked)).all() and ends[0].any()
