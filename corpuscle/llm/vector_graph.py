@@ -30,8 +30,10 @@ GRAPH, QUERIES = 8192, 4096
 #: Neighbours kept, candidates they are pruned from, and how much farther a neighbour's neighbour must be to be dropped.
 DEGREE, CANDIDATES, ALPHA = 24, 48, 1.2
 BEAM, SLACK = 24, 0.05
-#: Vectors compared with all others, the least share of their links that must be found, and how often to try.
-AUDITED, RECALL, TRIES = 200, 0.99, 3
+#: Vectors compared with all others in the rounds of an audit, which ends once LINKED of them have links to other vectors.
+AUDITED, LINKED = (512, 1536, 6144), 100
+#: The share of a linked vector's links to find on average, how often to try, and the share below which there is no result.
+RECALL, TRIES, REQUIRED = 0.99, 3, 0.9
 _log = logging.getLogger(__name__)
 
 
@@ -356,31 +358,44 @@ def _find_links(nodes: DataFrame, centers: np.ndarray, overlap: int, threshold:
     return found
 
 
-def _audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """The share of the links of AUDITED nodes, compared with all nodes in blocks, that were found."""
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(AUDITED).select("node", "embedding").toPandas()
-    if not len(picked):
-        return 1.0
-    q_ids, q = picked.node.to_numpy(), _unit(np.stack(picked.embedding.to_numpy()))
+def _audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> tuple[float, int]:
+    """The share of its links to other nodes that was found for a linked node on average, and how many linked nodes were seen.
 
-    def count(batches):
-        for pdf in batches:
-            if len(pdf):
-                hit = (q @ _unit(np.stack(pdf.embedding.to_numpy())).T >= threshold) & (q_ids[:, None] != pdf.node.to_numpy()[None, :])
-                yield pd.DataFrame({"node": q_ids, "links": hit @ pdf["size"].to_numpy()})
-
-    true = nodes.mapInPandas(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).toPandas()
-    ours = counts.where(F.col("node").isin([int(x) for x in q_ids])).select("node", F.col("links").alias("ours")).toPandas()
-    both = true.merge(ours, on="node", how="left").fillna(0)
-    total = both.links.sum()
-    return float(np.minimum(both.links, both.ours).sum() / total) if total else 1.0
+    Nodes picked by hash are compared with all nodes, in growing rounds, until LINKED of them have a link or the
+    rounds of AUDITED are through; without any linked node the share is 1.
+    """
+    order, seen, shares = F.xxhash64("node", F.lit(3)), 0, []
+    picked = stage(nodes.orderBy(order, "node").limit(sum(AUDITED)).select("node", "embedding"), "audited").toPandas()
+    for size in AUDITED:
+        block = picked.iloc[seen : seen + size]
+        seen += size
+        if not len(block):
+            break
+        q_ids, q = block.node.to_numpy(), _unit(np.stack(block.embedding.to_numpy()))
+
+        def count(batches, q_ids=q_ids, q=q):
+            degree = np.zeros(len(q_ids), np.int64)
+            for pdf in batches:
+                for at in range(0, len(pdf), 1024):
+                    part = pdf.iloc[at : at + 1024]
+                    hit = q @ _unit(np.stack(part.embedding.to_numpy())).T >= threshold
+                    degree += hit.sum(axis=1) - (hit & (q_ids[:, None] == part.node.to_numpy()[None, :])).sum(axis=1)
+            some = np.flatnonzero(degree)
+            yield pd.DataFrame({"node": q_ids[some], "degree": degree[some]})
+
+        true = nodes.select("node", "embedding").mapInPandas(count, "node long, degree long").groupBy("node").agg(F.sum("degree").alias("true"))
+        both = true.join(counts.select("node", "degree"), "node", "left").toPandas().fillna(0)
+        shares += list(np.minimum(both.degree, both.true) / both.true)
+        if len(shares) >= LINKED:
+            break
+    return (float(np.mean(shares)) if shares else 1.0), len(shares)
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, fit_rows: int = FIT_ROWS) -> DataFrame:
     """vectors (vec_id, embedding) -> (vec_id, n_links, component_id, kept), a row for each row.
 
     Rows link where the cosine is at least threshold; no other link is made, and a shard overlap that finds less
-    than RECALL of an audited sample is raised, TRIES times at most. A link counts
+    than RECALL of an audited sample is raised, TRIES times at most; below REQUIRED an error is raised. A link counts
     for both ends, whichever end's search met it. component_id is the smallest vec_id reachable.
     A vector that is null, empty, zero, or holds a null or non-finite part links with nothing, as do vectors of
     different lengths and null ids. A repeated row links with its copies. An empty table gives no rows.
@@ -405,11 +420,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, ove
         for attempt in range(TRIES):
             own = _find_links(same, centers, min(wide, len(centers)), threshold)
             own_counts = _counts(own)
-            recall = _audit(same, own_counts, threshold)
-            _log.info("recall %.4f with an overlap of %d", recall, wide)
+            recall, linked = _audit(same, own_counts, threshold)
+            _log.info("recall %.4f over %d linked vectors with an overlap of %d", recall, linked, wide)
             if recall >= RECALL or wide >= len(centers):
                 break
             wide *= 2
+        if recall < REQUIRED:
+            raise RuntimeError(f"only {recall:.4f} of the links of {linked} audited vectors were found, with an overlap of {min(wide, len(centers))}")
+        if recall < RECALL:
+            _log.warning("recall %.4f over %d linked vectors is below %.2f", recall, linked, RECALL)
         own = own.where("root is not null").select("node", "root")
         found = own if found is None else found.unionByName(own)
         counts = own_counts if counts is None else counts.unionByName(own_counts)

@@ -230,10 +230,24 @@ def paired_vectors(spark, pairs, singles):
 
 def test_links_count_for_both_ends(spark, monkeypatch):
     """Shards that overlap little: the search of one end misses what that of the other finds."""
-    for name, value in (("SHARD", 8), ("RECALL", 0)):
+    for name, value in (("SHARD", 8), ("RECALL", 0), ("REQUIRED", 0)):
         monkeypatch.setattr(vector_graph, name, value)
     vectors, linked = paired_vectors(spark, 300, 0)
     found = vector_graph.near_duplicate_vectors(vectors, overlap=2).toPandas().set_index("vec_id")
     ends = np.stack([found.n_links[linked].to_numpy(), found.n_links[linked + 1].to_numpy()])
     assert (ends[0] == ends[1]).all()
     assert (ends[0] == (found.component_id[linked + 1].to_numpy() == linked)).all() and ends[0].any()
+
+
+def test_audit_sees_sparse_links(spark, monkeypatch):
+    """Few vectors have links: the audit goes on until it has seen some, and what misses them is no result."""
+    vectors, linked = paired_vectors(spark, 20, 2000)
+    nodes = vectors.select(F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("size"), "embedding")
+    none = spark.createDataFrame([], "node long, links long, degree long")
+    assert vector_graph._audit(nodes, none, 0.95) == (0.0, 2 * len(linked))
+    copies = nodes.select("node", F.lit(1000).cast("long").alias("links"), F.when(F.col("node") < 20, 1).otherwise(0).cast("long").alias("degree"))
+    assert vector_graph._audit(nodes, copies, 0.95)[0] == (linked < 20).sum() / len(linked)
+    for name, value in (("SHARD", 8), ("TRIES", 1), ("REQUIRED", 0.99)):
+        monkeypatch.setattr(vector_graph, name, value)
+    with pytest.raises(RuntimeError, match="audited"):
+        vector_graph.near_duplicate_vectors(paired_vectors(spark, 300, 0)[0], overlap=1)
