@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, stage
+from .common import ragged, slices, stage
 from .tokens import CACHED, encoder
 
 SEQUENCE, END_ID = 1024, 0
+#: Pieces of a length that are ranked in one task, on average.
+RANKED = 50_000
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
@@ -67,19 +69,20 @@ def _slots(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray,
 
 def _cut(path: str | None, size: int, with_ids: bool, cached: int):
     def run(batches):
-        encode = encoder(path, cached).encode
+        encode = encoder(path, cached).ended
         for batch in slices(batches):
-            rows: list[list] = [[] for _ in range(7)]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4")
-                for start in range(0, len(ids), size):
-                    data = ids[start : start + size].tobytes()
-                    for column, value in zip(rows, (doc_id, start, len(data) // 4, zlib.crc32(data), len(ids), data)):
-                        column.append(value)
-            columns = [pa.array(x, pa.int64()) for x in rows[:5]]
+            flat, tokens = encode(batch.column("text"), END_ID)
+            n_pieces = -(-tokens // size)
+            start = ragged(np.zeros(len(tokens), np.int64), n_pieces) * size
+            doc = np.repeat(np.arange(len(tokens)), n_pieces)
+            length = np.minimum(size, tokens[doc] - start)
+            first = (np.cumsum(tokens) - tokens)[doc] + start
+            data = memoryview(flat.astype("<u4")).cast("B")
+            pieces = [data[4 * a : 4 * b] for a, b in zip(first.tolist(), (first + length).tolist())]
+            columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, pieces), pa.int64()), pa.array(tokens[doc])]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
-                columns.append(pa.array(rows[5], pa.binary()))
+                columns.append(pa.array(map(bytes, pieces), pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -98,15 +101,17 @@ def cut_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None =
 def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False, cached: int = CACHED) -> DataFrame:
     """cut_documents' pieces with sequence_id and offset: offsets in a sequence are gapless from 0, its ids at most size.
 
-    Pieces of a length are ranked by (bucket of the id, id, start); the pattern that a rank falls to gives the
+    Pieces of a length are ranked by (bucket, id, start); the pattern that a rank falls to gives the
     sequence and the place in it. Rows that repeat are packed each. An empty table gives no rows. The histogram,
     at most size rows, is all that the driver sees. A worker keeps the ids of cached words.
     """
     pieces = stage(cut_documents(docs, size, tokenizer, with_ids, cached), "pieces")
     counted = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most size rows
     slots = _slots(shortest_pack_first({r.length: r.n for r in counted}, size))
-    buckets = max(64, sum(r.n for r in counted) // 50_000)
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    # lengths of many pieces are ranked in several buckets: at most size + pieces / RANKED of them in all
+    shares = {r.length: r.n // RANKED + 1 for r in counted}
+    of_length = F.split(F.lit(",".join(str(shares.get(k, 1)) for k in range(size + 1))), ",").cast("array<int>")
+    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), of_length[F.col("length").cast("int")]).cast("int")
     dealt = pieces.withColumn("bucket", bucket)
     before = (
         stage(dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "bucket_sizes")

@@ -13,6 +13,8 @@ from .common import new_path, slices
 from .tokens import encoder
 
 END_ID = 2
+#: Tables of the parts' totals of up to so many rows go to every task; larger ones are joined by a shuffle.
+LOCAL_PARTS = 100_000
 #: Option names and values of ORC's writer.
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -24,64 +26,51 @@ ORC_OPTIONS = {
 }
 
 
-#: Ids that go to the writer at once, at least one document.
-BATCH_IDS = 1 << 22
-
-
 def _encode(path: str | None, end_id: int):
     def run(batches):
-        encode = encoder(path).encode
+        encode = encoder(path).ended
         before = 0  # ids of the documents before, in this partition
         for batch in slices(batches):
-            sent, flat = 0, []
-            for text in batch.column("text").to_pylist():
-                flat.append(np.append(encode(text or ""), np.uint32(end_id)).astype(np.int32))
-                if len(flat) % 256 == 0 and sum(map(len, flat)) > BATCH_IDS:
-                    yield _rows(batch.column("doc_id").slice(sent, len(flat)), before, flat)
-                    before, sent, flat = before + sum(map(len, flat)), sent + len(flat), []
-            if flat:
-                yield _rows(batch.column("doc_id").slice(sent, len(flat)), before, flat)
-                before += sum(map(len, flat))
+            flat, sizes = encode(batch.column("text"), end_id)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int32)))
+            columns = [batch.column("doc_id"), pa.array(before + offsets[:-1]), pa.array(sizes), ids]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part_start", "n_tokens", "ids"])
+            before += int(offsets[-1])
 
     return run
 
 
-def _rows(doc_ids: pa.Array, before: int, flat: list[np.ndarray]) -> pa.RecordBatch:
-    ends = np.cumsum([len(x) for x in flat], dtype=np.int64)
-    offsets = np.concatenate([[0], ends])
-    ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(flat)))
-    return pa.RecordBatch.from_arrays([doc_ids, pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), ids], ["doc_id", "part_start", "n_tokens", "ids"])
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None) -> None:
     """Writes docs (doc_id, text) as ORC files in ascending order of doc_id, null ids first, then of text.
 
     Texts are dealt out by ranges of ids before they are encoded, so that ids are never shuffled and each task
-    writes one sorted file; part_start counts the ids of the documents before, in the same file.
+    writes sorted files of its own: part is its number, part_start counts the ids of the documents before in the part.
     """
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.asc("doc_id"), F.asc(F.xxhash64("text"))]
     dealt = docs.select("doc_id", "text").repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     encoded = dealt.mapInArrow(_encode(tokenizer, end_id), "doc_id long, part_start long, n_tokens long, ids array<int>")
-    encoded.write.options(**ORC_OPTIONS).orc(path)
+    encoded.withColumn("part", F.spark_partition_id()).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the files at path; start counts the ids of all documents before.
 
     only: a predicate on doc_id; stripes and row groups that cannot match are skipped by statistics and Bloom
-    filters. The totals of the files, a row for each, are read from two columns and joined back.
+    filters. The totals of the parts, a row for each task that wrote, are read from narrow columns and joined back.
     """
-    schema = "doc_id long, part_start long, n_tokens long, ids array<int>"
-    rows = spark.read.schema(schema).orc(path).withColumn("_file", F.col("_metadata.file_name"))
-    sizes = rows.groupBy("_file").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("n")).collect()  # a row for each file
+    schema = "doc_id long, part_start long, n_tokens long, ids array<int>, part int"
+    rows = spark.read.schema(schema).orc(path)
+    sizes = rows.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("n")).collect()  # a row for each task that wrote
     bases, total = [], 0
-    for row in sorted(sizes, key=lambda r: r._file):
-        bases.append((row._file, total))
+    for row in sorted(sizes, key=lambda r: r.part):
+        bases.append((row.part, total))
         total += row.n
-    base = spark.createDataFrame(bases, "_file string, _base long")
+    base = spark.createDataFrame(bases, "part int, _base long")
     rows = rows.where(only) if only is not None else rows
-    return rows.join(F.broadcast(base), "_file").select("doc_id", (F.col("_base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    joined = rows.join(F.broadcast(base) if len(bases) <= LOCAL_PARTS else base, "part", "left")
+    return joined.select("doc_id", (F.col("_base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def _digest(batches):

@@ -1,150 +1,205 @@
-"""Token ids of whole texts by the tokenizers library, with a cache of the words met so far."""
+"""Token ids of whole texts by the tokenizers library; stretches met before are looked up."""
 
 from __future__ import annotations
 
-from array import array
+import re
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import ragged
 
-#: Words whose ids a Python worker keeps; beyond that it starts anew.
-CACHED = 800_000
+#: Stretches whose ids a Python worker keeps, and ids kept in all for each of them on average.
+CACHED, IDS_EACH = 400_000, 8
+#: Characters encoded at a time, where a text can be cut there.
+PART = 1 << 21
+#: Stretches sent to the library in one text.
+JOINED = 200
+#: A stretch begins at a space or line feed after a non-blank.
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: Very long texts are also cut between a letter or digit and a mark.
+_CUT_LONG = re.compile(r"(?<=\S)(?=[ \n])|(?<=[^\W_])(?=[.,;:!?。，、])")
+#: Stands before each space and line feed while texts are split; texts that hold it are split one by one.
+_AT = "\x01"
+# White space of Unicode, and letters and marks of which any tokenizer knows what they are.
+_BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LETTER = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level BPE writes for each byte: printable Latin-1 stays, others follow from U+0100."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
-
-
-class _Numbers(dict):
-    """Numbers words as they are met; those met for the first time wait in new."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        value = self[word] = len(self)
-        self.new.append(word)
-        return value
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.large_binary()).to_pylist()
 
 
 class Encoder:
-    """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them, with special tokens' strings read as text.
-
-    Byte-level BPE splits a text before each single space between two non-blanks, whatever stands around; the ids
-    of such a stretch are therefore the same wherever it occurs, and are looked up. Stretches met for the first
-    time are encoded together: letters after a space are a piece of their own, whose first id, and no other,
-    is one that starts with a space. Texts with any other blank beside a space go to the library as a whole.
+    """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them, special tokens' strings in a text included.
+
+    Byte-level BPE never joins a non-blank with a blank after it, and what comes before a blank doesn't matter to what
+    follows. A text therefore falls into stretches, each from the blanks before a word to the next blank, whose ids are
+    the same wherever they occur; marks after the last letter are a piece of their own. Arrow splits a column of texts
+    and finds its distinct stretches. Those met for the first time go to the library, many joined into one text where
+    each has one blank at its start and no other: the first id of each, and only that, starts with a blank.
+    Texts with a special token's string go to the library whole.
     """
 
-    def __init__(self, path: str, pattern: str, cached: int = CACHED) -> None:
+    def __init__(self, path: str, cached: int = CACHED) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.split = regex.compile(pattern).findall
-        self.letters = _byte_letters()
-        space = self.letters[0x20]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        blanks = tuple(self.tokenizer.id_to_token(int(self._whole(x)[0])) for x in (" ", "\n"))
         self.is_start = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.is_start[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
-        self.marks = {c: self._piece(c) for c in ",.;:!?"}
+        self.is_start[[i for t, i in vocabulary.items() if t.startswith(blanks)]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cached = cached
-        self.clear()
-
-    def clear(self) -> None:
-        self.words = _Numbers()
-        self.pieces: dict[str, bytes] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lens = np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def _piece(self, piece: str) -> bytes:
-        """The ids of one piece as unsigned 32-bit numbers; bytes take a fraction of a list's memory."""
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-
-    def _any(self, text: str) -> bytes:
-        """The ids of a text that is split by the pattern."""
-        out = []
-        for piece in self.split(text):
-            if piece not in self.pieces:
-                self.pieces[piece] = self._piece(piece)
-            out.append(self.pieces[piece])
-        return b"".join(out)
-
-    def _learn_stems(self, stems: list[str]) -> None:
-        """Encodes words of letters only, each with a space before it, in one call."""
-        ids = np.array(self.tokenizer.encode(" " + " ".join(stems), add_special_tokens=False).ids, np.uint32)
-        at = np.flatnonzero(self.is_start[ids])
-        if len(at) == len(stems):
-            data, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
-            for stem, a, b in zip(stems, (at * 4).tolist(), ends):
-                self.pieces[" " + stem] = data[a:b]
-        else:
-            for stem in stems:
-                self.pieces[" " + stem] = self._piece(" " + stem)
-
-    def _learn(self, words: list[str]) -> None:
-        """Keeps the ids of a space and each word; a word with a blank at either end has length -1."""
-        stems = [w if w.isalpha() else w[:-1] if w[-1:] in self.marks and w[:-1].isalpha() else "" for w in words]
-        fresh = [s for s in dict.fromkeys(stems) if s and " " + s not in self.pieces]
-        if fresh:
-            self._learn_stems(fresh)
-        found: list[bytes] = []
-        lens: list[int] = []
-        for word, stem in zip(words, stems):
-            if stem:
-                data = self.pieces[" " + stem]
-                if len(stem) < len(word):
-                    data += self.marks[word[-1]]
-            elif not word or word[0].isspace() or word[-1].isspace():
-                lens.append(-1)
-                continue
-            else:
-                data = self._any(" " + word)
-            found.append(data)
-            lens.append(len(data) // 4)
-        ids = np.frombuffer(b"".join(found), np.uint32)
-        sizes = np.array(lens, np.int64)
-        taken = np.maximum(sizes, 0)
-        first, end = len(self.words) - len(words), len(self.words)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self._reset()
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _reset(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.lens, self.met = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self._add([b""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _shrink(self) -> None:
+        """Forgets the stretches met least often, half of them at least."""
+        n = len(self.numbers)
+        if n <= self.cached and self.used <= IDS_EACH * self.cached:
+            return
+        met = self.met[:n]
+        kept = np.flatnonzero(met > max(1, np.median(met)))
+        kept = kept[np.cumsum(self.lens[kept]) <= IDS_EACH * self.cached // 2]
+        kept = kept[kept > 0]  # the empty stretch is there anyway
+        names, flat, starts, lens = list(self.numbers), self.flat, self.starts[kept], self.lens[kept]
+        self._reset()
+        self._add([names[k] for k in kept], flat[ragged(starts, lens)], lens)
+
+    def _add(self, names: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
+        first, end = len(self.numbers), len(self.numbers) + len(names)
         while end > len(self.starts):
-            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+            self.starts, self.lens, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.met))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(self.used, len(ids)), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[first:end], self.lens[first:end] = self.used + np.cumsum(taken) - taken, sizes
+        self.starts[first:end], self.lens[first:end] = self.used + np.cumsum(lens) - lens, lens
+        self.met[first:end] = 0
         self.used += len(ids)
+        self.numbers.update(zip(names, range(first, end)))
+
+    def _learn(self, stretches: pa.Array) -> None:
+        """Keeps the ids of stretches, which are new and distinct."""
+        single = pc.match_substring_regex(stretches, f"^[ \n][^{_BLANK}]+$")
+        names = _bytes(joined := stretches.filter(single))
+        ids, lens = [], []
+        for k in range(0, len(names), JOINED):  # one text at a time: the library would otherwise start threads
+            part = names[k : k + JOINED]
+            found = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(self.is_start[found])
+            if len(at) != len(part):
+                each = [self._whole(x) for x in joined.slice(k, JOINED).to_pylist()]
+                found, at = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
+            ids.append(found)
+            lens.append(np.diff(at, append=len(found)))
+        others = stretches.filter(pc.invert(single))
+        for name in others.to_pylist():
+            ids.append(self._whole(name))
+            lens.append(np.array([len(ids[-1])], np.int64))
+        self._add(names + _bytes(others), np.concatenate(ids), np.concatenate(lens))
+
+    def _numbers_of(self, stretches: pa.Array) -> np.ndarray:
+        """The numbers of distinct stretches."""
+        names = _bytes(stretches)
+        at = np.fromiter((self.numbers.get(x, -1) for x in names), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn(stretches.take(pa.array(new)))
+            at[new] = np.fromiter((self.numbers[names[k]] for k in new.tolist()), np.int64, len(new))
+        self.met[at] += 1
+        return at
+
+    def _ids(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all stretches, number of ids of each); equal ones are looked up once."""
+        told = stretches.dictionary_encode()
+        whole = told.dictionary
+        stems = pc.utf8_rtrim(whole, _MARKS)
+        cut = pc.and_(pc.match_substring_regex(stems, f"[{_LETTER}]$"), pc.less(pc.binary_length(stems), pc.binary_length(whole)))
+        cut = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        ends = pc.binary_length(stems).to_numpy()[cut].tolist()
+        marks = pa.array([x[n:] for x, n in zip(_bytes(whole.take(pa.array(cut))), ends)], pa.large_binary()).cast(pa.large_string())
+        keep = np.ones(len(whole), bool)
+        keep[cut] = False
+        stems = pc.if_else(pa.array(keep), whole, stems).dictionary_encode()
+        marks = marks.dictionary_encode()
+        parts = np.zeros((len(whole), 2), np.int64)  # the empty stretch has number 0
+        parts[:, 0] = self._numbers_of(stems.dictionary)[stems.indices.to_numpy()]
+        parts[cut, 1] = self._numbers_of(marks.dictionary)[marks.indices.to_numpy()]
+        lens = self.lens[parts]
+        flat = self.flat[ragged(self.starts[parts].ravel(), lens.ravel())]
+        lens = lens.sum(axis=1)
+        at = told.indices.to_numpy()
+        return flat[ragged((np.cumsum(lens) - lens)[at], lens[at])], lens[at]
 
     def encode(self, text: str) -> np.ndarray:
-        first, *words = text.split(" ")
-        if len(self.words) > self.cached or len(self.pieces) > self.cached:
-            self.clear()
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if self.words.new:
-            new, self.words.new = self.words.new, []
-            self._learn(new)
-        lens = self.lens[at]
-        if not first or first[-1].isspace() or first[0].isspace() or (len(lens) and lens.min() < 0):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.concatenate([np.frombuffer(self._any(first), np.uint32), self.flat[ragged(self.starts[at], lens)]])
+        if any(s in text for s in self.special):
+            return self._whole(text)
+        out, at = [np.zeros(0, np.uint32)], 0
+        while at < len(text):
+            m = _CUT_LONG.search(text, at + PART)
+            end = m.start() if m else len(text)
+            out.append(self._ids(pa.array(_CUT.split(text[at:end]), pa.large_string()))[0])
+            at = end
+            self._shrink()
+        return np.concatenate(out)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); a null text has none."""
+        self._shrink()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        odd = pc.greater(pc.binary_length(texts), PART)
+        for s in (*self.special, _AT):
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False).copy()
+        plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts) if odd.any() else texts
+        for blank in (" ", "\n"):
+            plain = pc.replace_substring(plain, blank, _AT + blank)
+        split = pc.split_pattern(plain, _AT)
+        stretches = split.flatten()
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        # a stretch that ends with a blank belongs with the next one: such texts are split one by one
+        bad = np.flatnonzero(pc.match_substring_regex(stretches, f"[{_BLANK}]$").to_numpy(zero_copy_only=False))
+        odd[np.searchsorted(offsets, bad, side="right") - 1] = True
+        flat, lens = self._ids(stretches)
+        sizes = np.diff(np.concatenate([[0], np.cumsum(lens)])[offsets])
+        if odd.any():
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            for k in np.flatnonzero(odd).tolist():
+                parts[k] = self.encode(texts[k].as_py())
+                sizes[k] = len(parts[k])
+            flat = np.concatenate(parts)
+        return flat, sizes
+
+    def ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """column()'s result with end_id after each text's ids."""
+        flat, sizes = self.column(texts)
+        out = np.full(len(flat) + len(sizes), end_id, np.uint32)
+        out[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
+        return out, sizes + 1
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str | None = None, cached: int = CACHED) -> Encoder:
-    """The Encoder of this process for a vocabulary file (None: public_tokenizers' byte_bpe_50k.json), keeping cached words."""
+    """The Encoder of this process for a vocabulary file (None: public_tokenizers' byte_bpe_50k.json), keeping cached stretches."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     if path not in _encoders:
-        _encoders[path] = Encoder(path, public_tokenizers.PATTERN)
+        _encoders[path] = Encoder(path)
     _encoders[path].cached = cached
     return _encoders[path]

@@ -3,13 +3,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuscle.llm import mixing, packing, token_files
+from corpuscle.llm import mixing, packing, token_files, tokens
 from corpuscle.llm.tokens import encoder
 
 TEXTS = [(1, "Hello world, it's me."), (2, None), (3, ""), (4, "a  b \n c"), (5, "word " * 5000), (6, "日本 語 😀"), (6, "日本 語 😀"), (None, "no id"), (7, "<|endoftext|> is text"), (8, "x" * 30_000)]
@@ -18,23 +19,43 @@ TEXTS = [(1, "Hello world, it's me."), (2, None), (3, ""), (4, "a  b \n c"), (5,
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-@given(st.text(alphabet=" \n\tabcSTé'.,1日\x85\xa0\x1c!-😀", max_size=40))
+PIECES = st.one_of(st.text(alphabet=" \n\tabcSTé'.,1日\x85\xa0\x1c\x01!-😀ǅͿ\u200b", max_size=40), st.text(max_size=10), st.just("<|endoftext|>"))
+
+
+@given(st.lists(st.one_of(st.none(), st.lists(PIECES, max_size=4).map("".join)), max_size=6))
 @settings(max_examples=300, deadline=None)
-def test_encoder(text):
-    tokenizer = encoder().tokenizer
-    assert encoder().encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+def test_encoder(texts):
+    """Against the library itself: blanks of all kinds, special tokens' strings and what looks like the splitter's own mark."""
+    library = encoder().tokenizer
+    ids, sizes = encoder().column(pa.array(texts, pa.string()))
+    expected = [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert sizes.tolist() == [len(x) for x in expected]
+    assert ids.tolist() == [i for x in expected for i in x]
+    assert [encoder().encode(x or "").tolist() for x in texts] == expected
+
+
+def test_special_strings(plain):
+    assert encoder().encode("<|endoftext|> is text").tolist() == plain("<|endoftext|> is text") == [50256, 318, 2420]
+
+
+def test_encoder_cuts_long_texts(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "PART", 50)
+    rng = np.random.default_rng(2)
+    for alphabet in (list("ab .,\n1"), list("日本。,1ab_")):
+        text = "".join(rng.choice(alphabet, 3000))
+        assert encoder().column(pa.array([text, "short"]))[0].tolist() == plain(text) + plain("short")
 
 
 def test_encoder_cache_restarts(plain):
     from corpuscle.llm.tokens import Encoder
 
-    small = Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, cached=3)
-    for _, text in TEXTS:
-        assert small.encode(text or "").tolist() == plain(text)
+    small = Encoder(public_tokenizers.path("byte_bpe_50k.json"), cached=3)
+    for _ in range(2):
+        for _, text in TEXTS:
+            assert small.encode(text or "").tolist() == small.column(pa.array([text], pa.string()))[0].tolist() == plain(text)
 
 
 def docs(spark, rows=TEXTS):
@@ -98,6 +119,17 @@ def test_token_files(spark, plain):
     assert Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found) == expected
 
 
+def test_token_files_of_many_files(spark, plain, monkeypatch):
+    """Starts follow the numbers of the parts, not the files' names, also where a part is several files."""
+    monkeypatch.setitem(token_files.ORC_OPTIONS, "maxRecordsPerFile", "2")
+    rows = [(k, f"text {k} " * (k % 7)) for k in range(60)]
+    found = token_files.round_trip(docs(spark, rows)).collect()
+    at = 0
+    for row, (k, text) in zip(sorted(found, key=lambda r: r.doc_id), rows):
+        assert (row.doc_id, row.start) == (k, at)
+        at += len(plain(text)) + 1
+
+
 def test_token_files_read_a_part(spark, tmp_path, plain):
     path = f"file://{tmp_path}/tokens"
     token_files.write_token_files(docs(spark), path)
