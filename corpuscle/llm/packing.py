@@ -16,7 +16,7 @@ from .tokens import CACHED, encoder
 
 SEQUENCE, END_ID = 1024, 0
 #: Pieces of a length that are ranked in one task, on average.
-RANKED = 50_000
+RANKED = 1_000
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
