@@ -23,10 +23,12 @@ _roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset and all runs in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        app = spark.sparkContext.applicationId
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir is not set: executors of {master} share no local folder")
         found = _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="corpuscle-"))
     return found.rstrip("/")
 
@@ -113,11 +115,17 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame, ids_key: str, expected: in
     return joined.withColumn(maybe, F.coalesce(hit, F.lit(False))).select(*quoted(df.columns), maybe), maybe
 
 
+def row_order(df: DataFrame) -> Column:
+    """A number for each row by which rows of different contents are told apart in any run; map columns don't count."""
+    return F.xxhash64(*[F.col(q) for q, (_, t) in zip(quoted(df.columns), df.dtypes) if "map<" not in t and "variant" not in t])
+
+
 def without_rows(docs: DataFrame, listed: DataFrame) -> DataFrame:
     """docs without the listed (doc_id, text_sha256, one: boolean): all rows of that id and text go, or all but one of them.
 
     A row is told by its id and text together, so ids that are null or repeat take no other text along. Null text
-    counts as empty. Only rows that hit a bounded bitmap are shuffled.
+    counts as empty. Where one row stays and other columns differ, it is the one of the least row_order. Only rows that
+    hit a bounded bitmap are shuffled.
     """
     key, theirs, one, row = fresh(docs, "_key", "_theirs", "_one", "_whole")
 
@@ -133,7 +141,8 @@ def without_rows(docs: DataFrame, listed: DataFrame) -> DataFrame:
     rest = marked.where(maybe)
     out = marked.where(~F.col(maybe)).select(*columns).unionByName(rest.join(listed, F.col(key) == F.col(theirs), "left_anti").select(*columns))
     if ones:
-        single = rest.join(listed.where(one), F.col(key) == F.col(theirs), "left_semi").groupBy(key).agg(F.any_value(F.struct(*columns)).alias(row))
+        single = rest.join(listed.where(one), F.col(key) == F.col(theirs), "left_semi").groupBy(key)
+        single = single.agg(F.min_by(F.struct(*columns), row_order(docs)).alias(row))
         out = out.unionByName(single.select(*[F.col(row)[c].alias(c) for c in docs.columns]))
     return out
 

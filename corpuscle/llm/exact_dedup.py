@@ -75,8 +75,8 @@ def _hash_slices(primes):
             pieces = [x or b"" for x in batch.column("piece").to_pylist()]
             sums = [[polynomial(x, p)[0] for x in pieces] for p in primes]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("no"), pa.array(map(len, pieces), pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64())],
-                ["uid", "no", "n", "f1", "f2"],
+                [batch.column("text_sha256"), batch.column("no"), pa.array(map(len, pieces), pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64())],
+                ["text_sha256", "no", "n", "f1", "f2"],
             )
 
     return run
@@ -93,8 +93,8 @@ def _combine_slices(primes):
                 out.append((sums[0][1], sums[0][0], sums[1][0]))
             n, f1, f2 = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())],
-                ["uid", "n_bytes", "f1", "f2"],
+                [batch.column("text_sha256"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())],
+                ["text_sha256", "n_bytes", "f1", "f2"],
             )
 
     return run
@@ -116,17 +116,17 @@ def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int =
     small = base.where(F.octet_length("text") <= huge).mapInArrow(
         _hash_texts(primes), "doc_id long, n_bytes long, f1 long, f2 long, text_sha256 string"
     )
-    large = base.where(F.octet_length("text") > huge).select(
-        "doc_id", F.monotonically_increasing_id().alias("uid"), F.sha2("text", 256).alias("text_sha256"), F.encode("text", "UTF-8").alias("bytes")
-    )
-    cut = _explode_pieces(large, max(1, huge // 16), "uid").repartition("uid", "no")
-    hashed = cut.mapInArrow(_hash_slices(primes), "uid long, no int, n long, f1 long, f2 long")
+    large = base.where(F.octet_length("text") > huge).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.encode("text", "UTF-8").alias("bytes"))
+    # equal texts have equal slices, so a slice is told by its text's digest and its number: the same in any run of a task
+    cut = _explode_pieces(large, max(1, huge // 16), "doc_id", "text_sha256").repartition("doc_id", "text_sha256", "no")
+    hashed = cut.select("text_sha256", "no", "piece").mapInArrow(_hash_slices(primes), "text_sha256 string, no int, n long, f1 long, f2 long")
     whole = (
-        hashed.groupBy("uid")
+        hashed.distinct()
+        .groupBy("text_sha256")
         .agg(F.collect_list(F.struct("no", "n", "f1", "f2")).alias("parts"))
-        .mapInArrow(_combine_slices(primes), "uid long, n_bytes long, f1 long, f2 long")
+        .mapInArrow(_combine_slices(primes), "text_sha256 string, n_bytes long, f1 long, f2 long")
     )
-    return small.unionByName(large.drop("bytes").join(whole, "uid").drop("uid"))
+    return small.unionByName(large.select("doc_id", "text_sha256").join(whole, "text_sha256"))
 
 
 _KEY = ["n_bytes", "f1", "f2", "cls"]
@@ -195,6 +195,9 @@ def exact_duplicates(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: in
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates drops; all columns stay. Of equal texts that all lack an id one row stays."""
-    told = exact_duplicates(docs).where(~F.col("kept") | (F.col("doc_id").isNull() & (F.col("group_size") > 1)))
-    return without_rows(docs, told.select("doc_id", "text_sha256", F.col("kept").alias("one")).distinct())
+    """docs with one row of each group of equal texts, that of the largest doc_id (a null one if all are); all columns stay.
+
+    Of rows that repeat that id too, the one of the least common.row_order stays.
+    """
+    told = exact_duplicates(docs).where("group_size > 1").groupBy("doc_id", "text_sha256", "kept").agg(F.count(F.lit(1)).alias("rows"))
+    return without_rows(docs, told.where("not kept or rows > 1").select("doc_id", "text_sha256", F.col("kept").alias("one")))

@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 STAGE_SHINGLE, TENTHS = 5, 8
 #: Bands of minima over random orders of the shingles, and minima in a band: texts of similarity 0.8 share none with odds of 4 in 10,000.
 BANDS, ROWS = 20, 5
-#: Texts that each text of a band's bucket is compared with, where the bucket holds over PAIRED.
+#: Texts that each text of a band's bucket is compared with at first, where the bucket holds over PAIRED.
 LEADERS = 8
 _rng = np.random.default_rng(17)
 _FACTORS = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,29 +162,42 @@ def _shingle_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("sha"), pa.array(sets, pa.list_(pa.int64()))], ["sha", "shingles"])
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """nodes (node, bands) -> pairs (a, b) that share a band. In buckets of over PAIRED each node meets LEADERS of them."""
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """nodes (node, bands) -> (band, key, node, size) of the buckets that hold several nodes."""
     rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    full = stage(
-        rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band_buckets"
-    )
-    shared = stage(rows.join(full, ["band", "key"]), "band_shared")
+    full = stage(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band_buckets")
+    return stage(rows.join(full, ["band", "key"]), "band_shared")
+
+
+def _first_pairs(shared: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket; in those of over PAIRED nodes, pairs with LEADERS of them."""
     few = shared.where(F.col("size") <= PAIRED)
     pairs = few.select("band", "key", F.col("node").alias("a")).join(few.select("band", "key", F.col("node").alias("b")), ["band", "key"]).where("a < b")
     many = shared.where(F.col("size") > PAIRED)
     # The smallest of each of LEADERS shares of a bucket, so that no task sorts a bucket.
     leaders = stage(many.groupBy("band", "key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("share")).agg(F.min("node").alias("b")), "leaders")
     led = many.select("band", "key", F.col("node").alias("a")).join(leaders.select("band", "key", "b"), ["band", "key"]).where("a != b")
-    both = pairs.select("a", "b").union(led.select(F.least("a", "b"), F.greatest("a", "b")))
-    return both.distinct()
+    return pairs.select("a", "b").union(led.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
 
 
-def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """docs (text), nodes (node, text_sha256, bands) -> links (a, b) of nodes whose shingle sets' Jaccard similarity is TENTHS/10 or more.
+def _rest_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs (a, b) of buckets of over PAIRED nodes that links do not lead to each other so far.
 
-    Candidates share a band; each is verified on the whole sets of both texts.
+    Nodes outside a bucket's largest component meet all nodes of the bucket that lie in other components, so a
+    bucket that the leaders have made one component costs nothing more, however many copies it holds.
     """
-    pairs = stage(_candidates(nodes), "candidates")
+    many = shared.where(F.col("size") > PAIRED).join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    many = stage(many.select("band", "key", "node", F.coalesce("root", "node").alias("root")), "rooted_buckets")
+    held = many.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = stage(held.groupBy("band", "key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1"), "largest")
+    split = many.join(largest, ["band", "key"])
+    outside = split.where("root != largest").select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
+    both = outside.join(split.select("band", "key", F.col("node").alias("b"), F.col("root").alias("rb")), ["band", "key"]).where("ra != rb")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets, of the whole texts, have a Jaccard similarity of TENTHS/10 or more."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stage(nodes.join(ends, "node").select("node", "text_sha256"), "wanted")
     n = wanted.count()
@@ -193,27 +206,44 @@ def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     near, maybe = maybe_in(docs.select(text.alias("text"), F.sha2(text, 256).alias("sha")), "sha", wanted, "text_sha256", n)
     sets = near.where(maybe).mapInArrow(_shingle_sets, "sha string, shingles array<long>")
-    sets = stage(
-        sets.join(wanted, F.col("sha") == F.col("text_sha256")).groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingles"
-    )
+    sets = sets.join(wanted, F.col("sha") == F.col("text_sha256")).groupBy("node").agg(F.any_value("shingles").alias("shingles"))  # rows of one node are equal
+    sets = stage(sets, "shingles")
     told = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
     )
     common = F.size(F.array_intersect("x", "y"))
-    links = told.where((10 + TENTHS) * common >= TENTHS * (F.size("x") + F.size("y"))).select("a", "b")
-    links = stage(links, "similar")
-    for old in (pairs, wanted, sets):
-        release(old)
+    links = stage(told.where((10 + TENTHS) * common >= TENTHS * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
+    release(wanted)
+    release(sets)
     return links
 
 
+def similar(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """docs (text), nodes (node, text_sha256, bands), links (a, b) known already -> (node, root) of all links together.
+
+    Nodes link where TENTHS/10 or more of their distinct shingles are common. Candidates share a band; each is
+    verified on the whole sets of both texts. Pairs of large buckets are compared unless other links join their ends.
+    """
+    shared = _buckets(nodes)
+    first = stage(_first_pairs(shared), "candidates")
+    links = stage(links.union(_verified(docs, nodes, first)), "near_links")
+    release(first)
+    roots = components(links)
+    if shared.where(F.col("size") > PAIRED).isEmpty():
+        return roots
+    rest = stage(_rest_pairs(shared, roots), "more_candidates")
+    if rest.isEmpty():
+        return roots
+    return components(links.union(_verified(docs, nodes, rest)))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near copies, that of the smallest doc_id; all columns stay.
+    """docs with one row of each group of near copies, that of the smallest doc_id; all columns stay.
 
     Texts link at DISTANCE or fewer bits of their fingerprints, and where at least TENTHS/10 of their distinct
     five-word shingles are common. Fingerprint blocks cannot reach the latter, which lie 3 to 15 bits apart, so
     bands of minima find them; each is verified on the whole texts. Null ids count only if there is no other;
-    rows that repeat an id and its text stay or go together, but of rows without an id one stays.
+    of rows that repeat the id and text that stay, the one of the least common.row_order stays.
     """
     signed = stage(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, text_sha256 string, fp long, bands array<long>"), "signed")
     texts = signed.groupBy("text_sha256").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
@@ -224,8 +254,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         prints.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b"
     )
     same = nodes.join(prints, "fp").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    wide = similar(docs, nodes.select("node", "text_sha256", "bands"))
-    roots = components(bits.select(F.col("la").alias("a"), F.col("lb").alias("b")).union(same).union(wide))
+    roots = similar(docs, nodes.select("node", "text_sha256", "bands"), bits.select(F.col("la").alias("a"), F.col("lb").alias("b")).union(same))
     linked = stage(
         nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
             "text_sha256", F.struct(F.col("first").isNull(), F.col("first").alias("first"), F.col("text_sha256").alias("sha")).alias("own"), F.coalesce("root", "node").alias("root")
@@ -236,5 +265,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     counted = signed.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"))
     told = counted.join(linked.join(best, "root").select("text_sha256", "best"), "text_sha256")
     kept = F.col("doc_id").eqNullSafe(F.col("best.first")) & (F.col("text_sha256") == F.col("best.sha"))
-    told = told.withColumn("kept", kept).where(~F.col("kept") | (F.col("doc_id").isNull() & (F.col("rows") > 1)))
+    told = told.withColumn("kept", kept).where("not kept or rows > 1")
     return without_rows(docs, told.select("doc_id", "text_sha256", F.col("kept").alias("one")))

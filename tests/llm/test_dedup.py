@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpuscle.llm import exact_dedup, simhash, vector_graph
+from corpuscle.llm import common, exact_dedup, simhash, vector_graph
 from corpuscle.llm.components import components
 
 
@@ -39,7 +39,7 @@ def test_exact_keeps_columns(spark):
     docs = frame(spark, TEXTS)
     left = exact_dedup.drop_exact_duplicates(docs)
     assert left.columns == docs.columns
-    assert sorted(r.doc_id for r in left.collect()) == [4, 5, 7, 8, 9, 9]
+    assert sorted(r.doc_id for r in left.collect()) == [4, 5, 7, 8, 9]
 
 
 def test_fingerprints_combine():
@@ -170,7 +170,6 @@ def test_empty(spark, run):
 
 def test_empty_vectors(spark):
     assert vector_graph.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    assert F is not None
 
 
 def test_drops_by_row(spark):
@@ -184,6 +183,74 @@ def test_drops_by_row(spark):
     assert order(tuple(r) for r in simhash.drop_near_duplicates(docs).collect()) == order([*expected, (5, "A")])
 
 
+@pytest.mark.parametrize(
+    "rows, exact, near",
+    [
+        ([(1, "a"), (1, "b"), (2, "a")], [(1, "b"), (2, "a")], [(1, "a"), (1, "b")]),
+        ([(None, "a"), (None, "unique"), (2, "a")], [(2, "a"), (None, "unique")], [(2, "a"), (None, "unique")]),
+        ([(1, "x"), (5, "x"), (5, "different")], [(5, "different"), (5, "x")], [(1, "x"), (5, "different")]),
+        ([(2, "a"), (2, "a")], [(2, "a")], [(2, "a")]),
+        ([(None, None), (None, ""), (None, None)], [(None, None)], [(None, None)]),
+    ],
+)
+def test_drops_rows_not_ids(spark, rows, exact, near):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(((r.doc_id, r.text or None) for r in run(docs).collect()), key=str) for run in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates)]
+    assert found == [exact, near]
+
+
+def test_repeated_row_stays_the_same(spark):
+    """Rows alike in id and text but not elsewhere: the same one stays however the table is dealt."""
+    docs = spark.createDataFrame([(2, "a", f"s{k}", {"k": k}) for k in range(20)], "doc_id long, text string, source string, extra map<string,int>")
+    for run in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates):
+        assert len({run(docs.repartition(n)).collect()[0].source for n in (1, 3, 7)}) == 1
+
+
+def test_large_texts_of_shuffled_rows(spark):
+    """Slices find their text again although no two reads of the input deal rows alike."""
+    texts = [(k, f"{k % 40} " * 300) for k in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    for row in exact_dedup.exact_duplicates(docs, huge=500).collect():
+        assert (row.keep_id, row.group_size) == (80 + row.doc_id % 40, 3)
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        applicationId, master = "a", "spark://host:7077"
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+
+
+def test_stage_meets_all_of_a_full_bucket(spark, monkeypatch):
+    """Chains of texts whose ends differ: with one leader to a bucket, the rest is still compared until all is one component."""
+    monkeypatch.setattr(simhash, "PAIRED", 2)
+    monkeypatch.setattr(simhash, "LEADERS", 1)
+    rng, rows = random.Random(3), []
+    for chain in range(3):
+        words = [f"c{chain}w{n}" for n in range(200)]
+        for k in range(25):
+            at = 20 + 7 * k
+            words[at : at + 4] = [f"n{rng.random()}" for _ in range(4)]
+            rows.append((100 * chain + k, " ".join(words)))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or bin(slow_simhash(rows[i][1]) ^ slow_simhash(rows[j][1])).count("1") <= 2:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(rows[i][0] for i in range(len(rows)) if root(i) == i)
+
+
 def test_stage_drops_similar_texts(spark):
     """Texts of which at least 0.8 of the five-word shingles are common go, many bits apart or in one large group; others stay."""
     rng, rows = random.Random(9), []
