@@ -49,10 +49,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{_roots[app]}/{uuid.uuid4().hex}-{label}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends here, a lost executor costs one stage."""
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends here, a lost executor costs one stage.
+
+    by: a column whose values get folders of their own, so that reading one leaves the others alone.
+    """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out

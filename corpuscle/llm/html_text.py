@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line for each block element. Sliding windows of lines sum the text outside links and
-outside menus, adverts and the like; the text starts where the sums surge and ends where they dive. The stretch
-that holds most text is kept whole, along with all lines, short ones too, of the element that holds most of it; where
-that element lies in an article, the article's lines are kept instead.
+Markup is stripped to one line for each block element; menus, adverts and the like give no line. Sliding windows of
+lines sum the text outside links; the text starts where the sums surge and ends where they dive. Of these stretches the
+one that holds most text is widened to the bounds of the element it lies in, an article element where there is one,
+and all lines between the bounds are the main text.
 """
 
 from __future__ import annotations
@@ -27,114 +27,197 @@ _INLINE = frozenset(
     " span strike strong sub sup time tt u var wbr".split()
 )
 _NOISE = frozenset(
-    "nav header footer aside form script style noscript template iframe object svg button select option textarea"
+    "nav footer aside script style noscript template iframe object svg button select option textarea"
     " title head menu dialog input canvas audio video map".split()
 )
 _HOLDERS = frozenset(("article", "main"))
 _NEVER = frozenset("html body article main h1".split())
 _NOISE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie"
-    " cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager"
-    " pagination paywall popup promo promoted promotion related recommended reply replies search share sharing sidebar"
-    " signup social sponsor sponsored subscribe subscription toolbar topbar widget header alert respond".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie"
+    " cookies footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager"
+    " pagination paywall popup promo promoted promotion related recommended search share sharing sidebar"
+    " signup social sponsor sponsored subscribe subscription toolbar topbar widget header alert".split()
+)
+_COMMENT_NAMES = frozenset("comment comments disqus reply replies respond".split())
+#: What a name may hold beside these and still mean the same: site-footer and sidebar-left, not no-sidebar or ad-free.
+_PLAIN_NAMES = frozenset(
+    "area bar block bottom box column container fixed global inner item items left links list main page primary right"
+    " secondary section site slot sticky top unit wrap wrapper".split()
 )
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: What an opening tag closes if it is open: paragraphs at any block, items at the next item.
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(_RAW.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[/!?a-zA-Z][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+
+def _token(quoted: str):
+    """Comments, raw elements with their content, tags, and what is left of '<': quoted is what a quoted value may hold."""
+    rest = rf"(?:[^>\"']++|\"[^\"{quoted}]*+\"|'[^'{quoted}]*+')*+"
+    return re.compile(
+        r"<!--.*?(?:-->|\Z)"
+        rf"|<(?P<raw>{'|'.join(_RAW.split())})\b{rest}>.*?(?:</(?P=raw)\s*>|\Z)"
+        rf"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>{rest})>"
+        r"|(?P<odd><[/!?a-zA-Z][^>]*+(?:>|\Z))",
+        re.S | re.I,
+    )
+
+
+#: Once a tag has no end outside quotes, quoted values end at the next '<', so that no page is scanned over and over.
+_TOKEN, _TOKEN_SHORT = _token(""), _token("<")
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
+#: Kinds of noise: SOFT is text after all where it holds most of a page, HARD never is.
+_SOFT, _HARD = 1, 2
+
+
+def _named(value: str, names: frozenset[str]) -> set[str]:
+    """The names that whole class tokens stand for."""
+    found = set()
+    for token in value.split():
+        parts = {x for x in _NAME_PARTS.split(token) if x and not x.isdigit()}
+        if parts & names and not parts - names - _PLAIN_NAMES:
+            found |= parts & names
+    return found
 
 
-def _is_noise(name: str, rest: str, inside: bool) -> bool:
+def _noise(name: str, rest: str, inside: bool) -> int:
     if name in _NEVER:
-        return False
+        return 0
     if name in _NOISE:
-        return not (name == "header" and inside)
+        return _HARD
+    if name in ("header", "form") and not (name == "header" and inside):
+        return _SOFT
     if not rest:
-        return False
+        return 0
     found = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _ATTRIBUTE.findall(rest)}
-    if "hidden" in found or found.get("role") in _NOISE_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True
-    names = set(_NAME_PARTS.split(f"{found.get('class', '')} {found.get('id', '')}")) & _NOISE_NAMES
-    return bool(names - {"header"} if inside else names)
-
-
-def _lines(page: str) -> list[tuple[str, int, tuple[int, ...], bool]]:
-    """(text, weight, ids of the open elements from outside in, in an article) of each block that has text."""
-    out: list[tuple[str, int, tuple[int, ...], bool]] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # name, id of a block element, noise, inside an article
-    parts: list[str] = []
-    state = {"weight": 0, "links": 0, "ids": 0}
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
-        if text and not (stack and stack[-1][2]):
-            out.append((text, state["weight"], tuple(x[1] for x in stack if x[1]), bool(stack) and stack[-1][3]))
-        state["weight"] = 0
-
-    def pop(to: int) -> None:
-        while len(stack) > to:
-            name = stack.pop()[0]
-            state["links"] -= name == "a"
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
-            if not (stack and stack[-1][2]):
-                parts.append(text)
-                state["weight"] += 0 if state["links"] else len(text.strip())
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
-            continue
-        if name in _VOID:
-            if name in ("br", "hr"):
-                if name == "hr":
-                    flush()
+    if "hidden" in found or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
+        return _HARD
+    value = f"{found.get('class', '')} {found.get('id', '')}"
+    if _named(value, _COMMENT_NAMES):
+        return _HARD
+    names = _named(value, _NOISE_NAMES)
+    return _SOFT if names - {"header"} or (names and not inside) or found.get("role") in _NOISE_ROLES else 0
+
+
+class _Walk:
+    """One pass over a page: its lines, the ranges of lines of its block elements, and its soft noise.
+
+    Each tag costs the same however deep it lies: open elements are found by name, blocks by a list of their own.
+    """
+
+    def __init__(self, page: str, kept: frozenset[int] = frozenset()) -> None:
+        self.kept = kept  # numbers of soft noise that is text after all
+        self.lines: list[tuple[str, int, int, int]] = []  # text, weight, parent of its block, outermost article
+        self.ranges: list[list[int]] = [[0, 0]]  # of lines, for each block element
+        self.soft: list[tuple[int, int, int, str]] = []  # number, characters and article elements in it, name
+        self.chars = self.holders = 0  # characters outside links and hard noise, article elements and main headings
+        self.stack: list[tuple[str, int, int, int, tuple[int, int, int] | None]] = []  # name, block, noise, article, soft
+        self.blocks: list[int] = []  # places in the stack
+        self.places: dict[str, list[int]] = {}
+        self.parts: list[str] = []
+        self.weight = self.links = 0
+        token, at, number = _TOKEN, 0, 0
+        while m := token.search(page, at):
+            if m.start() > at:
+                self._text(page[at : m.start()])
+            at = m.end()
+            if m["odd"] and token is _TOKEN:
+                token = _TOKEN_SHORT
+            name = (m["name"] or "").lower()
+            if name == "hr":
+                self._flush()
+            elif name == "br":
+                if not self._noise():
+                    self.parts.append(" ")
+            elif name and name not in _VOID:
+                if m["close"]:
+                    self._close(name)
                 else:
-                    parts.append(" ")
-            continue
+                    number += 1
+                    self._open(name, m["rest"], number)
+        if at < len(page):
+            self._text(page[at:])
+        self._flush()
+        self._pop(0)
+
+    def _noise(self) -> int:
+        return self.stack[-1][2] if self.stack else 0
+
+    def _text(self, text: str) -> None:
+        noise, n = self._noise(), 0 if self.links else len(text.strip())
+        if noise != _HARD:
+            self.chars += n
+        if not noise:
+            self.parts.append(text)
+            self.weight += n
+
+    def _flush(self) -> None:
+        text = " ".join(html.unescape("".join(self.parts)).split())
+        self.parts.clear()
+        if text:
+            parent = self.stack[self.blocks[-2 if len(self.blocks) > 1 else -1]][1] if self.blocks else 0
+            self.lines.append((text, self.weight, parent, self.stack[-1][3] if self.stack else 0))
+        self.weight = 0
+
+    def _pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            name, block, _, _, soft = self.stack.pop()
+            self.places[name].pop()
+            self.links -= name == "a"
+            if block:
+                self.blocks.pop()
+                self.ranges[block][1] = len(self.lines)
+            if soft:
+                number, chars, holders = soft
+                self.soft.append((number, self.chars - chars, self.holders - holders, name))
+
+    def _close(self, name: str) -> None:
+        places = self.places.get(name)
+        if not places:
+            return
+        last = self.blocks[-1] if self.blocks else -1
+        if name in _INLINE and last > places[-1]:
+            return
+        if last >= places[-1]:
+            self._flush()
+        self._pop(places[-1])
+
+    def _open(self, name: str, rest: str, number: int) -> None:
         block = name not in _INLINE
-        if m["close"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None and (block or not any(x[1] for x in stack[depth + 1 :])):
-                if any(x[1] for x in stack[depth:]):
-                    flush()
-                pop(depth)
-            continue
         if block:
-            flush()
-            closes = _SIBLINGS.get(name, ()) + ("p",)
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1] and stack[k][0] not in closes), -1) + 1
-            if any(x[1] for x in stack[depth:]):
-                pop(next(k for k in range(depth, len(stack)) if stack[k][1]))
-        if m["rest"].endswith("/") and not block:
-            continue
-        inside = bool(stack) and stack[-1][3]
-        noise = (bool(stack) and stack[-1][2]) or _is_noise(name, m["rest"], inside)
-        state["ids"] += 1
-        state["links"] += name == "a"
-        stack.append((name, state["ids"] if block else 0, noise, inside or name in _HOLDERS))
-        if noise and not block and parts:
-            parts.append(" ")
-    if at < len(page) and not (stack and stack[-1][2]):
-        parts.append(page[at:])
-        state["weight"] += 0 if state["links"] else len(page[at:].strip())
-    flush()
-    return out
-
-
-def _stretches(weights: list[int]) -> list[tuple[int, int]]:
+            self._flush()
+            closes, k = (*_SIBLINGS.get(name, ()), "p"), len(self.blocks)
+            while k and self.stack[self.blocks[k - 1]][0] in closes:
+                k -= 1
+            if k < len(self.blocks):
+                self._pop(self.blocks[k])
+        elif rest.endswith("/"):
+            return
+        _, _, noise, article, _ = self.stack[-1] if self.stack else ("", 0, 0, 0, None)
+        own = _noise(name, rest, article > 0)
+        soft = (number, self.chars, self.holders) if own == _SOFT else None
+        if own == _SOFT and number in self.kept:
+            own = 0
+        if noise != _HARD:
+            self.holders += name in _HOLDERS or name == "h1"
+        if own and not block and self.parts:
+            self.parts.append(" ")
+        if block:
+            self.blocks.append(len(self.stack))
+            self.ranges.append([len(self.lines), len(self.lines)])
+        made = len(self.ranges) - 1 if block else 0
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, made, max(noise, own), article or (made if name in _HOLDERS else 0), soft))
+        self.links += name == "a"
+
+
+def _walk(page: str) -> _Walk:
+    """Soft noise that holds over half of a page's text is none: a wrapper with an article in it, or a form around it all."""
+    walk = _Walk(page)
+    kept = frozenset(n for n, chars, holders, name in walk.soft if 2 * chars > walk.chars and (holders or name == "form"))
+    return _Walk(page, kept) if kept else walk
+
+
+def stretches(weights: list[int]) -> list[tuple[int, int]]:
     """[surge, dive) stretches: from where a window's sum rises over the threshold to where the sums fall to nothing."""
     sums = [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
     least, out, start = max(sums) * SURGE, [], None
@@ -147,38 +230,32 @@ def _stretches(weights: list[int]) -> list[tuple[int, int]]:
     return [*out, (start, len(sums))] if start is not None else out
 
 
+def _heaviest(weights: list[int], keys: list[int]) -> int:
+    """The key with the largest sum of weights, of equal ones the least."""
+    sums: dict[int, int] = {}
+    for key, weight in zip(keys, weights):
+        sums[key] = sums.get(key, 0) + weight
+    return max(sums, key=lambda k: (sums[k], -k))
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by a line feed; empty if there is no text."""
-    lines = _lines(page or "")
-    weights = [w for _, w, _, _ in lines]
+    walk = _walk(page or "")
+    weights = [x[1] for x in walk.lines]
     if not any(weights):
         return ""
-    stretches = _stretches(weights)
-    first, last = max(stretches, key=lambda s: sum(weights[s[0] : s[1]]))
-    holder: dict[int, int] = {}
-    for k in range(first, last):
-        path, inside = lines[k][2], lines[k][3]
-        if path:
-            holder[path[-2] if len(path) > 1 else path[0]] = holder.get(path[-2] if len(path) > 1 else path[0], 0) + weights[k]
-    if not holder:
-        return "\n".join(x[0] for x in lines[first:last])
-    best = max(holder, key=lambda k: (holder[k], -k))
-    outer = next((x for x in lines[first:last] if best in x[2]))
-    if outer[3]:  # the article element around it, if there is one
-        best = _article_id(lines, outer, best)
-        return "\n".join(text for text, _, path, _ in lines if best in path)
-    heavy = [k for k in range(first, last) if weights[k]]  # a stretch may begin and end with lines of mere links
-    return "\n".join(x[0] for k, x in enumerate(lines) if heavy[0] <= k <= heavy[-1] or best in x[2])
-
-
-def _article_id(lines, line, best: int) -> int:
-    """The outermost element around line within which every line is inside an article."""
-    for k in line[2]:
-        if all(x[3] for x in lines if k in x[2]):
-            return k
-        if k == best:
-            break
-    return best
+    first, last = max(stretches(weights), key=lambda s: sum(weights[s[0] : s[1]]))
+    inside = walk.lines[first:last]
+    article = _heaviest(weights[first:last], [x[3] for x in inside])
+    if article:
+        first, last = walk.ranges[article]
+    else:
+        heavy = [k for k in range(first, last) if weights[k]]  # a stretch may begin and end with lines of mere links
+        first, last = heavy[0], heavy[-1] + 1
+        holder = _heaviest(weights[first:last], [x[2] for x in walk.lines[first:last]])
+        if holder:
+            first, last = min(first, walk.ranges[holder][0]), max(last, walk.ranges[holder][1])
+    return "\n".join(x[0] for x in walk.lines[first:last])
 
 
 def _extract(batches):

@@ -14,12 +14,12 @@ from .common import give_back, release, slices, stage, utf8
 
 #: Features are hashed to 2**BITS weights, which bounds what is sent to the executors.
 BITS = 20
-#: Labelled rows that are learned from at most: those of the smallest id hashes.
+#: Labelled ids that are learned from at most: those of the smallest hashes, each from one text.
 TRAIN_ROWS = 30_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 3.0, 0.1
+#: Parts that the rows to learn from are dealt to by hash; the driver holds one at a time.
+PARTS = 16
+EPOCHS, ALPHA, BETA, L1, L2 = 3, 2.0, 1.0, 6.0, 0.1
 THRESHOLD = 0.3
-#: First bytes of a word that are features of their own, so that unseen endings of a known stem count.
-PREFIXES = (4, 5, 6)
 CACHED = 150_000
 # Odd multipliers that mix word hashes into features.
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -28,20 +28,20 @@ _WORDS = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() e
 
 
 class _WordNumbers(dict):
-    """Numbers words as they are met; hashes holds, for each, the hash of the word and of its first bytes."""
+    """Numbers words as they are met; hashes holds the hash of each."""
 
     def __init__(self) -> None:
         self.restart()
 
     def restart(self) -> None:
         self.clear()
-        self.hashes = np.zeros((1 << 12, 1 + len(PREFIXES)), np.uint64)
+        self.hashes = np.zeros(1 << 12, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         n = len(self)
         if n == len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[n] = [xxhash.xxh64_intdigest(word), *(xxhash.xxh64_intdigest(word[:k], k) for k in PREFIXES)]
+        self.hashes[n] = xxhash.xxh64_intdigest(word)
         self[word] = n
         return n
 
@@ -56,7 +56,7 @@ def _forget() -> None:
 
 
 def features(data: bytes, weighted: np.ndarray | None = None) -> np.ndarray:
-    """Distinct feature numbers of a text: words and their first bytes, pairs of neighbours, pairs with one word between.
+    """Distinct feature numbers of a text: words, pairs of neighbours, and skip-grams, pairs with one word between.
 
     weighted: only those with True there are wanted.
     """
@@ -64,11 +64,10 @@ def features(data: bytes, weighted: np.ndarray | None = None) -> np.ndarray:
     if len(_numbers) > CACHED:
         _numbers.restart()
     at = np.fromiter(map(_numbers.__getitem__, words), np.int64, len(words))
-    own = _numbers.hashes[at]
-    h = own[:, 0]
+    h = _numbers.hashes[at]
     shift = np.uint64(64 - BITS)
     with np.errstate(over="ignore"):
-        every = np.concatenate([(own * _MIX[0]).ravel(), (h[:-1] * _MIX[1] + h[1:]) * _MIX[2], (h[:-2] * _MIX[3] + h[2:]) * _MIX[4]]) >> shift
+        every = np.concatenate([h * _MIX[0], (h[:-1] * _MIX[1] + h[1:]) * _MIX[2], (h[:-2] * _MIX[3] + h[2:]) * _MIX[4]]) >> shift
     every = every.astype(np.int64)
     return np.unique(every if weighted is None else every[weighted[every]])
 
@@ -105,7 +104,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature numbers, their weights, bias) from docs (doc_id, text) and labels (doc_id, toxic).
 
-    Labels of null, of held-out ids or without a document teach nothing; of several for an id the largest counts.
+    Labels of null, of held-out ids or without a document teach nothing; of several for an id the largest counts, of
+    several texts of an id the least.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -118,13 +118,19 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "features"])
         _forget()
 
-    seen = stage(docs.select("doc_id", "text").join(rows, "doc_id").mapInArrow(to_features, "doc_id long, toxic int, features binary"), "features")
+    texts = docs.select("doc_id", "text").join(rows, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = texts.mapInArrow(to_features, "doc_id long, toxic int, features binary")
+    found = found.withColumn("hash", F.xxhash64("doc_id")).withColumn("part", F.pmod(F.col("hash"), F.lit(PARTS)).cast("int"))
+    seen = stage(found, "features", by="part")
     total, ones = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
     model = Ftrl((ones + 0.1) / (total + 1))
     if ones:
-        for _ in range(EPOCHS):  # always in the order of the files, a partition at a time
-            for row in seen.toLocalIterator():
-                model.learn(np.frombuffer(row.features, "<u4").astype(np.int64), int(row.toxic > 0))
+        for _ in range(EPOCHS):
+            for part in range(PARTS):  # in the order of the hashes, however the tables are dealt
+                told = seen.where(F.col("part") == part).select("hash", "doc_id", "toxic", "features").toArrow()
+                told = told.sort_by([("hash", "ascending"), ("doc_id", "ascending")])
+                for toxic, data in zip(told.column("toxic").to_pylist(), told.column("features")):
+                    model.learn(np.frombuffer(data.as_buffer(), "<u4").astype(np.int64), int(toxic > 0))
     release(seen)
     w = model.weights(np.arange((1 << BITS) + 1))
     at = np.flatnonzero(w[:-1])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Rule tables of up to so many rows go to every task; larger ones are dealt out by key range with the urls.
 LOCAL_RULES = 50_000
-_SEPARATOR = "\x01"
+_SEPARATOR, _ESCAPE = "\x01", "\x02"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,6 +31,8 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
+    """The labels in reverse order, each ended by the separator; what a host holds of it, and of the escape, is escaped."""
+    host = F.replace(F.replace(host, F.lit(_ESCAPE), F.lit(_ESCAPE + "\x04")), F.lit(_SEPARATOR), F.lit(_ESCAPE + "\x03"))
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), _SEPARATOR), F.lit(_SEPARATOR))
 
 
@@ -140,7 +142,8 @@ def judge_urls(
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = max(1, pages.count())
-    sample = sorted(r.key for r in urls.select("key").sample(min(1.0, 40 * n / total), seed=7).limit(100 * n).collect())
+    picked = urls.sample(min(1.0, 40 * n / total), seed=7).select("key").orderBy(F.xxhash64("key", "page_id")).limit(100 * n)
+    sample = sorted(r.key for r in picked.collect())
     bounds = [sample[len(sample) * k // n] for k in range(1, n)] if sample else []
 
     def deal(key: str, salt: str | None) -> list[int]:
