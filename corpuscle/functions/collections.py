@@ -82,15 +82,28 @@ SCRIPTS = (
 )
 
 
+def script_classes() -> dict[str, str]:
+    """What a regular expression's brackets hold for each script: its code points without blanks."""
+    blanks = (*range(0x09, 0x0E), 0x20)
+    out: dict[str, str] = {}
+    for name, first, last in SCRIPTS:
+        cuts = [first - 1, *[b for b in blanks if first <= b <= last], last + 1]
+        parts = [rf"\x{{{a + 1:X}}}-\x{{{b - 1:X}}}" for a, b in zip(cuts, cuts[1:]) if b - a > 1]
+        out[name] = out.get(name, "") + "".join(parts)
+    return out
+
+
 def script_runs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, run, script, text): runs of characters of one script; blanks and unknown characters join the run before."""
-    chars = docs.select(key, F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("pos", "c"))
-    point = F.ascii("c")
-    script = F.lit(None).cast("string")
-    for name, first, last in reversed(SCRIPTS):
-        script = F.when(point.between(first, last) & ~F.col("c").rlike(r"\s"), name).otherwise(script)
-    order = Window.partitionBy(key).orderBy("pos")
-    known = chars.withColumn("s", F.coalesce(F.last(script, ignorenulls=True).over(order), F.lit("latin")))
-    starts = known.withColumn("new", F.when(F.col("s") == F.lag("s").over(order), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "")
-    return starts.groupBy(key, "run").agg(F.first("s").alias("script"), joined.alias("text"))
+    """(key, run, script, text): runs of characters of one script; blanks and unknown characters join the run before.
+
+    Those at the start of a text count as latin. Runs are cut within the row, so that nothing is shuffled.
+    """
+    classes = script_classes()
+    known = "".join(classes.values())
+    other = f"[^{known}]"
+    starts = [f"^{other}[{classes['latin']}{other}]*+", *[f"[{c}][{c}{other}]*+" for c in classes.values()]]
+    runs = docs.select(key, F.posexplode(F.regexp_extract_all("text", F.lit("|".join(starts)), 0)).alias("pos", "text"))
+    script = F.lit("latin")
+    for name, c in classes.items():
+        script = F.when(F.col("text").rlike(f"[{c}]"), name).otherwise(script)
+    return runs.select(key, (F.col("pos") + 1).cast("long").alias("run"), script.alias("script"), "text")

@@ -348,7 +348,7 @@ def simplify_blocks(root: Node) -> None:
 
 def fix_nesting(root: Node) -> None:
     """A node under a forbidden ancestor splits that ancestor into what stands before it, itself, and what follows."""
-    for _ in range(1000):
+    while True:  # each split takes a node out of a forbidden ancestor and puts none into one
         for n in root.walk():
             bad = FORBIDDEN_ABOVE.get(n.kind, frozenset())
             chain = n.above()

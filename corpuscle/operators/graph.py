@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.staging import stage
 
 #: The languages that an article is expected to link to.
 LANGUAGES = ("fr", "de", "ja", "zh", "it", "pl", "es", "ru", "pt", "nl")
@@ -39,36 +40,37 @@ def missing_languages(docs: DataFrame, min_words: int = 1000, languages: tuple[s
     return rows.select("title", "n_words", F.size("_m").cast("long").alias("n_missing"), F.array_join(F.array_sort("_m"), ",").alias("missing"))
 
 
-def resolve_redirects(redirects: DataFrame, max_hops: int = 32) -> DataFrame:
-    """(src, dst, hops): where each redirect (src, dst) ends; null where redirects go round in a circle.
+def resolve_redirects(redirects: DataFrame) -> DataFrame:
+    """(src, dst, hops): where each redirect (src, dst) ends, however far; null where redirects go round in a circle.
 
-    Hops double each time: every redirect that still leads to another is joined with what that one leads to.
+    Hops double each time: every redirect that still leads to another is joined with what that one leads to. After as
+    many hops as there are redirects, what still leads to another is in a circle or leads into one.
     """
-    current = redirects.groupBy("src").agg(F.min("dst").alias("dst")).withColumn("hops", F.lit(1).cast("long"))
-    done = 1
-    while done < max_hops:
+    first = stage(redirects.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst")), "redirects")
+    current, done, n = stage(first.withColumn("hops", F.lit(1).cast("long")), "hops"), 1, first.count()
+    while done <= n:
         step = current.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("hops").alias("_h"))
         joined = current.join(step, F.col("dst") == F.col("_s"), "left")
-        current = joined.select("src", F.coalesce("_d", "dst").alias("dst"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
+        if joined.where("_s is not null").isEmpty():
+            break
+        current = stage(joined.select("src", F.coalesce("_d", "dst").alias("dst"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")), "hops")
         done *= 2
-    still = current.join(redirects.select(F.col("src").alias("_s")).distinct(), F.col("dst") == F.col("_s"), "left")
+    still = current.join(first.select(F.col("src").alias("_s")), F.col("dst") == F.col("_s"), "left")
     circle = F.col("_s").isNotNull()
     return still.select("src", F.when(~circle, F.col("dst")).alias("dst"), F.when(~circle, F.col("hops")).alias("hops"))
 
 
-def template_closure(pages: DataFrame, templates: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(title, template): every template that a page (title, text) uses, also through templates (title, text)."""
+def template_closure(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """(title, template): every template that a page (title, text) uses, also through templates (title, text), however deep."""
+
     def used(df: DataFrame) -> DataFrame:
         names = F.regexp_extract_all(F.col("text"), F.lit(r"\{\{\s*([^{}|]+?)\s*(?:\||\}\})"), 1)
-        return df.select("title", F.explode(F.array_distinct(F.transform(names, X.normalize_title))).alias("template"))
+        return df.select("title", F.explode(F.array_distinct(F.transform(names, X.normalize_title))).alias("template")).distinct()
 
-    edges = used(templates).select(F.col("title").alias("_t"), F.col("template").alias("_u")).distinct()
-    found = used(pages).distinct()
-    frontier = found
-    for _ in range(max_depth):
+    edges = stage(used(templates).select(F.col("title").alias("_t"), F.col("template").alias("_u")), "edges")
+    found = frontier = stage(used(pages), "frontier")
+    while not frontier.isEmpty():
         reached = frontier.join(edges, F.col("template") == F.col("_t")).select("title", F.col("_u").alias("template")).distinct()
-        frontier = reached.join(found, ["title", "template"], "left_anti")
-        if frontier.isEmpty():
-            break
+        frontier = stage(reached.join(found, ["title", "template"], "left_anti"), "frontier")
         found = found.unionByName(frontier)
     return found

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import stage
+from .stats import uniform
+
 
 def _model(vectors: DataFrame, more: DataFrame | None) -> DataFrame:
     """The vectors that a weight's statistics come from: these and any secondary ones."""
@@ -77,9 +80,10 @@ def jaccard(vectors: DataFrame, more: DataFrame | None = None, all_pairs: bool =
 
 
 def random_similarity(vectors: DataFrame, seed: int = 0) -> DataFrame:
-    """A uniform score for each ordered pair: a baseline."""
+    """A uniform score for each ordered pair, drawn by a hash of the seed and the pair: a baseline."""
     heads = vectors.select("head").distinct()
-    return heads.crossJoin(heads.withColumnRenamed("head", "target")).where("head != target").withColumn("score", F.rand(seed))
+    pairs = heads.crossJoin(heads.withColumnRenamed("head", "target")).where("head != target")
+    return pairs.withColumn("score", uniform(F.concat_ws("|", F.lit(str(seed)), "head", "target")))
 
 
 #: Similarity by name: vectors and secondary vectors -> (head, target, score).
@@ -99,9 +103,29 @@ def top_neighbours(scores: DataFrame, k: int = 50, digits: int = 6) -> DataFrame
     return rounded.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
 
 
+#: Metrics whose scores are 0 only for pairs without a shared feature: name -> (vectors, more) -> scores of the other pairs.
+_POSITIVE: dict[str, Callable[..., DataFrame]] = {
+    "jaccard": lambda v, more=None: jaccard(v, all_pairs=False),
+    "tf_weighted_jaccard": lambda v, more=None: weighted_jaccard(weight_tf(v), all_pairs=False),
+    "tfidf_weighted_jaccard": lambda v, more=None: weighted_jaccard(weight_tfidf(v, more), all_pairs=False),
+}
+
+
 def similar_words(vectors: DataFrame, metric: str = "ttest_weighted_jaccard", more: DataFrame | None = None, k: int = 50) -> DataFrame:
-    """The k nearest targets of each head by a metric of METRICS."""
-    return top_neighbours(METRICS[metric](vectors, more), k)
+    """The k nearest targets of each head by a metric of METRICS.
+
+    Where only pairs with a shared feature score over 0 the others are not listed: a head with fewer than k of
+    those takes the rest from the last k + 1 + k targets by name, of which at most k score over 0 and one is itself.
+    """
+    if metric not in _POSITIVE:
+        return top_neighbours(METRICS[metric](vectors, more), k)
+    vectors = stage(vectors, "vectors")
+    best = stage(top_neighbours(_POSITIVE[metric](vectors, more), k), "best")
+    heads = vectors.select("head").distinct()
+    short = heads.join(best.groupBy("head").agg(F.count(F.lit(1)).alias("n")), "head", "left").where(F.coalesce("n", F.lit(0)) < k).select("head")
+    last = heads.orderBy(F.desc("head")).limit(2 * k + 1).select(F.col("head").alias("target"))  # bounded by k
+    fill = short.crossJoin(F.broadcast(last)).where("head != target").join(best, ["head", "target"], "left_anti")
+    return top_neighbours(best.unionByName(fill.withColumn("score", F.lit(0.0))), k)
 
 
 def keep_features(vectors: DataFrame, good: DataFrame) -> DataFrame:
@@ -109,10 +133,18 @@ def keep_features(vectors: DataFrame, good: DataFrame) -> DataFrame:
     return vectors.join(good.select("feature").distinct(), "feature", "left_semi").select("head", "feature", "cnt")
 
 
+def _split_names(senses: DataFrame, mark: str) -> DataFrame:
+    return senses.select(F.split_part(F.col("head"), F.lit(mark), F.lit(1)).alias("head")).distinct()
+
+
+def split_heads(vectors: DataFrame, senses: DataFrame, mark: str = "ZZZ") -> DataFrame:
+    """The vectors whose heads senses split (the part before mark)."""
+    return vectors.join(_split_names(senses, mark), "head", "left_semi").select("head", "feature", "cnt")
+
+
 def overwrite_senses(vectors: DataFrame, senses: DataFrame, mark: str = "ZZZ") -> DataFrame:
     """vectors without the heads that senses split (the part before mark), and the senses."""
-    plain = senses.select(F.split_part(F.col("head"), F.lit(mark), F.lit(1)).alias("head")).distinct()
-    return vectors.join(plain, "head", "left_anti").select("head", "feature", "cnt").unionByName(senses.select("head", "feature", "cnt"))
+    return vectors.join(_split_names(senses, mark), "head", "left_anti").select("head", "feature", "cnt").unionByName(senses.select("head", "feature", "cnt"))
 
 
 def contextual_similarity(

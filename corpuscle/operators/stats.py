@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+def uniform(key: Column) -> Column:
+    """A number in [0, 1) from the first 13 hex digits of a key's md5."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
 def with_tokens(docs: DataFrame, text: str = "text", into: str = "w") -> DataFrame:
     """docs with an array of the words of a text column."""
     return docs.withColumn(into, X.tokens(F.col(text)))
@@ -114,8 +119,9 @@ def linked_documents(docs: DataFrame, degrees: DataFrame, min_incoming: int = 5)
 
 
 def sample_documents(docs: DataFrame, share: float = 1.0, seed: int = 0) -> DataFrame:
-    """A Bernoulli sample of rows."""
-    return docs if share >= 1 else docs.where(F.rand(seed) < share)
+    """A Bernoulli sample of docs (title, text): each row is drawn by a hash of the seed and itself, the same on any cluster."""
+    key = F.concat_ws("|", F.lit(str(seed)), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
+    return docs if share >= 1 else docs.where(uniform(key) < share)
 
 
 def truncated_text(docs: DataFrame, min_words: int = 1000, truncate: int = 1000) -> DataFrame:

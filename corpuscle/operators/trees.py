@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tree
+from ..sources.staging import stage
 
 
 def _map(pages: DataFrame, make: Callable[[str, tree.Node], list[tuple]], schema: str, passes) -> DataFrame:
@@ -58,13 +59,46 @@ def children(nodes: DataFrame, of: DataFrame) -> DataFrame:
     return nodes.join(up, (F.col("title") == F.col("_t")) & (F.col("parent_id") == F.col("_p")), "left_semi")
 
 
-def descendants(nodes: DataFrame, of: DataFrame, max_depth: int = 64) -> DataFrame:
+def descendants(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """All nodes below of, level by level."""
-    level = children(nodes, of)
-    out = level
-    for _ in range(max_depth):
-        level = children(nodes, level)
-        if level.isEmpty():
-            break
+    nodes = stage(nodes, "nodes")
+    out = level = stage(children(nodes, of), "level")
+    while not level.isEmpty():
+        level = stage(children(nodes, level), "level")
         out = out.unionByName(level)
     return out
+
+
+def ancestors(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """All nodes above of, level by level; a node above several of them comes once."""
+    nodes, out = stage(nodes, "nodes"), None
+    level = of.select("title", "node_id")
+    while True:
+        lower = nodes.join(level.withColumnsRenamed({"title": "_t", "node_id": "_n"}), (F.col("title") == F.col("_t")) & (F.col("node_id") == F.col("_n")), "left_semi")
+        ids = lower.where("parent_id is not null").select(F.col("title").alias("_t"), F.col("parent_id").alias("_n")).distinct()
+        level = stage(nodes.join(ids, (F.col("title") == F.col("_t")) & (F.col("node_id") == F.col("_n")), "left_semi"), "level")
+        if level.isEmpty():
+            return (level if out is None else out).dropDuplicates(["title", "node_id"])
+        out = level if out is None else out.unionByName(level)
+
+
+def siblings(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """The other children of the parents of of (title, node_id, parent_id)."""
+    own = of.select(F.col("title").alias("_t"), F.col("parent_id").alias("_p"), F.col("node_id").alias("_n"))
+    near = nodes.join(own, (F.col("title") == F.col("_t")) & (F.col("parent_id") == F.col("_p")) & (F.col("node_id") != F.col("_n")), "left_semi")
+    return near
+
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    """Nodes without children."""
+    up = nodes.select(F.col("title").alias("_t"), F.col("parent_id").alias("_p")).distinct()
+    return nodes.join(up, (F.col("title") == F.col("_t")) & (F.col("node_id") == F.col("_p")), "left_anti")
+
+
+def levels(pages: DataFrame, passes: tuple = tree.PIPELINE) -> DataFrame:
+    """(title, node_id, level, text): how many nodes stand above each node, and the text of all below it."""
+
+    def make(title: str, root: tree.Node) -> list[tuple]:
+        return [(k, len(n.above()), n.text()) for k, n in enumerate(root.walk())]
+
+    return _map(pages, make, "title string, node_id long, level long, text string", passes)

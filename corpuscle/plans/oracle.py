@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.collections import SCRIPTS
 from .queries import CONTEXT, STOP, WIKI_PAGES, WINDOW
 
 _STOP = ", ".join(f"'{w}'" for w in STOP)
@@ -46,6 +47,21 @@ def _strip_html(text: str) -> str:
     return _chain(f"regexp_replace({text}, '<[^>]*>', '', 'g')", _ENTITIES)
 
 
+def _uniform(key: str) -> str:
+    return f"(('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def _script_runs() -> str:
+    """Code points of each character, the script of each by range, the last known one so far, and runs of equal ones."""
+    script = " ".join(f"WHEN ord(c) BETWEEN {a} AND {b} THEN '{name}'" for name, a, b in SCRIPTS)
+    return rf"""WITH chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''),
+        told AS (SELECT *, CASE WHEN regexp_matches(c, '^[\x09-\x0D ]$') THEN NULL {script} END AS own FROM chars),
+        known AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 'latin') AS s FROM told),
+        cut AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM known),
+        numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM cut)
+        SELECT doc_id, run::BIGINT AS run, any_value(s) AS script, string_agg(c, '' ORDER BY i) AS text FROM numbered GROUP BY doc_id, run"""
+
+
 _EXTRANEOUS = "list_filter(string_split({}, ' '), lambda x: NOT regexp_matches(x, '^[0-9\\-$]'))"
 
 _W = f"tokens AS (SELECT doc_id, doc_id::VARCHAR AS title, source, lang, {words()} AS w FROM documents)"
@@ -155,6 +171,11 @@ ORACLE_SQL = {
     "size_changes": f"WITH {_REVISIONS} SELECT title, revid, abs(size - coalesce(lag(size) OVER (PARTITION BY title ORDER BY revid), 0)) AS diff_size FROM revisions",
     "expressions": "SELECT p_partkey, (p_size * 2 + 3 - (1 < p_size)::INT)::DOUBLE AS value FROM part",
     "collection_items": "SELECT c_nationkey::VARCHAR AS page, c_mktsegment AS chapter, c_name AS title FROM customer",
+    "sample_docs": f"SELECT doc_id FROM documents WHERE {_uniform("'1|' || doc_id || '|' || coalesce(text, '')")} < 0.5",
+    "random_similarity": f"WITH heads AS (SELECT source AS head FROM documents WHERE len({words()}) > 0 GROUP BY source) SELECT a.head, b.head AS target, round({_uniform("'0|' || a.head || '|' || b.head")}, 6) AS score FROM heads a, heads b WHERE a.head <> b.head",
+    "script_runs": _script_runs(),
+    "article_urls": rf"""WITH parts AS (SELECT page_id, regexp_extract(url, '[?&]title=([^&#]*)', 1) AS q, regexp_extract(url, '^[a-z]+://[^/?#]+(?:/[^?#]*)?/([^/?#]*)', 1) AS p FROM pages)
+        SELECT page_id, nullif(replace(url_decode(CASE WHEN q <> '' THEN q ELSE p END), '_', ' '), '') AS title FROM parts""",
     "overlay_docs": "SELECT doc_id::VARCHAR AS title, md5(CASE WHEN lang = 'de' THEN '+' || text ELSE text END) AS digest FROM documents",
     "stream_term_counts": f"WITH {_TERMS} SELECT word, tf, df FROM terms",
     "stream_windowed_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

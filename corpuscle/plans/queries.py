@@ -6,16 +6,13 @@ pages for link graphs, events for revisions. Wikitext comes from literal pages,
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import collections, expr
 from ..functions import text as X
 from ..operators import graph, revisions, similarity, stats, trees, windows
-from ..sources import dump
+from ..sources import dump, staging
 from ..streaming import counts
 
 #: Parameters that the queries and their SQL share.
@@ -58,8 +55,11 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _heads(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     """The words of the highest df after the stop words; ties in order of the word."""
-    terms = stats.term_doc_freq(_docs(spark, sf_dir)).where(~F.col("word").isin(list(STOP)))
-    return terms.orderBy(F.desc("df"), "word").limit(n).select("word")
+    return _top(stats.term_doc_freq(_docs(spark, sf_dir)), n)
+
+
+def _top(terms: DataFrame, n: int = 10) -> DataFrame:
+    return staging.stage(terms.where(~F.col("word").isin(list(STOP))).orderBy(F.desc("df"), "word").limit(n).select("word"), "heads")
 
 
 def _page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,8 @@ def pmi(spark, sf_dir):
 
 def contexts_uni(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return windows.unigram_contexts(docs, _heads(spark, sf_dir), stats.term_doc_freq(docs), CONTEXT, list(STOP))
+    words = staging.stage(stats.term_doc_freq(docs), "terms")
+    return windows.unigram_contexts(docs, _top(words), words, CONTEXT, list(STOP))
 
 
 def contexts_raw(spark, sf_dir):
@@ -220,7 +221,8 @@ def context_unique_words(spark, sf_dir):
 def context_vectors(spark, sf_dir):
     """Unigram contexts of two corpora, added up."""
     docs = _docs(spark, sf_dir)
-    heads, words = _heads(spark, sf_dir), stats.term_doc_freq(docs)
+    words = staging.stage(stats.term_doc_freq(docs), "terms")
+    heads = _top(words)
     both = [windows.unigram_contexts(docs.where(F.col("lang") == x), heads, words, CONTEXT) for x in ("en", "de")]
     return windows.sum_vectors(both[0].unionByName(both[1]))
 
@@ -287,7 +289,7 @@ def topk_neighbors(spark, sf_dir):
 
 
 def random_similarity(spark, sf_dir):
-    return similarity.METRICS["random"](_vectors(spark, sf_dir))
+    return similarity.METRICS["random"](_vectors(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def context_whitelist(spark, sf_dir):
@@ -304,7 +306,8 @@ def sense_overwrite(spark, sf_dir):
 
 def contextual_similarity(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    found = similarity.contextual_similarity(docs, _vectors(spark, sf_dir), stats.term_doc_freq(docs), CONTEXT, 100, 5, 300)
+    words = staging.stage(stats.term_doc_freq(docs), "terms")
+    found = similarity.contextual_similarity(docs, staging.stage(_vectors(spark, sf_dir), "vectors"), words, CONTEXT, 100, 5, 300)
     for column in ("wt", "wb", "jacc", "wjacc"):
         found = _rounded(found, column)
     return found
@@ -381,13 +384,13 @@ def article_urls(spark, sf_dir):
 def stream_term_counts(spark, sf_dir):
     schema = _table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    return counts.run_to_end(counts.term_counts(stream), f"terms_{uuid.uuid4().hex}", tempfile.mkdtemp())
+    return counts.run_to_end(counts.term_counts(stream), "terms", staging.folder(spark, "checkpoint"))
 
 
 def stream_windowed_counts(spark, sf_dir):
     schema = _table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    found = counts.run_to_end(counts.windowed_counts(stream, "1 day"), f"windows_{uuid.uuid4().hex}", tempfile.mkdtemp())
+    found = counts.run_to_end(counts.windowed_counts(stream, "1 day"), "windows", staging.folder(spark, "checkpoint"))
     return found.withColumn("total", F.round("total", 4))
 
 

@@ -38,8 +38,19 @@ def windowed_counts(events: DataFrame, size: str = "5 minutes", slide: str | Non
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs what is there through a stream into a table in memory; a second run goes on from the checkpoint."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    writer = writer.option("checkpointLocation", checkpoint) if mode == "complete" else writer
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs what is there through a stream into a table beside its checkpoint; a second run goes on from there.
+
+    Each batch writes a part of its own, again if it is tried again. In complete mode the last part is the whole
+    table; in append mode all parts together are.
+    """
+    path = f"{checkpoint.rstrip('/')}/table-{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    writer.foreachBatch(write).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(path)
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpuscle.functions import tree
@@ -105,6 +106,56 @@ def test_templates(spark):
     assert {r.template for r in graph.template_closure(pages, templates).collect()} == {"A", "B"}
 
 
+def test_long_redirects_and_deep_templates(spark):
+    """No bound on hops or depth: a chain of 100, one into a circle, a closure 40 deep."""
+    chain = [(f"p{k}", f"p{k + 1}") for k in range(100)] + [("in", "c0"), *[(f"c{k}", f"c{(k + 1) % 3}") for k in range(3)]]
+    found = {r.src: (r.dst, r.hops) for r in graph.resolve_redirects(spark.createDataFrame([*chain, (None, "x")], "src string, dst string")).collect()}
+    assert found == {f"p{k}": ("p100", 100 - k) for k in range(100)} | {x: (None, None) for x in ("in", "c0", "c1", "c2")}
+    templates = spark.createDataFrame([(f"T{k}", f"{{{{t{k + 1}}}}}") for k in range(40)], "title string, text string")
+    pages = spark.createDataFrame([("p", "{{t0}}"), ("q", None)], "title string, text string")
+    assert {r.template for r in graph.template_closure(pages, templates).collect()} == {f"T{k}" for k in range(41)}
+
+
+def test_navigation(spark):
+    deep = "".join(f"{'*' * (k + 1)} i{k}\n" for k in range(30))
+    nodes = trees.node_table(spark.createDataFrame([("T", deep)], "title string, text string"), ())
+    root = nodes.where("parent_id is null")
+    everything = {r.node_id for r in nodes.collect()}
+    assert {r.node_id for r in trees.descendants(nodes, root).collect()} == everything - {0}
+    deepest = nodes.where("caption = 'i29'")
+    assert trees.ancestors(nodes, deepest).count() == 61
+    assert {r["class"] for r in trees.leaves(nodes).collect()} == {"Text"}
+    assert trees.siblings(nodes, deepest).count() == 0
+    item = nodes.where("class = 'Item'").orderBy("node_id").limit(1)
+    assert {r["class"] for r in trees.children(nodes, item).collect()} == {"Text", "ItemList"}
+    assert trees.levels(spark.createDataFrame([("T", "* a")], "title string, text string"), ()).orderBy("node_id").collect()[-1].level == 3
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(f"t{k}", f"x{k}") for k in range(400)], "title string, text string")
+    found = [{r.title for r in stats.sample_documents(docs.repartition(n), 0.5, 3).collect()} for n in (1, 5)]
+    assert found[0] == found[1] and 150 < len(found[0]) < 250
+
+
+def test_fewer_neighbours_than_asked(spark):
+    """Heads with few neighbours take the rest by name, as the full list of pairs gives it."""
+    rows = [("a", "x", 1), ("b", "x", 2), ("c", "x", 1), ("c", "y", 3), ("d", "z", 1), ("e", "y", 1), ("f", "q", 2)]
+    vectors = spark.createDataFrame(rows, "head string, feature string, cnt long")
+    for name in similarity.METRICS:
+        for k in (1, 2, 4, 50):
+            full = similarity.top_neighbours(similarity.METRICS[name](vectors), k)
+            assert sorted(similarity.similar_words(vectors, name, k=k).collect()) == sorted(full.collect())
+
+
+def test_pairs_of_frequent_words_only(spark, monkeypatch):
+    """Words of too few documents are left out before pairs are made, or their pairs after, with the same result."""
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(" ".join(rng.choice(["a", "b", "c", "", "dé", *[f"r{n}" for n in range(40)]], 30)),) for _ in range(30)] + [(None,), ("",)], "text string")
+    found = sorted(windows.cooccurrence(docs, 6, 3, 3).collect())
+    monkeypatch.setattr(windows, "LISTED_WORDS", 0)
+    assert found and found == sorted(windows.cooccurrence(docs, 6, 3, 3, at_once=50).collect())
+
+
 def test_authors_and_reverts(spark):
     rows = [("p", 1, "Ann", "", False, 10), ("p", 2, "Vandal", "", False, 99), ("p", 3, "Ann", "undo 2", False, 10), ("p", 4, "RoBot", "", False, 11), ("p", 5, "1.2.3.4", "", True, 12)]
     found = spark.createDataFrame(rows, "title string, revid long, user string, comment string, anon boolean, size long")
