@@ -591,6 +591,81 @@ def clean(root: Node, passes: tuple[Pass, ...] = PIPELINE) -> Node:
     return root
 
 
+# --- passes for trees that become XML
+
+#: Nodes that stand on their own in XML and may not lie within each other, but for sections.
+XML_BLOCKS = frozenset("Paragraph PreFormatted ItemList Section Table Blockquote DefinitionList HorizontalRule Source".split())
+
+
+def unwrap_lone_lists(root: Node) -> None:
+    """A list that is all a paragraph holds takes its place."""
+    for n in root.of("ItemList"):
+        if n.parent and n.parent.kind == "Paragraph" and len(n.parent.children) == 1:
+            n.parent.unwrap()
+
+
+def remove_barren(root: Node) -> None:
+    """Nodes without children go, and with them all above that hold nothing else."""
+    for n in list(root.walk()):
+        if n.children or n.kind in CHILDLESS:
+            continue
+        while n.parent and len(n.parent.children) == 1:
+            n = n.parent
+        n.drop()
+
+
+def remove_language_blocks(root: Node) -> None:
+    """Nodes that hold language links and no text beside them."""
+    for n in list(root.walk()):
+        if n.parent and any(c.kind == "LangLink" for c in n.children) and not "".join(c.text() for c in n.children if c.kind != "LangLink").strip():
+            n.drop()
+
+
+def split_blocks(root: Node) -> None:
+    """A block within a block splits the outer one into what stands before, itself, and what follows; sections may hold blocks."""
+    while True:
+        inner = next((n for n in root.walk() if n.kind in XML_BLOCKS and n.parent and n.parent.parent and n.parent.kind in XML_BLOCKS - {"Section"}), None)
+        if inner is None:
+            return
+        _split(inner.parent, inner)
+
+
+XML_PIPELINE: tuple[Pass, ...] = (unwrap_lone_lists, fix_paragraphs, remove_barren, remove_language_blocks, split_blocks, remove_barren)
+
+
+# --- notation
+
+_NOTED = re.compile(r"\s*(?:'(?P<text>[^']*)'|(?P<kind>[A-Za-z]+)(?:\{(?P<attrs>[^}]*)\})?(?:@\[(?P<target>[^\]]*)\])?(?:#\[(?P<caption>[^\]]*)\])?(?P<open>\()?|(?P<close>\)))")
+
+
+def outline(node: Node) -> str:
+    """A tree in one line: 'text', Kind{attribute=value,...}@[target]#[caption](children)."""
+    if node.kind == "Text":
+        return f"'{node.caption}'"
+    attrs = ",".join(f"{k}={v}" for k, v in sorted(node.attrs.items()))
+    inner = " ".join(map(outline, node.children))
+    return node.kind + f"{{{attrs}}}" * bool(attrs) + f"@[{node.target}]" * bool(node.target) + f"#[{node.caption}]" * bool(node.caption) + f"({inner})" * bool(inner)
+
+
+def from_outline(line: str) -> Node:
+    """The tree that outline() writes as line; texts hold no quote."""
+    top = Node("")
+    stack, at = [top], 0
+    while m := _NOTED.match(line, at):
+        at = m.end()
+        if m["close"]:
+            stack.pop()
+            continue
+        attrs = dict(x.split("=", 1) for x in m["attrs"].split(",")) if m["attrs"] else {}
+        made = Node(m["kind"], m["caption"] or "", target=m["target"] or "", attrs=attrs) if m["kind"] else Node("Text", m["text"])
+        stack[-1].put([*stack[-1].children, made])
+        if m["open"]:
+            stack.append(made)
+    root = top.children[0]
+    root.parent = None
+    return root
+
+
 # --- output
 
 _HIDDEN = frozenset("PreFormatted Cell Row Table Math URL ImageLink CategoryLink LangLink ReferenceList Reference Deleted Strike Source Caption".split())
@@ -652,21 +727,41 @@ _REACH: dict[str, Callable[[Node], list[Node]]] = {
     "parent": lambda n: [n.parent] if n.parent else [],
     "siblings": lambda n: [c for c in n.parent.children if c is not n] if n.parent else [],
 }
-
-
-def violations(root: Node, rules: list[tuple[str, str, str, tuple[str, ...]]]) -> list[tuple[str, str, str]]:
+Rule = tuple[str, str, str, tuple[str, ...]]
+
+
+def _fault(n: Node, rule: Rule) -> Node | None:
+    """The node at fault where n breaks the rule; n itself where none of the others is."""
+    kind, reach, constraint, kinds = rule
+    if n.kind != kind:
+        return None
+    found = _REACH[reach](n)
+    if constraint == "forbid":
+        return next((x for x in found if x.kind in kinds), None)
+    if constraint == "allow":
+        return next((x for x in found if x.kind not in kinds), None)
+    if constraint == "require":
+        return None if any(x.kind in kinds for x in found) else n
+    if constraint == "some":
+        return None if found else n
+    return next((x for x, k in zip(found, kinds) if x.kind != k), None) or (n if len(found) != len(kinds) else None)
+
+
+def violations(root: Node, rules: list[Rule]) -> list[tuple[str, str, str]]:
     """(class, reach, constraint) of each rule that a node breaks.
 
     A rule is (class, reach, constraint, classes): reach one of children, all_children, parents, parent, siblings;
-    constraint one of forbid, allow, require, equal.
+    constraint one of forbid, allow, require (any of the classes), equal (all, in order) and some (any node at all).
     """
-    out = []
-    for n in root.walk():
-        for kind, reach, constraint, kinds in rules:
-            if n.kind != kind:
-                continue
-            found = [x.kind for x in _REACH[reach](n)]
-            fine = {"forbid": not set(found) & set(kinds), "allow": set(found) <= set(kinds), "require": bool(set(found) & set(kinds)), "equal": found == list(kinds)}[constraint]
-            if not fine:
-                out.append((kind, reach, constraint))
-    return out
+    return [rule[:3] for n in root.walk() for rule in rules if _fault(n, rule)]
+
+
+def enforce(root: Node, rules: list[Rule], strict: bool = False) -> None:
+    """Removes the node at fault, again and again, until no rule is broken; strict raises an error at the first instead."""
+    while True:
+        fault = next(((rule, x) for n in root.walk() for rule in rules if (x := _fault(n, rule)) is not None and (strict or x.parent)), None)
+        if fault is None:
+            return
+        if strict:
+            raise ValueError(f"{fault[1].kind} breaks {fault[0]}")
+        fault[1].drop()

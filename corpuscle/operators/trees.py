@@ -32,6 +32,25 @@ def node_table(pages: DataFrame, passes: tuple = tree.PIPELINE) -> DataFrame:
     return _map(pages, lambda title, root: tree.rows(root), schema, passes)
 
 
+def outlines(pages: DataFrame, passes: tuple = tree.PIPELINE, rules: list[tree.Rule] = (), noted: bool = False) -> DataFrame:
+    """(title, outline) of pages (title, text): each tree in one line, after the passes and without what breaks rules.
+
+    noted: text is such a line instead of wikitext.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            lines = []
+            for title, text in zip(pdf["title"], pdf["text"]):
+                root = tree.from_outline(text) if noted else tree.parse(text or "", title or "")
+                tree.clean(root, passes)
+                tree.enforce(root, list(rules))
+                lines.append(tree.outline(root))
+            yield pd.DataFrame({"title": pdf["title"], "outline": lines})
+
+    return pages.select("title", "text").mapInPandas(run, "title string, outline string")
+
+
 def plain_texts(pages: DataFrame, passes: tuple = tree.PIPELINE) -> DataFrame:
     """(title, text) without markup."""
     return _map(pages, lambda title, root: [(tree.plain_text(root).strip(),)], "title string, text string", passes)

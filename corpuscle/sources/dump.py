@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,17 +75,86 @@ def overlay(base: DataFrame, over: DataFrame, key: str = "title") -> DataFrame:
     return joined.select(F.coalesce("_key", key).alias(key), *[row[c].alias(c) for c in names])
 
 
-def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, title, text) of a collection's content.json: its articles, templates and sources."""
+def _parsed(column: str):
     kind = "map<string, struct<content: string, content_type: string, revision: string, url: string>>"
-    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"articles {kind}, templates {kind}, sources {kind}").alias("c"))
+    return F.from_json(column, f"articles {kind}, templates {kind}, sources {kind}").alias("c")
+
+
+def _entries(parsed: DataFrame) -> DataFrame:
     parts = []
     for name in ("articles", "templates", "sources"):
-        entry = rows.select(F.lit(name).alias("kind"), F.explode(f"c.{name}").alias("title", "item"))
+        entry = parsed.select(F.lit(name).alias("kind"), F.explode(f"c.{name}").alias("title", "item"))
         parts.append(entry.select("kind", "title", F.coalesce("item.content", "item.url").alias("text")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, title, text) of a collection's content.json: its articles, templates and sources."""
+    return _entries(spark.read.text(path, wholetext=True).select(_parsed("value")))
+
+
+def unzip(files: DataFrame) -> DataFrame:
+    """(path, name, text) of every member of the zip archives in files (path, content); what is no archive has none."""
+
+    def run(batches):
+        for pdf in batches:
+            found = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                if content is not None and zipfile.is_zipfile(io.BytesIO(content)):
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        found += [(path, name, archive.read(name).decode("utf-8", "replace")) for name in archive.namelist()]
+            yield pd.DataFrame(found, columns=["path", "name", "text"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, name string, text string")
+
+
+def zipped_books(members: DataFrame) -> DataFrame:
+    """(path, title, subtitle, articles) of unzip's rows, from metabook.json: titles in order, those of chapters among them."""
+    item = "struct<type: string, title: string, items: array<struct<type: string, title: string>>>"
+    book = members.where("name = 'metabook.json'").select("path", F.from_json("text", f"title string, subtitle string, items array<{item}>").alias("b"))
+    titles = F.flatten(F.transform("b.items", lambda x: F.when(x["type"] == "chapter", F.transform(x["items"], lambda y: y["title"])).otherwise(F.array(x["title"]))))
+    return book.select("path", "b.title", "b.subtitle", titles.alias("articles"))
+
+
+def zipped_pages(members: DataFrame) -> DataFrame:
+    """(kind, title, text) of unzip's rows, from content.json."""
+    return _entries(members.where("name = 'content.json'").select(_parsed("text")))
+
+
+def read_zip(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, title, text) of the collections in zip files."""
+    return zipped_pages(unzip(spark.read.format("binaryFile").load(path)))
+
+
+def read_flat(spark: SparkSession, path: str) -> DataFrame:
+    """(title, text) of a flat file: records between form feeds, the first line of each its title."""
+    rows = spark.read.option("lineSep", "\f").text(path).where("trim(value) != ''")
+    return rows.select(F.trim(F.regexp_extract("value", r"^([^\n]*)", 1)).alias("title"), F.regexp_replace("value", r"^[^\n]*\n?", "").alias("text"))
+
+
+def write_flat(pages: DataFrame, path: str) -> None:
+    """pages (title, text) as read_flat reads them; a form feed becomes a blank."""
+    title, text = (F.regexp_replace(F.coalesce(c, F.lit("")), p, " ") for c, p in (("title", r"[\f\n]"), ("text", r"\f")))
+    pages.select(F.concat(title, F.lit("\n"), text).alias("value")).write.option("lineSep", "\f").text(path)
+
+
+def recorded(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(kind, title, text): the pages (title, text) that wanted (title) asks for, as a collection holds them.
+
+    Titles are compared normalised; a template is recorded under its own name.
+    """
+    asked = wanted.select(X.normalize_title(F.col("title")).alias("_t")).distinct()
+    rows = pages.withColumn("_t", X.normalize_title(F.col("title"))).join(asked, "_t", "left_semi")
+    split = X.split_title(F.col("title"), NAMESPACES)
+    template = split["ns"] == NAMESPACES["template"]
+    return rows.select(F.when(template, "templates").otherwise("articles").alias("kind"), F.when(template, split["partial"]).otherwise(F.col("title")).alias("title"), "text")
+
+
+def no_pages(spark: SparkSession) -> DataFrame:
+    """(title, text) of a wiki without pages."""
+    return spark.createDataFrame([], "title string, text string")
+
+
 def write_collection(pages: DataFrame, path: str) -> None:
     """A JSON line for each page: title, content, revision."""
     pages.select("title", F.col("text").alias("content"), F.col("revid").alias("revision")).write.json(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import dump
 
 #: Readers by kind: (spark, path) -> pages with at least title and text.
-KINDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"dump": dump.read_dump, "store": dump.read_store, "collection": dump.read_collection}
+KINDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"dump": dump.read_dump, "store": dump.read_store, "collection": dump.read_collection, "zip": dump.read_zip, "flat": dump.read_flat, "none": lambda spark, path: dump.no_pages(spark)}
 
 
 def open_wiki(spark: SparkSession, kind: str, path: str, over: DataFrame | None = None) -> DataFrame:

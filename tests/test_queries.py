@@ -6,8 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from corpuscle.plans.oracle import ORACLE_SQL
-from corpuscle.plans.queries import QUERIES
+from corpuscle.plans.registry import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")

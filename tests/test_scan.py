@@ -34,7 +34,7 @@ def test_wikis(spark, tmp_path):
     over = spark.createDataFrame([("A", "new"), ("B", "more")], "title string, text string")
     assert {tuple(r) for r in wikis.open_wiki(spark, "collection", str(tmp_path / "content.json"), over).collect()} == {("A", "new"), ("B", "more"), ("T", "t"), ("S", "http://s")}
     with pytest.raises(ValueError, match="unknown kind"):
-        wikis.open_wiki(spark, "none", "x")
+        wikis.open_wiki(spark, "nothing", "x")
     xml = "<mediawiki><siteinfo><namespaces><namespace key=\"14\">Rubrik</namespace></namespaces></siteinfo><page><title>Rubrik:x</title><id>1</id><revision><id>2</id><text>t</text></revision></page></mediawiki>"
     (tmp_path / "d.xml").write_text(xml)
     assert dump.learned_namespaces(spark, str(tmp_path / "d.xml"))["rubrik"] == 14
