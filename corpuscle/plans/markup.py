@@ -53,6 +53,10 @@ PAGE = "Lead [[a {k}|{n}]] and ''more''.\n== One ==\n* item {k}\n** '''sub'''\n#
 PARSED = "Article#[{k}](Paragraph('Lead ' ArticleLink@[a {k}]('{n}') ' and ' Emphasized('more') '.') Section{level=2}#[One](Caption('One') ItemList(Item('item {k}' ItemList(Item(Strong('sub'))))) ItemList{numbered=1}(Item('first')) Table{class=t}(Row(Cell('1') Cell('{n}'))) Section{level=3}#[Two](Caption('Two') Paragraph('text {k}') PreFormatted('code'))) Section{level=2}#[See also](Caption('See also') Paragraph('gone')))"
 PLAIN = "Lead {n} and more.\n\nitem {k}\nsub\n1. first\ntext {k}"
 
+#: A page that needs tidying, and what all passes in their order leave of it.
+UNTIDY = "Lead '''  ''' [[Category:x]]<br/>\n\n<center></center>\n== One ==\n* item {k}\n{| class=\"navbox\"\n| gone || {n}\n|}\n{|\n| one\n|-\n| two\n|}\n<ref name=a>r {n}</ref> x <ref name=a/>\n== Notes ==\n<references/>"
+TIDY = "Article#[{k}](Paragraph('Lead ' ' ') Section{level=2}#[One](Caption('One') ItemList(Item('item {k}')) Div('one') Div('two') Paragraph(Reference{name=a}('r {n}') ' x ' Reference{name=a})) Section{level=2}#[Notes](Caption('Notes') ReferenceList))"
+
 
 def _customers(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     name = F.replace("c_name", F.lit("'"), F.lit(""))
@@ -75,6 +79,10 @@ def tree_parse(spark, sf_dir):
     return trees.outlines(_customers(spark, sf_dir, PAGE), ())
 
 
+def tree_pipeline(spark, sf_dir):
+    return trees.outlines(_customers(spark, sf_dir, UNTIDY))
+
+
 def tree_texts(spark, sf_dir):
     return trees.plain_texts(_customers(spark, sf_dir, PAGE), ())
 
@@ -137,13 +145,14 @@ def _counted(**n: int) -> str:
 
 
 QUERIES = {f"pass_{name}": _pass_query(name) for name in PASSES}
-for _function in (tree_rules, tree_parse, tree_texts, tree_section_index, tree_histogram, tree_children, tree_descendants, tree_ancestors, tree_siblings, tree_levels, wiki_tokens, tag_extensions):
+for _function in (tree_rules, tree_parse, tree_pipeline, tree_texts, tree_section_index, tree_histogram, tree_children, tree_descendants, tree_ancestors, tree_siblings, tree_levels, wiki_tokens, tag_extensions):
     QUERIES[_function.__name__] = _function
 
 ORACLE_SQL = {f"pass_{name}": _sql(after) for name, (_, after) in PASSES.items()}
 ORACLE_SQL |= {
     "tree_rules": _sql(RULED[1]),
     "tree_parse": _sql(PARSED),
+    "tree_pipeline": _sql(TIDY),
     "tree_texts": _sql(PLAIN, "text"),
     "tree_section_index": """SELECT c_custkey::VARCHAR AS title, i AS index, CASE WHEN i = '' THEN c_custkey::VARCHAR ELSE s END AS section,
         replace(replace(t, '{n}', replace(c_name, '''', '')), '{k}', c_custkey::VARCHAR) AS text FROM customer,

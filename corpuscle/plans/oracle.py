@@ -66,7 +66,7 @@ _EXTRANEOUS = "list_filter(string_split({}, ' '), lambda x: NOT regexp_matches(x
 
 _W = f"tokens AS (SELECT doc_id, doc_id::VARCHAR AS title, source, lang, {words()} AS w FROM documents)"
 _TERMS = f"{_W}, long AS (SELECT * FROM tokens WHERE len(w) > 100), every AS (SELECT doc_id, unnest(w) AS word FROM long), terms AS (SELECT word, count(*) AS tf, count(DISTINCT doc_id) AS df FROM every GROUP BY word)"
-_HEADS = f"{_TERMS}, heads AS (SELECT word FROM terms WHERE df >= 5 AND word NOT IN ({_STOP}) ORDER BY df DESC, word LIMIT 10)"
+_HEADS = f"{_TERMS}, heads AS (SELECT word FROM terms WHERE df >= 5 AND word NOT IN ({_STOP}) AND df * 10 >= (SELECT count(*) FROM long) * 4)"
 _PLACED = f"{_HEADS}, kept AS (SELECT doc_id, lang, list_filter(w, lambda x: x NOT IN ({_STOP})) AS w FROM long), placed AS (SELECT doc_id, lang, w, unnest(w) AS head, generate_subscripts(w, 1) AS i FROM kept), found AS (SELECT * FROM placed WHERE head IN (SELECT word FROM heads))"
 _VECTORS = f"bag AS (SELECT source AS head, unnest({words()}) AS feature FROM documents), vectors AS (SELECT head, feature, count(*) AS cnt FROM bag GROUP BY ALL)"
 _WIKI = "wiki(title, raw) AS (VALUES " + ", ".join(f"({_quote(t)}, {_quote(x)})" for t, x in WIKI_PAGES) + "), linked AS (SELECT title, raw, regexp_extract_all(raw, '\\[\\[.*?\\]\\]') AS links, regexp_matches(raw[:20], '#redirect|#REDIRECT') AS redirect FROM wiki)"
@@ -132,15 +132,15 @@ ORACLE_SQL = {
     "contexts_raw": f"WITH {_PLACED} SELECT head, array_to_string(w[greatest(i - {CONTEXT}, 1) : i - 1] || ['###' || head || '###'] || w[i + 1 : i + {CONTEXT - 1}], ' ') AS context FROM found",
     "contexts_lr": f"WITH {_GAPS} SELECT head, context, count(*) AS cnt FROM gaps GROUP BY ALL",
     "context_unique_words": f"WITH {_GAPS} SELECT context, count(DISTINCT head) AS n_words FROM gaps GROUP BY context HAVING count(DISTINCT head) >= 2",
-    "context_vectors": f"WITH {_HEADS}, placed AS (SELECT doc_id, lang, w, unnest(w) AS head, generate_subscripts(w, 1) AS i FROM long), found AS (SELECT * FROM placed WHERE lang IN ('en', 'de') AND head IN (SELECT word FROM heads)), {_UNI.format('', '')} SELECT * FROM counted WHERE feature IN (SELECT word FROM terms WHERE df >= 5)",
+    "context_vectors": f"WITH {_HEADS}, placed AS (SELECT doc_id, lang, w, unnest(w) AS head, generate_subscripts(w, 1) AS i FROM long), found AS (SELECT * FROM placed WHERE head IN (SELECT word FROM heads)), {_UNI.format('', '')} SELECT * FROM counted WHERE feature IN (SELECT word FROM terms WHERE df >= 5)",
     "lda_docs_document": f"""WITH {_TERMS}, big AS (SELECT title, w FROM tokens WHERE len(w) > 1000), rows AS (SELECT title AS doc_id, unnest(w) AS word FROM big)
         SELECT doc_id, word, count(*) AS cnt FROM rows WHERE word IN (SELECT word FROM terms WHERE df > 10) GROUP BY ALL
         UNION ALL SELECT title, NULL, 0 FROM big WHERE NOT EXISTS (SELECT 1 FROM rows JOIN terms USING (word) WHERE df > 10 AND rows.doc_id = title)""",
     "lda_docs_ngram": f"""WITH {_TERMS}, big AS (SELECT title, w FROM tokens WHERE len(w) > 1000), starts AS (SELECT title, w, unnest(range(0, len(w) - 10)) AS i FROM big),
         rows AS (SELECT title || '-' || i || '-' || (i + 10) AS doc_id, unnest(w[i + 1 : i + 10]) AS word FROM starts)
         SELECT doc_id, word, count(*) AS cnt FROM rows WHERE word IN (SELECT word FROM terms WHERE df > 10) GROUP BY ALL""",
-    "esa_postings": f"""WITH {_HEADS.replace('LIMIT 10', 'LIMIT 50')}, sized AS (SELECT title, w, len(w)::BIGINT AS doc_len, len(list_distinct(w))::BIGINT AS vocab_size FROM long),
-        rows AS (SELECT title, unnest(w) AS word FROM long), postings AS (SELECT word, title, count(*) AS tf FROM rows WHERE word IN (SELECT word FROM heads) GROUP BY ALL)
+    "esa_postings": f"""WITH {_TERMS}, sized AS (SELECT title, w, len(w)::BIGINT AS doc_len, len(list_distinct(w))::BIGINT AS vocab_size FROM long),
+        rows AS (SELECT title, unnest(w) AS word FROM long), postings AS (SELECT word, title, count(*) AS tf FROM rows WHERE word IN (SELECT word FROM terms WHERE df >= 5) GROUP BY ALL)
         SELECT word, title, tf, doc_len, vocab_size FROM postings JOIN sized USING (title)""",
     "esa_doc_stats": f"WITH {_W} SELECT title, len(w)::BIGINT AS doc_len, len(list_distinct(w))::BIGINT AS vocab_size FROM tokens WHERE len(w) > 100",
     "weight_tf": f"WITH {_VECTORS} {_TF}",

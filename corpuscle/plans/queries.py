@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import collections, expr
 from ..functions import text as X
-from ..operators import graph, revisions, similarity, stats, trees, windows
+from ..operators import graph, revisions, similarity, stats, windows
 from ..sources import dump, staging
 from ..streaming import counts
 
@@ -53,13 +53,16 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("head", "feature").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _heads(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    """The words of the highest df after the stop words; ties in order of the word."""
-    return _top(stats.term_doc_freq(_docs(spark, sf_dir)), n)
+def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return _common(docs, stats.term_doc_freq(docs))
 
 
-def _top(terms: DataFrame, n: int = 10) -> DataFrame:
-    return staging.stage(terms.where(~F.col("word").isin(list(STOP))).orderBy(F.desc("df"), "word").limit(n).select("word"), "heads")
+def _common(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word): words of terms (word, df) in at least four of ten documents that count, without the stop words."""
+    total = stats.corpus_totals(docs).select("n_docs")  # one row
+    often = terms.where(~F.col("word").isin(list(STOP))).crossJoin(F.broadcast(total)).where(F.col("df") * 10 >= F.col("n_docs") * 4)
+    return staging.stage(often.select("word"), "heads")
 
 
 def _page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +206,7 @@ def pmi(spark, sf_dir):
 def contexts_uni(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     words = staging.stage(stats.term_doc_freq(docs), "terms")
-    return windows.unigram_contexts(docs, _top(words), words, CONTEXT, list(STOP))
+    return windows.unigram_contexts(docs, _common(docs, words), words, CONTEXT, list(STOP))
 
 
 def contexts_raw(spark, sf_dir):
@@ -219,11 +222,12 @@ def context_unique_words(spark, sf_dir):
 
 
 def context_vectors(spark, sf_dir):
-    """Unigram contexts of two corpora, added up."""
+    """Unigram contexts of two corpora, the English and German documents and all others, added up."""
     docs = _docs(spark, sf_dir)
     words = staging.stage(stats.term_doc_freq(docs), "terms")
-    heads = _top(words)
-    both = [windows.unigram_contexts(docs.where(F.col("lang") == x), heads, words, CONTEXT) for x in ("en", "de")]
+    heads = _common(docs, words)
+    first = F.coalesce(F.col("lang").isin("en", "de"), F.lit(False))
+    both = [windows.unigram_contexts(docs.where(x), heads, words, CONTEXT) for x in (first, ~first)]
     return windows.sum_vectors(both[0].unionByName(both[1]))
 
 
@@ -238,7 +242,8 @@ def lda_docs_ngram(spark, sf_dir):
 
 
 def esa_postings(spark, sf_dir):
-    return stats.inverted_index(_docs(spark, sf_dir), heads=_heads(spark, sf_dir, 50))[0]
+    docs = _docs(spark, sf_dir)
+    return stats.inverted_index(docs, heads=stats.term_doc_freq(docs))[0]
 
 
 def esa_doc_stats(spark, sf_dir):
@@ -336,19 +341,7 @@ def size_changes(spark, sf_dir):
     return revisions.size_changes(_revisions(spark, sf_dir)).select("title", "revid", "diff_size")
 
 
-# --- trees, collections, expressions, stores
-
-
-def tree_nodes(spark, sf_dir):
-    return trees.node_histogram(trees.node_table(_wiki(spark)))
-
-
-def tree_sections(spark, sf_dir):
-    return trees.section_table(_wiki(spark))
-
-
-def tree_plain_texts(spark, sf_dir):
-    return trees.plain_texts(_wiki(spark))
+# --- collections, expressions, stores
 
 
 def expressions(spark, sf_dir):
@@ -402,7 +395,7 @@ _NAMES = (
     " esa_postings esa_doc_stats weight_tf weight_tfidf_mass weight_tfidf_df weight_ttest jaccard weighted_jaccard_tf"
     " weighted_jaccard_tfidf weighted_jaccard_ttest topk_neighbors random_similarity context_whitelist sense_overwrite"
     " contextual_similarity parse_sparse_vector format_sparse_vector authors size_changes"
-    " tree_nodes tree_sections tree_plain_texts expressions collection_items script_runs overlay_docs article_urls"
+    " expressions collection_items script_runs overlay_docs article_urls"
     " stream_term_counts stream_windowed_counts"
 ).split()
 QUERIES = {name: globals()[name] for name in _NAMES}
