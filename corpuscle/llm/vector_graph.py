@@ -2,8 +2,8 @@
 
 Equal vectors become one node. Nodes are dealt to overlapping shards around centroids; each shard builds a flat
 graph whose adjacency lists are robust-pruned. Lists of shards that share nodes are united. Every vector then
-searches its home shard: greedily from the medoid, and from there over all neighbours within the range. Links are
-verified in double precision. A sample of vectors is compared with all others to audit recall; where it falls
+searches its home shard: greedily from the medoid alone, and from there over all neighbours within the range. Links
+are verified in double precision. A sample of vectors is compared with all others to audit recall; where it falls
 short the shards are made to overlap more.
 """
 
@@ -25,6 +25,10 @@ THRESHOLD = 0.95
 FIT_ROWS = 20_000
 #: Nodes that a home shard holds on average, and shards that hold a node.
 SHARD, OVERLAP = 1024, 6
+#: Centroids at most, and up to how many are kept in one level; cells beyond, cells a vector is compared with, rows to fit a centroid.
+MOST, ONE_LEVEL, COARSE, PROBES, FIT_EACH = 65_536, 2048, 256, 8, 16
+#: Rows compared with all centroids at a time.
+BLOCK = 1024
 #: Nodes in one graph, and vectors that search it in one task, at most; fuller shards are dealt to several.
 GRAPH, QUERIES = 8192, 4096
 #: Neighbours kept, candidates they are pruned from, and how much farther a neighbour's neighbour must be to be dropped.
@@ -45,24 +49,98 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def centroids(sample: np.ndarray, k: int, seed: int = 5, rounds: int = 8) -> np.ndarray:
-    """k unit centroids of unit vectors by spherical k-means."""
+    """k unit centroids of unit vectors by spherical k-means, in blocks of BLOCK rows."""
     rng = np.random.default_rng(seed)
     out = sample[rng.choice(len(sample), min(k, len(sample)), replace=False)]
     for _ in range(rounds):
-        near = (sample @ out.T).argmax(axis=1)
         sums = np.zeros_like(out)
-        np.add.at(sums, near, sample)
+        for at in range(0, len(sample), BLOCK):
+            part = sample[at : at + BLOCK]
+            np.add.at(sums, (part @ out.T).argmax(axis=1), part)
         norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         out = np.where(norms > 1e-9, sums / np.maximum(norms, 1e-9), out)
     return out
 
 
+def _nearest(sims: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n largest values of each row, largest first."""
+    top = np.argpartition(-sims, n - 1, axis=1)[:, :n] if n < sims.shape[1] else np.tile(np.arange(sims.shape[1]), (len(sims), 1))
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, axis=1), axis=1, kind="stable"), axis=1)
+
+
+class Index:
+    """Centroids in one level, or in cells: a vector is then compared with the centroids of its PROBES nearest cells alone."""
+
+    def __init__(self, fine: np.ndarray, coarse: np.ndarray | None = None, cells: np.ndarray | None = None) -> None:
+        self.fine, self.coarse = fine.astype(np.float32), None if coarse is None else coarse.astype(np.float32)
+        if coarse is not None:
+            order = np.argsort(cells, kind="stable")
+            self.fine, self.starts = self.fine[order], np.searchsorted(cells[order], np.arange(len(coarse) + 1))
+
+    def __len__(self) -> int:
+        return len(self.fine)
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest centroids of unit vectors, nearest first, in blocks of rows."""
+        x = x.astype(np.float32)
+        out = np.zeros((len(x), n), np.int64)
+        for at in range(0, len(x), BLOCK):
+            part = x[at : at + BLOCK]
+            out[at : at + BLOCK] = _nearest(part @ self.fine.T, n) if self.coarse is None else self._probed(part, n)
+        return out
+
+    def _probed(self, x: np.ndarray, n: int) -> np.ndarray:
+        cells = _nearest(x @ self.coarse.T, min(PROBES, len(self.coarse)))
+        best = np.full((len(x), n), -1, np.int64)
+        sims = np.full((len(x), n), -2.0, np.float32)
+        for cell in np.unique(cells):
+            rows = np.flatnonzero((cells == cell).any(axis=1))
+            first, end = self.starts[cell], self.starts[cell + 1]
+            if first == end:
+                continue
+            every = np.concatenate([sims[rows], x[rows] @ self.fine[first:end].T], axis=1)
+            ids = np.concatenate([best[rows], np.broadcast_to(np.arange(first, end), (len(rows), end - first))], axis=1)
+            top = _nearest(every, n)
+            sims[rows], best[rows] = np.take_along_axis(every, top, axis=1), np.take_along_axis(ids, top, axis=1)
+        return np.where(best < 0, best[:, :1], best)
+
+
+def fit(nodes: DataFrame, rows: int, fit_rows: int) -> Index:
+    """Centroids for a shard of SHARD nodes each, at most MOST, fitted on rows of the smallest hashes.
+
+    Up to ONE_LEVEL centroids come from fit_rows rows at most. More are fitted in cells around coarse centroids, each in
+    a task of its own on about FIT_EACH rows a centroid, so that the driver holds no more than the centroids.
+    """
+    k = min(MOST, max(1, -(-rows // SHARD)))
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("embedding").toPandas()
+    sample = _unit(np.stack(sample.embedding.to_numpy()))
+    if k <= ONE_LEVEL:
+        return Index(centroids(sample, k))
+    coarse = centroids(sample, COARSE)
+    wanted = min(1.0, k * FIT_EACH / rows)
+
+    def to_cells(batches):
+        for pdf in batches:
+            if len(pdf):
+                cell = Index(coarse).nearest(_unit(np.stack(pdf.embedding.to_numpy())), 1)[:, 0]
+                yield pd.DataFrame({"cell": cell, "part": pdf.node.to_numpy() % 8, "embedding": pdf.embedding})
+
+    def fit_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = centroids(_unit(np.stack(pdf.embedding.to_numpy())), max(1, len(pdf) // FIT_EACH))
+        return pd.DataFrame({"cell": pdf.cell.iloc[0], "center": list(found)})
+
+    some = nodes.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) < int(wanted * (1 << 30))).select("node", "embedding")
+    dealt = some.mapInPandas(to_cells, "cell long, part long, embedding array<double>")
+    fitted = dealt.groupBy("cell", "part").applyInPandas(fit_cell, "cell long, center array<double>").toPandas()  # about MOST rows
+    return Index(np.stack(fitted.center.to_numpy()), coarse, fitted.cell.to_numpy())
+
+
 class FlatGraph:
-    """Adjacency lists over unit vectors; built from near candidates by robust pruning, with edges both ways."""
+    """Adjacency lists over unit vectors; built from near candidates by robust pruning, with edges both ways, or given."""
 
-    def __init__(self, x: np.ndarray) -> None:
+    def __init__(self, x: np.ndarray, edges: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.x = x.astype(np.float32)
-        self.links = self._connect(self._prune(*self._candidates()))
+        self.links = self._both_ways(*edges) if edges else self._connect(self._prune(*self._candidates()))
         mean = self.x.mean(axis=0)
         self.medoid = int((self.x @ mean).argmax())
 
@@ -102,21 +180,14 @@ class FlatGraph:
 
     def _connect(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, neighbours) of the kept edges and their reverses; a chain through all nodes keeps the graph whole."""
+        a, b, chain = np.repeat(np.arange(len(self.x)), kept.shape[1]), kept.ravel(), np.arange(len(self.x) - 1)
+        return self._both_ways(np.concatenate([a[b >= 0], chain]), np.concatenate([b[b >= 0], chain + 1]))
+
+    def _both_ways(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.x)
-        a = np.repeat(np.arange(n), kept.shape[1])
-        b = kept.ravel()
-        chain = np.arange(n - 1)
-        both = np.concatenate([a[b >= 0] * n + b[b >= 0], b[b >= 0] * n + a[b >= 0], chain * n + chain + 1, (chain + 1) * n + chain])
-        both = np.unique(both)
+        both = np.unique(np.concatenate([a * n + b, b * n + a]))
         return np.searchsorted(both // n, np.arange(n + 1)), both % n
 
-    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Adds the adjacency lists that other shards hold for these nodes."""
-        n, (starts, ends) = len(self.x), self.links
-        own = np.repeat(np.arange(n), np.diff(starts)) * n + ends
-        both = np.unique(np.concatenate([own, a * n + b, b * n + a]))
-        self.links = np.searchsorted(both // n, np.arange(n + 1)), both % n
-
     def _neighbours(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in nodes, neighbour) of every neighbour."""
         starts, ends = self.links
@@ -125,8 +196,8 @@ class FlatGraph:
         at = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(starts[nodes], lens)
         return back, ends[at]
 
-    def within(self, q: np.ndarray, own: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs with a cosine of at least low that the search meets. own: the queries' nodes, -1 if not here."""
+    def within(self, q: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs with a cosine of at least low that a search from the medoid meets."""
         q = q.astype(np.float32)
         n, rows = len(self.x), np.arange(len(q))
         seen = np.zeros((len(q), n), bool)
@@ -137,12 +208,7 @@ class FlatGraph:
         done[:, 0] = False
         seen[:, self.medoid] = True
         met = [(rows, np.full(len(q), self.medoid), near[:, 0].copy())]
-        here = np.flatnonzero(own >= 0)  # a vector's own node is known: a second way in
-        if len(here):
-            fresh = here[~seen[here, own[here]]]
-            seen[fresh, own[fresh]] = True
-            met.append((fresh, own[fresh], (q[fresh] * self.x[own[fresh]]).sum(axis=1)))
-        for _ in range(200):
+        while True:  # each step expands a node that was not expanded before
             best = np.where(done, -3.0, near).argmax(axis=1)
             act = np.flatnonzero(~done[rows, best])
             act = act[near[act, best[act]] < low] if len(act) else act  # what is in range is expanded below
@@ -233,14 +299,14 @@ def _search(threshold: float):
         if not len(queries) or not len(nodes):
             return
         ids, sizes = nodes.node.to_numpy(), nodes["size"].to_numpy()
-        graph = FlatGraph(x) if len(nodes) > 1 else None
-        if graph:
+        graph = None
+        if len(nodes) > 1:  # the lists of all shards together, as far as they lead to nodes of this one
             lists = nodes.near.to_list()
             a = np.repeat(np.arange(len(ids)), [0 if v is None else len(v) for v in lists])
             b = np.concatenate([np.zeros(0, np.int64), *[v for v in lists if v is not None]])
             at = np.minimum(np.searchsorted(ids, b), len(ids) - 1)
             held = ids[at] == b
-            graph.unite(a[held], at[held])
+            graph = FlatGraph(x, (a[held], at[held]))
         q_ids, q, q_sizes = queries.node.to_numpy(), _unit(np.stack(queries.embedding.to_numpy())), queries["size"].to_numpy()
         every = np.unique(np.concatenate([ids, q_ids]))
         place, q_place = np.searchsorted(every, ids), np.searchsorted(every, q_ids)
@@ -253,7 +319,7 @@ def _search(threshold: float):
         root = np.arange(len(every))
         for start in range(0, len(q_ids), 512):
             part = slice(start, start + 512)
-            who, to = graph.within(q[part], own[part], threshold - SLACK) if graph else (np.arange(len(q_ids[part])), np.zeros(len(q_ids[part]), np.int64))
+            who, to = graph.within(q[part], threshold - SLACK) if graph else (np.arange(len(q_ids[part])), np.zeros(len(q_ids[part]), np.int64))
             for k in range(0, len(who), 1 << 18):
                 i, j = who[k : k + (1 << 18)] + start, to[k : k + (1 << 18)]
                 true = np.einsum("ij,ij->i", q[i], x[j]) >= threshold  # in double precision
@@ -303,7 +369,7 @@ def _counts(found: DataFrame) -> DataFrame:
     return stage(each.groupBy("node").agg(F.sum("links").alias("links"), F.sum("degree").alias("degree")), "counts")
 
 
-def _assign(centers: np.ndarray, overlap: int, graphs: np.ndarray, blocks: np.ndarray):
+def _assign(centers: Index, overlap: int, graphs: np.ndarray, blocks: np.ndarray):
     """Rows for the graphs that hold a node and for those that a vector searches."""
 
     def run(batches):
@@ -311,7 +377,7 @@ def _assign(centers: np.ndarray, overlap: int, graphs: np.ndarray, blocks: np.nd
             if not len(pdf):
                 continue
             x = _unit(np.stack(pdf.embedding.to_numpy()))
-            near = np.argsort(-(x @ centers.T), axis=1)[:, :overlap]
+            near = centers.nearest(x, overlap)
             ids = pdf.node.to_numpy()
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             out = []
@@ -330,17 +396,17 @@ def _assign(centers: np.ndarray, overlap: int, graphs: np.ndarray, blocks: np.nd
     return run
 
 
-def _homes(centers: np.ndarray, overlap: int):
+def _homes(centers: Index, overlap: int):
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                near = np.argsort(-(_unit(np.stack(pdf.embedding.to_numpy())) @ centers.T), axis=1)[:, :overlap]
+                near = centers.nearest(_unit(np.stack(pdf.embedding.to_numpy())), overlap)
                 yield pd.DataFrame({"shard": near.ravel(), "home": (np.arange(near.size) % near.shape[1] == 0).astype(np.int64)})
 
     return run
 
 
-def _find_links(nodes: DataFrame, centers: np.ndarray, overlap: int, threshold: float) -> DataFrame:
+def _find_links(nodes: DataFrame, centers: Index, overlap: int, threshold: float) -> DataFrame:
     """Rows of _FOUND for each node and graph it searched or was linked in, and for each link that leaves a task."""
     fill = nodes.select("embedding").mapInPandas(_homes(centers, overlap), "shard long, home long")
     graphs, blocks = np.ones(len(centers), np.int64), np.ones(len(centers), np.int64)
@@ -414,8 +480,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, ove
     found = counts = None
     for row in nodes.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect():  # a row for each length
         same = nodes.where(F.size("embedding") == row.n)
-        sample = same.orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("embedding").toPandas()
-        centers = centroids(_unit(np.stack(sample.embedding.to_numpy())), max(1, -(-row.rows // SHARD)))
+        centers = fit(same, row.rows, fit_rows)
         wide = overlap
         for attempt in range(TRIES):
             own = _find_links(same, centers, min(wide, len(centers)), threshold)

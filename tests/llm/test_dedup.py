@@ -168,6 +168,49 @@ def test_empty(spark, run):
     assert run(frame(spark, [])).count() == 0
 
 
+def test_search_from_the_medoid_alone():
+    """What a search that knows only the medoid finds, without the second chance from the link's other end."""
+    rng = np.random.default_rng(3)
+    base = vector_graph._unit(rng.normal(size=(3000, 32)))
+    for copies in (1, 6):
+        some = base[: 3000 // (copies + 1)]
+        x = vector_graph._unit(np.concatenate([some, *[some + rng.normal(size=some.shape) * 0.04 for _ in range(copies)]]))
+        true = x @ x.T >= 0.95
+        np.fill_diagonal(true, False)
+        hit = np.zeros_like(true)
+        hit[vector_graph.FlatGraph(x).within(x, 0.9)] = True
+        assert (hit & true).sum() >= 0.95 * true.sum() > 0
+
+
+def test_index_in_cells():
+    """Two levels of centroids against one: most vectors get the same nearest one."""
+    rng = np.random.default_rng(4)
+    fine = vector_graph._unit(rng.normal(size=(300, 8)))
+    coarse = vector_graph._unit(rng.normal(size=(20, 8)))
+    x = vector_graph._unit(rng.normal(size=(500, 8)))
+    index = vector_graph.Index(fine, coarse, (fine @ coarse.T).argmax(axis=1))
+    near = index.nearest(x, 4)
+    assert ((near >= 0) & (near < 300)).all()
+    best = (x @ index.fine.T).argmax(axis=1)
+    assert (near[:, 0] == best).mean() > 0.9
+
+
+def test_vectors_with_centroids_in_cells(spark, monkeypatch):
+    """Centroids fitted in cells, on executors, and repeated ids."""
+    for name, value in (("SHARD", 16), ("ONE_LEVEL", 8), ("COARSE", 6), ("PROBES", 3), ("FIT_EACH", 4)):
+        monkeypatch.setattr(vector_graph, name, value)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(300, 24))
+    rows = np.concatenate([base, base[:150] + rng.normal(scale=0.06, size=(150, 24))])
+    data = [(k, [float(v) for v in x]) for k, x in enumerate(rows)] + [(7, [float(v) for v in rows[7]])] * 2
+    found = vector_graph.near_duplicate_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    unit = np.array([x for _, x in data])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert len(found) == len(data) and sum(r.n_links for r in found) >= 0.95 * links.sum()
+    assert {r.n_links for r in found if r.vec_id == 7} == {links[7]}
+
+
 def test_empty_vectors(spark):
     assert vector_graph.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
