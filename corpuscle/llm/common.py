@@ -54,6 +54,7 @@ def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
 
     by: a column whose values get folders of their own, so that reading one leaves the others alone.
     """
+    bound_batches(df.sparkSession)
     path = new_path(df.sparkSession, label)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -70,7 +71,22 @@ def release(df: DataFrame) -> None:
             system.delete(target, True)
 
 
+#: The setting for the bytes of a batch between Spark and Python, and its value here unless the session gives one.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Both sides hold a batch in memory; by default one may take 10,000 texts. A smaller setting of the session's stays."""
+    try:
+        given = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)))
+    except Exception:  # a version of Spark without the setting
+        return
+    if given <= 0 or given > int(_BATCH_BYTES):
+        spark.conf.set(_BATCH, _BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -162,10 +178,10 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in small parts; freed memory goes back to the system after each batch."""
+def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about size bytes at most; freed memory goes back to the system after each batch."""
     for batch in batches:
-        step = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        step = max(1, min(SLICE_ROWS, batch.num_rows * size // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
         del batch

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import ragged, slices, stage
-from .tokens import CACHED, encoder
+from .tokens import CACHED, SLICE, encoder
 
 SEQUENCE, END_ID = 1024, 0
 #: Pieces of a length that are ranked in one task, on average.
@@ -67,10 +67,10 @@ def _slots(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray,
     return {k: tuple(np.array(x, np.int64) for x in zip(*v)) for k, v in out.items()}
 
 
-def _cut(path: str | None, size: int, with_ids: bool, cached: int):
+def _cut(path: str | None, size: int, with_ids: bool, cached: int, width: int):
     def run(batches):
         encode = encoder(path, cached).ended
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             flat, tokens = encode(batch.column("text"), END_ID)
             n_pieces = -(-tokens // size)
             start = ragged(np.zeros(len(tokens), np.int64), n_pieces) * size
@@ -82,30 +82,32 @@ def _cut(path: str | None, size: int, with_ids: bool, cached: int):
             columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, pieces), pa.int64()), pa.array(tokens[doc])]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
-                columns.append(pa.array(map(bytes, pieces), pa.binary()))
+                narrow = memoryview(flat.astype(f"<u{width}")).cast("B")
+                columns.append(pa.array([bytes(narrow[width * a : width * b]) for a, b in zip(first.tolist(), (first + length).tolist())], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def cut_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False, cached: int = CACHED) -> DataFrame:
-    """docs (doc_id, text) -> pieces (doc_id, start, length, ids_crc32, doc_tokens[, ids: little-endian uint32]).
+def cut_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False, cached: int = CACHED, width: int = 4) -> DataFrame:
+    """docs (doc_id, text) -> pieces (doc_id, start, length, ids_crc32, doc_tokens[, ids: little-endian unsigned numbers of width bytes]).
 
-    Every document, of null or empty text too, ends with id 0; it is cut every size ids.
+    Every document, of null or empty text too, ends with id 0; it is cut every size ids. ids_crc32 is that of four
+    bytes an id; a width of 2 suits vocabularies of up to 65,536 ids.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, size, with_ids, cached), schema)
+    return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, size, with_ids, cached, width), schema)
 
 
-def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False, cached: int = CACHED) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False, cached: int = CACHED, width: int = 4) -> DataFrame:
     """cut_documents' pieces with sequence_id and offset: offsets in a sequence are gapless from 0, its ids at most size.
 
     Pieces of a length are ranked by (bucket, id, start); the pattern that a rank falls to gives the
     sequence and the place in it. Rows that repeat are packed each. An empty table gives no rows. The histogram,
     at most size rows, is all that the driver sees. A worker keeps the ids of cached words.
     """
-    pieces = stage(cut_documents(docs, size, tokenizer, with_ids, cached), "pieces")
+    pieces = stage(cut_documents(docs, size, tokenizer, with_ids, cached, width), "pieces")
     counted = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most size rows
     slots = _slots(shortest_pack_first({r.length: r.n for r in counted}, size))
     # lengths of many pieces are ranked in several buckets: at most size + pieces / RANKED of them in all
@@ -152,12 +154,13 @@ def sequences(packed: DataFrame, size: int = SEQUENCE) -> DataFrame:
             out, lengths = [], []
             for parts in batch.column("parts").to_pylist():
                 data = b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["offset"]))
+                width = len(parts[0]["ids"]) // parts[0]["length"]
                 ids = np.full(size, END_ID, np.int64)
-                ids[: len(data) // 4] = np.frombuffer(data, "<u4")
+                ids[: len(data) // width] = np.frombuffer(data, f"<u{width}")
                 out.append(ids)
-                lengths.append(len(data) // 4)
+                lengths.append(len(data) // width)
             columns = [batch.column("sequence_id"), pa.array(out, pa.list_(pa.int64())), pa.array(lengths, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["sequence_id", "ids", "length"])
 
-    grouped = packed.groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "ids")).alias("parts"))  # at most size pieces
+    grouped = packed.groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "length", "ids")).alias("parts"))  # at most size pieces
     return grouped.mapInArrow(run, "sequence_id long, ids array<long>, length long")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, slices
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 END_ID = 2
 #: Tables of the parts' totals of up to so many rows go to every task; larger ones are joined by a shuffle.
@@ -30,7 +30,7 @@ def _encode(path: str | None, end_id: int):
     def run(batches):
         encode = encoder(path).ended
         before = 0  # ids of the documents before, in this partition
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             flat, sizes = encode(batch.column("text"), end_id)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int32)))

@@ -12,6 +12,8 @@ from .common import ragged
 
 #: Stretches whose ids a Python worker keeps, and ids kept in all for each of them on average.
 CACHED, IDS_EACH = 400_000, 8
+#: Bytes of text whose words are looked up at a time; the arrays of their ids take some fifteen times that.
+SLICE = 2 << 20
 #: Characters encoded at a time, where a text can be cut there.
 PART = 1 << 21
 #: Stretches sent to the library in one text.
