@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 token ids, padded, and the length of each before its padding."""
-    return packing.sequences(packing.pack_documents(docs, with_ids=True, cached=CACHED))
+    """Sequences of 1024 token ids, padded, and the length of each before its padding. The vocabulary has fewer than 65,536 ids."""
+    return packing.sequences(packing.pack_documents(docs, with_ids=True, cached=CACHED, width=2))
 
 
 STAGES = [
