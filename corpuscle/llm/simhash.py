@@ -170,50 +170,82 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _first_pairs(shared: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket; in those of over PAIRED nodes, pairs with LEADERS of them."""
+    """All pairs (a, b) of a bucket; in those of over PAIRED nodes, pairs with LEADERS of them.
+
+    Leaders are the nodes whose buckets hold most: of a group of copies those that were changed least.
+    """
     few = shared.where(F.col("size") <= PAIRED)
     pairs = few.select("band", "key", F.col("node").alias("a")).join(few.select("band", "key", F.col("node").alias("b")), ["band", "key"]).where("a < b")
     many = shared.where(F.col("size") > PAIRED)
-    # The smallest of each of LEADERS shares of a bucket, so that no task sorts a bucket.
-    leaders = stage(many.groupBy("band", "key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("share")).agg(F.min("node").alias("b")), "leaders")
+    weighed = many.groupBy("node").agg(F.struct(F.sum("size"), -F.col("node")).alias("weight"))
+    # The heaviest of each of LEADERS shares of a bucket, so that no task sorts a bucket.
+    share = F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("share")
+    leaders = stage(many.join(weighed, "node").groupBy("band", "key", share).agg(F.max_by("node", "weight").alias("b")), "leaders")
     led = many.select("band", "key", F.col("node").alias("a")).join(leaders.select("band", "key", "b"), ["band", "key"]).where("a != b")
     return pairs.select("a", "b").union(led.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
 
 
-def _rest_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (a, b) of buckets of over PAIRED nodes that links do not lead to each other so far.
+def _rest_pairs(docs: DataFrame, nodes: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of nodes of large buckets that are not linked so far, every similar pair among them; None if all are.
 
-    Nodes outside a bucket's largest component meet all nodes of the bucket that lie in other components, so a
-    bucket that the leaders have made one component costs nothing more, however many copies it holds.
+    Nodes outside a bucket's largest component are looked for among all nodes of such buckets: two sets of which
+    TENTHS/10 is common share one of the rarest shingles of either, as many as may be missing and one more, and no more
+    than either holds from the first of those on. What is rare in a node that is unlike all others is its own, so
+    it meets none or few; a bucket that the leaders have made one
+    component costs nothing more.
     """
     many = shared.where(F.col("size") > PAIRED).join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     many = stage(many.select("band", "key", "node", F.coalesce("root", "node").alias("root")), "rooted_buckets")
     held = many.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = stage(held.groupBy("band", "key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1"), "largest")
-    split = many.join(largest, ["band", "key"])
-    outside = split.where("root != largest").select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    both = outside.join(split.select("band", "key", F.col("node").alias("b"), F.col("root").alias("rb")), ["band", "key"]).where("ra != rb")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    largest = held.groupBy("band", "key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    split = many.join(stage(largest, "largest"), ["band", "key"])
+    members = stage(split.groupBy("node", "root").agg(F.bool_or(F.col("root") != F.col("largest")).alias("outside")), "members")
+    sets = _sets(docs, nodes, members.select("node"))
+    if sets is None:
+        return None
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = stage(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "often")
+    ordered = each.join(often, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("l"))
+    missing = F.floor(F.size("l") * F.lit(10 - TENTHS) / F.lit(10))
+    rare = ordered.select("node", F.size("l").alias("n"), F.posexplode(F.slice("l", F.lit(1), (missing + 1).cast("int"))).alias("at", "x"))
+    rare = rare.where("x.df > 1").select("node", "n", (F.col("n") - F.col("at")).alias("most"), "x.s").join(members, "node")
+    rare = stage(rare, "rare")
+    first = rare.where("outside").select("s", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("most").alias("ma"))
+    second = rare.select("s", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    # the first shingle in common, in this order, and all after it are the most that both can share
+    enough = (10 + TENTHS) * F.least("ma", "mb") >= TENTHS * (F.col("na") + F.col("nb"))
+    both = first.join(second, "s").where((F.col("ra") != F.col("rb")) & enough)
+    pairs = stage(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more_candidates")
+    for old in (many, members, sets, often, rare):
+        release(old)
+    return pairs
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets, of the whole texts, have a Jaccard similarity of TENTHS/10 or more."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame | None:
+    """(node, shingles) of the whole texts of ends (node); None if there are none."""
     wanted = stage(nodes.join(ends, "node").select("node", "text_sha256"), "wanted")
     n = wanted.count()
     if n == 0:
-        return pairs
+        return None
     text = F.coalesce("text", F.lit(""))
     near, maybe = maybe_in(docs.select(text.alias("text"), F.sha2(text, 256).alias("sha")), "sha", wanted, "text_sha256", n)
     sets = near.where(maybe).mapInArrow(_shingle_sets, "sha string, shingles array<long>")
     sets = sets.join(wanted, F.col("sha") == F.col("text_sha256")).groupBy("node").agg(F.any_value("shingles").alias("shingles"))  # rows of one node are equal
     sets = stage(sets, "shingles")
+    release(wanted)
+    return sets
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets, of the whole texts, have a Jaccard similarity of TENTHS/10 or more."""
+    sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    if sets is None:
+        return pairs
     told = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
     )
     common = F.size(F.array_intersect("x", "y"))
     links = stage(told.where((10 + TENTHS) * common >= TENTHS * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
-    release(wanted)
     release(sets)
     return links
 
@@ -222,7 +254,8 @@ def similar(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """docs (text), nodes (node, text_sha256, bands), links (a, b) known already -> (node, root) of all links together.
 
     Nodes link where TENTHS/10 or more of their distinct shingles are common. Candidates share a band; each is
-    verified on the whole sets of both texts. Pairs of large buckets are compared unless other links join their ends.
+    verified on the whole sets of both texts. Pairs of large buckets are compared unless other links join their ends
+    or their rarest shingles rule them out.
     """
     shared = _buckets(nodes)
     first = stage(_first_pairs(shared), "candidates")
@@ -231,10 +264,8 @@ def similar(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links)
     if shared.where(F.col("size") > PAIRED).isEmpty():
         return roots
-    rest = stage(_rest_pairs(shared, roots), "more_candidates")
-    if rest.isEmpty():
-        return roots
-    return components(links.union(_verified(docs, nodes, rest)))
+    rest = _rest_pairs(docs, nodes, shared, roots)
+    return roots if rest is None or rest.isEmpty() else components(links.union(_verified(docs, nodes, rest)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
