@@ -180,6 +180,7 @@ def give_back() -> None:
 
 def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about size bytes at most; freed memory goes back to the system after each batch."""
+    pa.set_memory_pool(pa.system_memory_pool())  # the C library's, whose freed memory can be given back
     for batch in batches:
         step = max(1, min(SLICE_ROWS, batch.num_rows * size // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):

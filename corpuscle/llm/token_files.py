@@ -30,7 +30,7 @@ def _encode(path: str | None, end_id: int):
     def run(batches):
         encode = encoder(path).ended
         before = 0  # ids of the documents before, in this partition
-        for batch in slices(batches, SLICE):
+        for batch in slices(batches, 2 * SLICE):
             flat, sizes = encode(batch.column("text"), end_id)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int32)))
