@@ -8,7 +8,7 @@ from corpuscle.llm import exact_dedup, mixing, packing, simhash, toxicity
 from corpuscle.llm.common import stage, table
 
 #: Words whose ids a worker keeps: few, as packing follows other stages in the same workers.
-CACHED = 200_000
+CACHED = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
