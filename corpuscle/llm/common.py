@@ -178,15 +178,24 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Bytes of batches after which a worker gives freed memory back; each time costs the pages anew.
+GIVEN_BACK = 48 << 20
+
+
 def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of about size bytes at most; freed memory goes back to the system after each batch."""
+    """The batches in parts of about size bytes at most; freed memory goes back to the system now and then, and at the end."""
     pa.set_memory_pool(pa.system_memory_pool())  # the C library's, whose freed memory can be given back
+    read = 0
     for batch in batches:
         step = max(1, min(SLICE_ROWS, batch.num_rows * size // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        read += batch.nbytes
         del batch
-        give_back()
+        if read > GIVEN_BACK:
+            give_back()
+            read = 0
+    give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:
