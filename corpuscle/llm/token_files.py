@@ -13,6 +13,8 @@ from .common import new_path, slices
 from .tokens import SLICE, encoder
 
 END_ID = 2
+#: Stretches whose ids a worker keeps: more than elsewhere, as nothing else is held.
+CACHED = 800_000
 #: Tables of the parts' totals of up to so many rows go to every task; larger ones are joined by a shuffle.
 LOCAL_PARTS = 100_000
 #: Option names and values of ORC's writer.
@@ -28,7 +30,7 @@ ORC_OPTIONS = {
 
 def _encode(path: str | None, end_id: int):
     def run(batches):
-        encode = encoder(path).ended
+        encode = encoder(path, CACHED).ended
         before = 0  # ids of the documents before, in this partition
         for batch in slices(batches, 2 * SLICE):
             flat, sizes = encode(batch.column("text"), end_id)

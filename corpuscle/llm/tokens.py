@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +115,7 @@ class Encoder:
     def _numbers_of(self, stretches: pa.Array) -> np.ndarray:
         """The numbers of distinct stretches."""
         names = _bytes(stretches)
-        at = np.fromiter((self.numbers.get(x, -1) for x in names), np.int64, len(names))
+        at = np.fromiter(map(self.numbers.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(at < 0)
         if len(new):
             self._learn(stretches.take(pa.array(new)))
