@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,8 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[list
     """[(lengths in a pack, number of such packs)] that places every length of the histogram.
 
     Lengths go longest first, each time into the pattern with the shortest content; what a pattern's count
-    exceeds stays behind as a pattern of its own. The work depends on the histogram's width, not on its counts.
+    exceeds stays behind as a pattern of its own. Pieces that fit no pattern open new ones, each with as many of
+    them as it takes. The work depends on the histogram's width, not on its counts.
     """
     open_packs: list[tuple[int, int, list[int], int]] = []  # content, tie breaker, lengths, count
     full: list[tuple[list[int], int]] = []
@@ -46,23 +49,26 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[list
                 put(lengths, count - taken)
             put(lengths + [length], taken)
             left -= taken
-        if left:
-            put([length], left)
+        together = size // length
+        if left >= together:
+            put([length] * together, left // together)
+        if left % together:
+            put([length] * (left % together), 1)
     return full + [(lengths, count) for _, _, lengths, count in open_packs]
 
 
-def _slots(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """length -> (first rank, sequence of that rank, offset) of the runs of ranks that share a pattern's place."""
-    out: dict[int, list[tuple[int, int, int]]] = {}
+def _slots(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """length -> (first rank, sequence of that rank, offset there, ranks a sequence) of the runs of ranks that share a pattern's place."""
+    out: dict[int, list[tuple[int, int, int, int]]] = {}
     ranks: dict[int, int] = {}
     base = 0
     for lengths, count in patterns:
         at = 0
-        for length in lengths:
-            first = ranks.get(length, 0)
-            out.setdefault(length, []).append((first, base, at))
-            ranks[length] = first + count
-            at += length
+        for length, same in groupby(lengths):
+            first, together = ranks.get(length, 0), len(list(same))
+            out.setdefault(length, []).append((first, base, at, together))
+            ranks[length] = first + count * together
+            at += length * together
         base += count
     return {k: tuple(np.array(x, np.int64) for x in zip(*v)) for k, v in out.items()}
 
@@ -100,16 +106,14 @@ def cut_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None =
     return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, size, with_ids, cached, width), schema)
 
 
-def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False, cached: int = CACHED, width: int = 4) -> DataFrame:
-    """cut_documents' pieces with sequence_id and offset: offsets in a sequence are gapless from 0, its ids at most size.
+def place_pieces(pieces: DataFrame, size: int, patterns: Callable[[dict[int, int], int], list[tuple[list[int], int]]]) -> DataFrame:
+    """pieces (doc_id, start, length, ids_crc32, ...; a stage table) with sequence_id and offset, as patterns(histogram of lengths, size) has them.
 
-    Pieces of a length are ranked by (bucket, id, start); the pattern that a rank falls to gives the
-    sequence and the place in it. Rows that repeat are packed each. An empty table gives no rows. The histogram,
-    at most size rows, is all that the driver sees. A worker keeps the ids of cached words.
+    Pieces of a length are ranked by (bucket, id, start, ids_crc32); the pattern that a rank falls to gives the
+    sequence and the place in it. The histogram, at most size rows, is all that the driver sees.
     """
-    pieces = stage(cut_documents(docs, size, tokenizer, with_ids, cached, width), "pieces")
     counted = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most size rows
-    slots = _slots(shortest_pack_first({r.length: r.n for r in counted}, size))
+    slots = _slots(patterns({r.length: r.n for r in counted}, size))
     # lengths of many pieces are ranked in several buckets: at most size + pieces / RANKED of them in all
     shares = {r.length: r.n // RANKED + 1 for r in counted}
     of_length = F.split(F.lit(",".join(str(shares.get(k, 1)) for k in range(size + 1))), ",").cast("array<int>")
@@ -131,11 +135,12 @@ def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None
             lengths, ranks = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
             for length in np.unique(lengths):
-                first, base, at = slots[int(length)]
+                first, base, at, together = slots[int(length)]
                 mine = np.flatnonzero(lengths == length)
                 run = np.searchsorted(first, ranks[mine], side="right") - 1
-                sequence[mine] = base[run] + ranks[mine] - first[run]
-                offset[mine] = at[run]
+                number, nth = np.divmod(ranks[mine] - first[run], together[run])
+                sequence[mine] = base[run] + number
+                offset[mine] = at[run] + nth * length
             kept = [batch.column(x) for x in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
@@ -143,6 +148,14 @@ def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
+def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False, cached: int = CACHED, width: int = 4) -> DataFrame:
+    """cut_documents' pieces with sequence_id and offset: offsets in a sequence are gapless from 0, its ids at most size.
+
+    Rows that repeat are packed each. An empty table gives no rows. A worker keeps the ids of cached words.
+    """
+    return place_pieces(stage(cut_documents(docs, size, tokenizer, with_ids, cached, width), "pieces"), size, shortest_pack_first)
+
+
 def sequences(packed: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """(sequence_id, ids array<long>, length): the packed pieces with their ids, joined in order of offset, padded with END_ID to size.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language_model, mixing, packing, simhash, token_files, toxicity, url_filter, vector_graph
+from . import best_fit, exact_dedup, html_text, language_model, mixing, packing, simhash, token_files, toxicity, url_filter, vector_graph
 from .common import table
 
 #: The rules that op3_url_filter applies.
@@ -54,7 +54,11 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_url_filter, op4_exact_dedup, op5_vector_graph, op6_token_files, op7_language_model, op8_toxicity, op9_html_text, op10_simhash)}
+def op13_best_fit(spark, sf_dir):
+    return best_fit.pack_best_fit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_url_filter, op4_exact_dedup, op5_vector_graph, op6_token_files, op7_language_model, op8_toxicity, op9_html_text, op10_simhash, op13_best_fit)}
 
 ORACLE_SQL = {
     "op2_mixing": """

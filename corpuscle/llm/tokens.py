@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import repeat
 
@@ -29,6 +30,9 @@ _AT = "\x01"
 _BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _LETTER = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: For words in lower case: the letters above without the one whose lower case holds a combining mark.
+_CASED = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_ASCII_BLANKS = " \t\n\r\x0b\x0c"
 
 
 def _bytes(texts: pa.Array) -> list[bytes]:
@@ -46,18 +50,37 @@ class Encoder:
     Texts with a special token's string go to the library whole.
     """
 
+    #: Letters and digits after which marks at a stretch's end are pieces of their own.
+    letters = _LETTER
+    cut_long = _CUT_LONG
+
     def __init__(self, path: str, cached: int = CACHED) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        blanks = tuple(self.tokenizer.id_to_token(int(self._whole(x)[0])) for x in (" ", "\n"))
-        self.is_start = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.is_start[[i for t, i in vocabulary.items() if t.startswith(blanks)]] = True
+        self._mark_bounds(self.tokenizer.get_vocab(with_added_tokens=True))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cached = cached
         self._reset()
 
+    def _mark_bounds(self, vocabulary: dict[str, int]) -> None:
+        blanks = tuple(self.tokenizer.id_to_token(int(self._whole(x)[0])) for x in (" ", "\n"))
+        self.is_start = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_start[[i for t, i in vocabulary.items() if t.startswith(blanks)]] = True
+
+    def _stretches(self, text: str) -> list[str]:
+        return _CUT.split(text)
+
+    def _single(self, stretches: pa.Array) -> pa.Array:
+        """Those that can be joined into one text from whose ids _starts_in finds each one's first."""
+        return pc.match_substring_regex(stretches, f"^[ \n][^{_BLANK}]+$")
+
+    def _joined(self, names: list[bytes]) -> str:
+        return b"".join(names).decode()
+
+    def _starts_in(self, ids: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.is_start[ids])
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -94,13 +117,13 @@ class Encoder:
 
     def _learn(self, stretches: pa.Array) -> None:
         """Keeps the ids of stretches, which are new and distinct."""
-        single = pc.match_substring_regex(stretches, f"^[ \n][^{_BLANK}]+$")
+        single = self._single(stretches)
         names = _bytes(joined := stretches.filter(single))
         ids, lens = [], []
         for k in range(0, len(names), JOINED):  # one text at a time: the library would otherwise start threads
             part = names[k : k + JOINED]
-            found = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(self.is_start[found])
+            found = np.array(self.tokenizer.encode_batch_fast([self._joined(part)], add_special_tokens=False)[0].ids, np.uint32)
+            at = self._starts_in(found)
             if len(at) != len(part):
                 each = [self._whole(x) for x in joined.slice(k, JOINED).to_pylist()]
                 found, at = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
@@ -128,7 +151,7 @@ class Encoder:
         told = stretches.dictionary_encode()
         whole = told.dictionary
         stems = pc.utf8_rtrim(whole, _MARKS)
-        cut = pc.and_(pc.match_substring_regex(stems, f"[{_LETTER}]$"), pc.less(pc.binary_length(stems), pc.binary_length(whole)))
+        cut = pc.and_(pc.match_substring_regex(stems, f"[{self.letters}]$"), pc.less(pc.binary_length(stems), pc.binary_length(whole)))
         cut = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
         ends = pc.binary_length(stems).to_numpy()[cut].tolist()
         marks = pa.array([x[n:] for x, n in zip(_bytes(whole.take(pa.array(cut))), ends)], pa.large_binary()).cast(pa.large_string())
@@ -150,23 +173,16 @@ class Encoder:
             return self._whole(text)
         out, at = [np.zeros(0, np.uint32)], 0
         while at < len(text):
-            m = _CUT_LONG.search(text, at + PART)
+            m = self.cut_long.search(text, at + PART)
             end = m.start() if m else len(text)
-            out.append(self._ids(pa.array(_CUT.split(text[at:end]), pa.large_string()))[0])
+            out.append(self._ids(pa.array(self._stretches(text[at:end]), pa.large_string()))[0])
             at = end
             self._shrink()
         return np.concatenate(out)
 
-    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each); a null text has none."""
-        self._shrink()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if not len(texts):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        odd = pc.greater(pc.binary_length(texts), PART)
-        for s in (*self.special, _AT):
-            odd = pc.or_(odd, pc.match_substring(texts, s))
-        odd = odd.to_numpy(zero_copy_only=False).copy()
+    def _split(self, texts: pa.Array, odd: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(stretches of all texts but the odd ones, the first of each text, odd texts: those given and any others that must be encoded one by one)."""
+        odd |= pc.match_substring(texts, _AT).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts) if odd.any() else texts
         for blank in (" ", "\n"):
             plain = pc.replace_substring(plain, blank, _AT + blank)
@@ -176,6 +192,18 @@ class Encoder:
         # a stretch that ends with a blank belongs with the next one: such texts are split one by one
         bad = np.flatnonzero(pc.match_substring_regex(stretches, f"[{_BLANK}]$").to_numpy(zero_copy_only=False))
         odd[np.searchsorted(offsets, bad, side="right") - 1] = True
+        return stretches, offsets, odd
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); a null text has none."""
+        self._shrink()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        odd = pc.greater(pc.binary_length(texts), PART)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        stretches, offsets, odd = self._split(texts, odd.to_numpy(zero_copy_only=False).copy())
         flat, lens = self._ids(stretches)
         sizes = np.diff(np.concatenate([[0], np.cumsum(lens)])[offsets])
         if odd.any():
@@ -194,6 +222,40 @@ class Encoder:
         return out, sizes + 1
 
 
+class WordEncoder(Encoder):
+    """Ids of a BPE over words in lower case whose last token carries an end mark (word_bpe_49k.json).
+
+    White space is dropped and no word spans it, so a text falls into stretches between ASCII blanks. A run of
+    letters alone, or of marks alone, is one word: many of those go to the library in one text, where each one's ids
+    begin after an end mark.
+    """
+
+    letters = "0-9" + _CASED
+    cut_long = re.compile(f"[{_ASCII_BLANKS}]")
+
+    def _mark_bounds(self, vocabulary: dict[str, int]) -> None:
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+
+    def _stretches(self, text: str) -> list[str]:
+        return re.split(f"[{_ASCII_BLANKS}]+", text)
+
+    def _single(self, stretches: pa.Array) -> pa.Array:
+        marks = re.sub(r"([\\\]\[^-])", r"\\\1", _MARKS)
+        return pc.match_substring_regex(stretches, f"^(?:[{_CASED}]+|[{marks}]+)$")
+
+    def _joined(self, names: list[bytes]) -> str:
+        return b" ".join(names).decode()
+
+    def _starts_in(self, ids: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.flatnonzero(self.is_end[ids[:-1]]) + 1])
+
+    def _split(self, texts: pa.Array, odd: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts) if odd.any() else texts
+        split = pc.ascii_split_whitespace(plain)
+        return split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py(), odd
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -203,6 +265,8 @@ def encoder(path: str | None = None, cached: int = CACHED) -> Encoder:
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        with open(path, encoding="utf-8") as file:
+            words = json.load(file)["model"].get("end_of_word_suffix")
+        _encoders[path] = (WordEncoder if words else Encoder)(path)
     _encoders[path].cached = cached
     return _encoders[path]
