@@ -209,3 +209,28 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     total = int(lens.sum())
     before = np.cumsum(lens) - lens
     return np.repeat(starts - before, lens) + np.arange(total)
+
+
+def _words_of(kept: bytes) -> bytes:
+    """A table for bytes.translate: A-Z as a-z, what is kept and all bytes of characters beyond ASCII as they are, others as blanks."""
+    table = bytearray(b" " * 128) + bytearray(range(128, 256))
+    for byte in kept:
+        table[byte] = byte
+    table[ord("A") : ord("Z") + 1] = b"abcdefghijklmnopqrstuvwxyz"
+    return bytes(table)
+
+
+#: Words of the letters a-z (A-Z lower-cased) and all characters beyond ASCII, without and with the digits 0-9.
+LETTERS = _words_of(b"abcdefghijklmnopqrstuvwxyz")
+LETTERS_AND_DIGITS = _words_of(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def word_runs(data: bytes, table: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text by a table of _words_of, in lists of about size bytes, so that no text is held as words whole."""
+    data = data.translate(table)
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + size)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
