@@ -3,7 +3,8 @@
 Markup is stripped to one line for each block element; menus, adverts and the like give no line. Sliding windows of
 lines sum the text outside links; the text starts where the sums surge and ends where they dive. Of these stretches the
 one that holds most text is widened to the bounds of the element it lies in, an article element where there is one,
-and all lines between the bounds are the main text.
+and all lines between the bounds are the main text. Where one article element has text, only its lines have weight.
+Readers' comments are told by name, by microdata, or as siblings alike that each show an author or a time and a reply link.
 """
 
 from __future__ import annotations
@@ -38,7 +39,17 @@ _NOISE_NAMES = frozenset(
     " pagination paywall popup promo promoted promotion related recommended search share sharing sidebar"
     " signup social sponsor sponsored subscribe subscription toolbar topbar widget header alert".split()
 )
-_COMMENT_NAMES = frozenset("comment comments disqus reply replies respond".split())
+_COMMENT_NAMES = frozenset("comment comments disqus reply replies respond responses discussion discussions".split())
+#: Parts of a name that tell comments whatever else it holds, unless one of the states is among them.
+_COMMENT_PART = re.compile(
+    "(?:all|article|blog|entry|facebook|fb|news|page|post|reader|user|wp)?comment"
+    "(?:s|area|block|body|box|container|count|er|ers|form|group|item|list|lists|meta|section|stream|text|thread|threads|wrap|wrapper)?"
+    "|disqus|wpdiscuz|livefyre"
+)
+_STATES = frozenset("no not has have with without open opened closed on off enabled disabled allow allowed".split())
+#: Names of parts that say who wrote something and when, and texts of links that answer it.
+_BYLINES = frozenset("author byline avatar user username commenter poster date time timestamp posted when".split())
+_REPLY = frozenset("reply|respond|answer|antworten|répondre|responder|contestar|rispondi|beantwoorden|odpowiedz|ответить|返信|回复".split("|"))
 #: What a name may hold beside these and still mean the same: site-footer and sidebar-left, not no-sidebar or ad-free.
 _PLAIN_NAMES = frozenset(
     "area bar block bottom box column container fixed global inner item items left links list main page primary right"
@@ -65,8 +76,10 @@ def _token(quoted: str):
 _TOKEN, _TOKEN_SHORT = _token(""), _token("<")
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
-#: Kinds of noise: SOFT is text after all where it holds most of a page, HARD never is.
-_SOFT, _HARD = 1, 2
+#: Kinds of noise: SOFT is text after all where it holds most of a page, COMMENTS only with a main heading, HARD never is.
+_SOFT, _COMMENTS, _HARD = 1, 2, 3
+#: What shows that an element is a comment: a byline and a link to answer it.
+_BYLINE, _ANSWER = 1, 2
 
 
 def _named(value: str, names: frozenset[str]) -> set[str]:
@@ -79,38 +92,61 @@ def _named(value: str, names: frozenset[str]) -> set[str]:
     return found
 
 
-def _noise(name: str, rest: str, inside: bool) -> int:
-    if name in _NEVER:
+def _attributes(rest: str) -> dict[str, str]:
+    return {k.lower(): (a or b or c or "").lower() for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest else {}
+
+
+def _comments(name: str, found: dict[str, str]) -> int:
+    """HARD for names and microdata that only comments have, COMMENTS for names that hold such a name, 0 for others."""
+    if found.get("itemprop") == "comment" or found.get("itemtype", "").endswith("schema.org/comment"):
+        return _HARD
+    # an article may have a part named discussion by its id
+    value = found.get("class", "") + " " + " ".join(t for t in found.get("id", "").split() if not t.startswith("discussion"))
+    if name != "section" and not re.fullmatch("h[1-6]", name) and _named(value, _COMMENT_NAMES):
+        return _HARD
+    for token in value.split():
+        parts = set(_NAME_PARTS.split(token))
+        if not parts & _STATES and any(_COMMENT_PART.fullmatch(x) for x in parts):
+            return _COMMENTS
+    return 0
+
+
+def _noise(name: str, found: dict[str, str], inside: bool) -> int:
+    if name in _NEVER - {"article"} or (name == "article" and not found):
         return 0
     if name in _NOISE:
         return _HARD
     if name in ("header", "form") and not (name == "header" and inside):
-        return _SOFT
-    if not rest:
+        return max(_SOFT, _comments(name, found))
+    if not found:
         return 0
-    found = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _ATTRIBUTE.findall(rest)}
+    comments = _comments(name, found)
+    if name == "article":
+        return comments if inside else 0
     if "hidden" in found or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return _HARD
-    value = f"{found.get('class', '')} {found.get('id', '')}"
-    if _named(value, _COMMENT_NAMES):
-        return _HARD
-    names = _named(value, _NOISE_NAMES)
+    if comments:
+        return comments
+    names = _named(f"{found.get('class', '')} {found.get('id', '')}", _NOISE_NAMES)
     return _SOFT if names - {"header"} or (names and not inside) or found.get("role") in _NOISE_ROLES else 0
 
 
 class _Walk:
-    """One pass over a page: its lines, the ranges of lines of its block elements, and its soft noise.
+    """One pass over a page: its lines, the ranges of lines of its block elements, its soft noise and what looks like comments.
 
     Each tag costs the same however deep it lies: open elements are found by name, blocks by a list of their own.
     """
 
-    def __init__(self, page: str, kept: frozenset[int] = frozenset()) -> None:
-        self.kept = kept  # numbers of soft noise that is text after all
+    def __init__(self, page: str, kept: frozenset[int] = frozenset(), dropped: frozenset[int] = frozenset()) -> None:
+        self.kept, self.dropped = kept, dropped  # numbers of soft noise that is text after all, and of comments
         self.lines: list[tuple[str, int, int, int]] = []  # text, weight, parent of its block, outermost article
         self.ranges: list[list[int]] = [[0, 0]]  # of lines, for each block element
-        self.soft: list[tuple[int, int, int, str]] = []  # number, characters and article elements in it, name
-        self.chars = self.holders = 0  # characters outside links and hard noise, article elements and main headings
-        self.stack: list[tuple[str, int, int, int, tuple[int, int, int] | None]] = []  # name, block, noise, article, soft
+        self.soft: list[tuple[int, int, int, int, str, int]] = []  # number; characters, article elements and main headings in it; name, kind
+        self.chars = self.holders = self.heads = 0  # characters outside links and hard noise, article elements and main headings
+        self.stack: list[tuple[str, int, int, int, tuple[int, int, int, int, int] | None]] = []  # name, block, noise, article, soft
+        self.frames: list[list] = [[0, "", 0, 0]]  # for the page and each open element: number, class, signs of a comment, characters before
+        self.alike: dict[tuple[int, str, str], list[tuple[int, int]]] = {}  # (parent, name, class) -> blocks like comments: number, characters
+        self.articles: set[int] = set()  # blocks of article elements with a main heading
         self.blocks: list[int] = []  # places in the stack
         self.places: dict[str, list[int]] = {}
         self.parts: list[str] = []
@@ -144,6 +180,8 @@ class _Walk:
 
     def _text(self, text: str) -> None:
         noise, n = self._noise(), 0 if self.links else len(text.strip())
+        if (self.links or self.stack and self.stack[-1][0] == "button") and len(text) < 40 and text.strip().lower() in _REPLY:
+            self.frames[-1][2] |= _ANSWER
         if noise != _HARD:
             self.chars += n
         if not noise:
@@ -161,14 +199,18 @@ class _Walk:
     def _pop(self, to: int) -> None:
         while len(self.stack) > to:
             name, block, _, _, soft = self.stack.pop()
+            number, look, signs, before = self.frames.pop()
+            self.frames[-1][2] |= signs
+            if block and signs == _BYLINE | _ANSWER:
+                self.alike.setdefault((self.frames[-1][0], name, look), []).append((number, self.chars - before))
             self.places[name].pop()
             self.links -= name == "a"
             if block:
                 self.blocks.pop()
                 self.ranges[block][1] = len(self.lines)
             if soft:
-                number, chars, holders = soft
-                self.soft.append((number, self.chars - chars, self.holders - holders, name))
+                number, chars, holders, heads, kind = soft
+                self.soft.append((number, self.chars - chars, self.holders - holders, self.heads - heads, name, kind))
 
     def _close(self, name: str) -> None:
         places = self.places.get(name)
@@ -193,12 +235,14 @@ class _Walk:
         elif rest.endswith("/"):
             return
         _, _, noise, article, _ = self.stack[-1] if self.stack else ("", 0, 0, 0, None)
-        own = _noise(name, rest, article > 0)
-        soft = (number, self.chars, self.holders) if own == _SOFT else None
-        if own == _SOFT and number in self.kept:
+        found = _attributes(rest)
+        own = _HARD if number in self.dropped else _noise(name, found, article > 0)
+        soft = (number, self.chars, self.holders, self.heads, own) if own in (_SOFT, _COMMENTS) else None
+        if soft and number in self.kept:
             own = 0
         if noise != _HARD:
             self.holders += name in _HOLDERS or name == "h1"
+            self.heads += name == "h1"
         if own and not block and self.parts:
             self.parts.append(" ")
         if block:
@@ -206,15 +250,28 @@ class _Walk:
             self.ranges.append([len(self.lines), len(self.lines)])
         made = len(self.ranges) - 1 if block else 0
         self.places.setdefault(name, []).append(len(self.stack))
-        self.stack.append((name, made, max(noise, own), article or (made if name in _HOLDERS else 0), soft))
+        article = article or (made if name in _HOLDERS else 0)
+        if name == "h1" and not max(noise, own):
+            self.articles.add(article)
+        self.stack.append((name, made, max(noise, own), article, soft))
+        named = found and set(_NAME_PARTS.split(f"{found.get('class', '')} {found.get('rel', '')} {found.get('itemprop', '')}"))
+        self.frames.append([number, found.get("class", ""), _BYLINE if name in ("time", "cite") or named and named & _BYLINES else 0, self.chars])
         self.links += name == "a"
 
 
 def _walk(page: str) -> _Walk:
-    """Soft noise that holds over half of a page's text is none: a wrapper with an article in it, or a form around it all."""
+    """Soft noise that holds over half of a page's text is none: a wrapper with an article in it, or a form around it all.
+
+    Two or more siblings of one name and class that each hold a byline and a link to answer are comments, if what is
+    left of the page has at least as much text as one of them has on average; else they are what the page is about.
+    """
     walk = _Walk(page)
-    kept = frozenset(n for n, chars, holders, name in walk.soft if 2 * chars > walk.chars and (holders or name == "form"))
-    return _Walk(page, kept) if kept else walk
+    most = lambda chars: 2 * chars > walk.chars
+    kept = frozenset(n for n, chars, holders, heads, name, kind in walk.soft if most(chars) and (heads if kind == _COMMENTS else holders or name == "form"))
+    items = [x for group in walk.alike.values() if len(group) > 1 for x in group]
+    chars = sum(n for _, n in items)
+    dropped = frozenset(n for n, _ in items) if items and (walk.chars - chars) * len(items) >= chars else frozenset()
+    return _Walk(page, kept, dropped) if kept or dropped else walk
 
 
 def stretches(weights: list[int]) -> list[tuple[int, int]]:
@@ -244,6 +301,11 @@ def main_text(page: str | None) -> str:
     weights = [x[1] for x in walk.lines]
     if not any(weights):
         return ""
+    articles = {x[3] for x in walk.lines if x[1] and x[3]}
+    if len(articles) > 1:
+        articles &= walk.articles
+    if len(articles) == 1:
+        weights = [x[1] if x[3] in articles else 0 for x in walk.lines]
     first, last = max(stretches(weights), key=lambda s: sum(weights[s[0] : s[1]]))
     inside = walk.lines[first:last]
     article = _heaviest(weights[first:last], [x[3] for x in inside])
