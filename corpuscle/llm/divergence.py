@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,35 +27,29 @@ TRAVELLING = 256 << 20
 
 def _count_terms(batches):
     """(lang, source, term, n, docs) of a partition; a term may come several times. A group without terms has one row of null term."""
-    counts: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}  # by group: how often each term occurs, and in how many documents
     seen: set[tuple[str, str]] = set()
     held = 0
 
     def flush():
-        for (lang, source), terms in counts.items():
-            names = list(terms)
-            n, docs = np.array(list(terms.values()), np.int64).reshape(-1, 2).T
-            columns = [pa.array([lang] * len(names), pa.string()), pa.array([source] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(n), pa.array(docs)]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        for (lang, source), (n, docs) in counts.items():
+            names = list(n)
+            columns = [pa.array([lang] * len(names), pa.string()), pa.array([source] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n.values(), pa.int64()), pa.array(map(docs.__getitem__, names), pa.int64())], _COUNTS)
 
     for batch in slices(batches):
         langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
         for lang, source, data in zip(langs, sources, utf8(batch.column("text"))):
             group = (lang or "", source or "")
             seen.add(group)
-            own: Counter = Counter()
+            n, docs = counts.setdefault(group, (Counter(), Counter()))
+            held -= len(n)
+            own: set[bytes] = set()
             for words in word_runs(data, LETTERS):
+                n.update(words)
                 own.update(words)
-            terms = counts.setdefault(group, {})
-            held -= len(terms)
-            for term, n in own.items():
-                entry = terms.get(term)
-                if entry is None:
-                    terms[term] = [n, 1]
-                else:
-                    entry[0] += n
-                    entry[1] += 1
-            held += len(terms)
+            docs.update(own)
+            held += len(n)
             if held > COUNTED:
                 yield from flush()
                 counts.clear()
@@ -62,13 +57,64 @@ def _count_terms(batches):
     yield from flush()
     nothing = [pa.array([g[k] for g in seen], pa.string()) for k in (0, 1)]
     empty = [pa.nulls(len(seen), t) for t in (pa.string(), pa.int64(), pa.int64())]
-    yield pa.RecordBatch.from_arrays([*nothing, *empty], ["lang", "source", "term", "n", "docs"])
+    yield pa.RecordBatch.from_arrays([*nothing, *empty], _COUNTS)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): how often a term occurs in a group, and in how many of its documents; null term: the group itself."""
-    partial = docs.select("lang", "source", "text").mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long")
-    return stage(partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term_counts")
+_COUNTS = ["lang", "source", "term", "n", "docs"]
+
+
+def _number_terms(min_docs: int):
+    """Rows (lang, source, term, n, docs) sorted by (lang, term) -> those of kept terms, with the term's number in this partition and its count in the language."""
+
+    def run(batches):
+        number, before = -1, None
+        rest = None
+        batches = iter(batches)
+        while True:
+            batch = next(batches, None)
+            rows = rest if batch is None else batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if rows is None or not rows.num_rows:
+                return
+            new = np.ones(rows.num_rows, bool)
+            same = [pc.equal(rows.column(c).slice(1), rows.column(c).slice(0, rows.num_rows - 1)).to_numpy(zero_copy_only=False) for c in ("lang", "term")]
+            new[1:] = ~(same[0] & same[1])
+            starts = np.flatnonzero(new)
+            whole = rows.num_rows if batch is None else int(starts[-1])  # the last term may go on in the next batch
+            rest = rows.slice(whole)
+            if whole:
+                starts = starts[starts < whole]
+                term = np.cumsum(new[:whole]) - 1
+                total, docs = (np.add.reduceat(rows.column(c).to_numpy()[:whole], starts) for c in ("n", "docs"))
+                kept = docs >= min_docs
+                langs = rows.column("lang").take(pa.array(starts)).to_pylist()
+                ids = np.zeros(len(starts), np.int64)
+                for k in np.flatnonzero(kept).tolist():  # numbers start anew with each language
+                    number = number + 1 if langs[k] == before else 0
+                    ids[k], before = number, langs[k]
+                at = np.flatnonzero(kept[term])
+                taken = rows.slice(0, whole).take(pa.array(at))
+                columns = [*[taken.column(c) for c in ("lang", "source", "term", "n")], pa.array(ids[term[at]]), pa.array(total[term[at]])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "id", "lang_n"])
+            if batch is None:
+                return
+
+    return run
+
+
+def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """((lang, source, part, id, term, n, lang_n), groups (lang, source)) of docs (lang, source, text), both stage tables.
+
+    The first has how often each group holds each term of at least min_docs of its language's documents, and how often the
+    language does. Counts are added up within tasks, then meet once, by language and term: where all groups' rows of a term
+    lie together, it is decided whether it stays, and the terms of a language are numbered within that partition, part.
+    """
+    partial = stage(docs.select("lang", "source", "text").mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long"), "partial_counts")
+    met = partial.where("term is not null").repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    numbers = met.sortWithinPartitions("lang", "term").mapInArrow(_number_terms(min_docs), "lang string, source string, term string, n long, id long, lang_n long")
+    entries = stage(numbers.withColumn("part", F.spark_partition_id()), "entries")
+    groups = stage(partial.where("term is null").select("lang", "source").distinct(), "groups")
+    release(partial)
+    return entries, groups
 
 
 def parts_per_billion(counts: np.ndarray, total: int) -> np.ndarray:
@@ -124,28 +170,28 @@ _VECTOR = "lang string, place int, source string, block int, width int, total lo
 def group_vectors(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """A row for each group and block of its language's terms: compressed (ids, counts), the group's place in its language, what p needs, best terms.
 
-    A language's kept terms fall by hash into blocks of about block_terms, in which they have ids from 0; width is their
-    number. Each group has a row of every block, an empty one too, so that two groups meet block by block.
+    The parts' terms of a language, end to end, are cut into blocks of block_terms, in which they have ids from 0; width
+    is their number. Each group has a row of every block, an empty one too, so that two groups meet block by block.
     """
-    counts = term_counts(docs)
-    kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    kept = stage(kept.select("lang", "term", "lang_n"), "kept_terms")
-    langs = stage(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("lang_n").alias("lang_total")), "langs")
-    blocks = F.greatest(F.ceil(F.coalesce("n_terms", F.lit(0)) / block_terms), F.lit(1)).cast("int")
-    dealt = kept.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), blocks).cast("int"))
-    order = Window.partitionBy("lang", "block").orderBy("term")  # about block_terms rows
-    terms = stage(dealt.select("lang", "term", "lang_n", "block", (F.row_number().over(order) - 1).alias("id")), "terms")
-    vectors = stage(counts.where("term is not null").join(terms, ["lang", "term"]).select("lang", "source", "block", "id", "term", "n", "lang_n"), "entries")
-
-    widths = terms.groupBy("lang", "block").agg(F.count(F.lit(1)).cast("int").alias("width"))
-    totals = vectors.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = counts.select("lang", "source").distinct().join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
+    entries, groups = kept_terms(docs, min_docs)
+    parts = stage(entries.groupBy("lang", "part").agg((F.max("id") + 1).alias("n"), F.sum("n").alias("sum")), "parts")  # a row for each task and language
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = stage(parts.select("lang", "part", before.alias("before")), "places")
+    langs = parts.groupBy("lang").agg(F.sum("n").alias("n_terms"), F.sum("sum").alias("lang_total"))
+    at = F.col("before") + F.col("id")
+    block, width = F.floor(at / block_terms).cast("int"), F.least(F.lit(block_terms), F.col("n_terms") - F.col("block").cast("long") * block_terms)
+    vectors = entries.join(places, ["lang", "part"]).select("lang", "source", block.alias("block"), (at % block_terms).alias("id"), "term", "n", "lang_n")
+    listed = vectors.groupBy("lang", "source", "block").agg(F.sum("n").alias("n"), F.collect_list(F.struct("id", "term", "n", "lang_n")).alias("terms"))  # at most block_terms each
+    listed = stage(listed, "listed")
+    totals = listed.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    known = groups.join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1  # as many rows as a language has sources
-    grid = groups.select("lang", "source", place.alias("place"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "n_terms", "lang_total")], F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    listed = vectors.groupBy("lang", "source", "block").agg(F.collect_list(F.struct("id", "term", "n", "lang_n")).alias("terms"))  # about block_terms each
-    rows = grid.join(listed, ["lang", "source", "block"], "left").join(widths, ["lang", "block"], "left").withColumn("width", F.coalesce("width", F.lit(0)))
+    blocks = F.greatest(F.ceil(F.col("n_terms") / block_terms), F.lit(1)).cast("int")
+    known = known.select("lang", "source", place.alias("place"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "n_terms", "lang_total")])
+    grid = known.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("width", width.cast("int"))
+    rows = grid.join(listed.drop("n"), ["lang", "source", "block"], "left")
     out = stage(rows.mapInArrow(_compress(top), _VECTOR), "group_vectors")
-    for old in (counts, kept, terms, vectors):
+    for old in (entries, groups, parts, places, listed):
         release(old)
     return out
 
