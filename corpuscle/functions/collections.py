@@ -47,32 +47,119 @@ def assemble_book(items: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def image_map(text: Column) -> Column:
-    """ARRAY<STRUCT<shape, coords, link>> of an image map's poly, rect, circle and default lines; comments and desc lines go."""
-    pattern = r"^(poly|rect|circle|default)\s*([\d\s.-]*?)\s*\[\[?(.*?)\]?\]$"
-    lines = F.filter(F.transform(F.split(text, "\r?\n"), F.trim), lambda x: x.rlike(pattern))
+    """ARRAY<STRUCT<shape, coords, link>> of an image map's poly, rect, circle, default and desc lines, in order.
+
+    link is the caption without its brackets; that of desc is where the description goes. Comments and other lines go.
+    """
+    pattern = r"^(poly|rect|circle|default)\s*([\d\s.-]*?)\s*\[\[?(.*?)\]?\]$|^(desc)\s*(top-right|bottom-right|bottom-left|top-left|none)$"
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(pattern))
 
     def entry(line: Column) -> Column:
-        numbers = F.filter(F.split(F.regexp_extract(line, pattern, 2), r"\s+"), lambda n: n != "")
-        return F.struct(F.regexp_extract(line, pattern, 1).alias("shape"), F.transform(numbers, lambda n: n.cast("double")).alias("coords"), F.regexp_extract(line, pattern, 3).alias("link"))
+        group = lambda *at: F.concat(*[F.regexp_extract(line, pattern, k) for k in at])
+        numbers = F.filter(F.split(group(2), r"\s+"), lambda n: n != "")
+        return F.struct(group(1, 4).alias("shape"), F.transform(numbers, lambda n: n.cast("double")).alias("coords"), group(3, 5).alias("link"))
 
     return F.transform(lines, entry)
 
 
-# Symbols that formulas write as commands; longer names first where one begins another.
-SYMBOLS = {
-    r"\alpha": "α", r"\beta": "β", r"\gamma": "γ", r"\delta": "δ", r"\epsilon": "ε", r"\zeta": "ζ", r"\theta": "θ", r"\iota": "ι",
-    r"\kappa": "κ", r"\lambda": "λ", r"\mu": "μ", r"\nu": "ν", r"\xi": "ξ", r"\pi": "π", r"\rho": "ρ", r"\sigma": "σ", r"\tau": "τ",
-    r"\phi": "φ", r"\chi": "χ", r"\psi": "ψ", r"\omega": "ω", r"\infty": "∞", r"\leq": "≤", r"\geq": "≥", r"\neq": "≠",
-    r"\times": "×", r"\cdot": "·", r"\sum": "∑", r"\prod": "∏", r"\int": "∫", r"\partial": "∂", r"\forall": "∀", r"\exists": "∃",
-    r"\rightarrow": "→", r"\leftarrow": "←", r"\subset": "⊂", r"\cup": "∪", r"\cap": "∩", r"\eta": "η", r"\in": "∈",
-}
+def image_of_map(text: Column) -> Column:
+    """The image that an image map shows: its first line that is neither an area nor a description nor a comment; null without one."""
+    known = r"^(?:#|(?:poly|rect|circle|default|desc)\b)"
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(known))
+    return F.get(lines, F.lit(0))
+
+
+# Commands that formulas may use, and the LaTeX that stands for them.
+SYMBOLS = dict(
+    line.split(" ", 1)
+    for line in r"""
+\Bbb \mathbb
+\Complex \mathbb{C}
+\Dagger \ddagger
+\Darr \Downarrow
+\Harr \Leftrightarrow
+\Larr \Leftarrow
+\Lrarr \Leftrightarrow
+\N \mathbb{N}
+\O \emptyset
+\R \mathbb{R}
+\Rarr \Rightarrow
+\Reals \mathbb{R}
+\Uarr \Uparrow
+\Z \mathbb{Z}
+\alef \aleph
+\alefsym \aleph
+\and \land
+\ang \angle
+\arccos \mathop{\mathrm{arccos}}
+\arccot \mathop{\mathrm{arccot}}
+\arccsc \mathop{\mathrm{arccsc}}
+\arcsec \mathop{\mathrm{arcsec}}
+\bold \mathbf
+\bull \bullet
+\clubs \clubsuit
+\cnums \mathbb{C}
+\dArr \Downarrow
+\darr \downarrow
+\diamonds \diamondsuit
+\empty \emptyset
+\exist \exists
+\ge \geq
+\hAar \Leftrightarrow
+\harr \leftrightarrow
+\hearts \heartsuit
+\image \Im
+\infin \infty
+\isin \in
+\lArr \Leftarrow
+\lang \langle
+\larr \leftarrow
+\le \leq
+\lrArr \Leftrightarrow
+\lrarr \leftrightarrow
+\natnums \mathbb{N}
+\ne \neq
+\or \lor
+\part \partial
+\plusmn \pm
+\rArr \Rightarrow
+\rang \rangle
+\rarr \rightarrow
+\real \Re
+\reals \mathbb{R}
+\sdot \cdot
+\sect \S
+\sgn \mathop{\mathrm{sgn}}
+\spades \spadesuit
+\sub \subset
+\sube \subseteq
+\supe \supseteq
+\thetasym \vartheta
+\uArr \Uparrow
+\uarr \uparrow
+\weierp \wp
+\Alpha A{}
+\Beta B{}
+\Epsilon E{}
+\Zeta Z{}
+\Eta H{}
+\Iota I{}
+\Kappa K{}
+\Mu M{}
+\Nu N{}
+\Rho P{}
+\Tau T{}
+\Chi C{}
+""".split("\n")
+    if line
+)
 
 
 def tex_symbols(text: Column) -> Column:
-    """Commands for symbols replaced where the name ends."""
-    for name, symbol in SYMBOLS.items():
-        text = F.regexp_replace(text, name.replace("\\", r"\\") + r"(?![A-Za-z])", symbol)
-    return text
+    """Commands of SYMBOLS replaced, in one pass: a command is a backslash and all letters after it; what stands for it is not read again."""
+    known = F.create_map(*[F.lit(x) for pair in SYMBOLS.items() for x in pair])
+    parts = F.regexp_extract_all(text, F.lit(r"\\[a-zA-Z]+|[^\\]+|\\"), 0)
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("\\"), F.coalesce(F.try_element_at(known, x), x)).otherwise(x)), "")
 
 
 # First and last code point of the scripts that are told apart.

@@ -92,11 +92,11 @@ def evaluate(text: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def evaluate_expressions(texts: pd.Series) -> pd.Series:
-    """evaluate() of each distinct text; null where it is no expression."""
+    """evaluate() of each distinct text; null where it is no expression, or nests deeper than Python's calls can."""
     known: dict[str, float | None] = {}
     for text in texts.dropna().unique():
         try:
             known[text] = evaluate(text)
-        except (ValueError, TypeError):
+        except (ValueError, TypeError, RecursionError):
             known[text] = None
     return texts.map(known).astype("float64")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.staging import stage
+from . import neighbours
 from .stats import uniform
 
 
@@ -44,12 +44,12 @@ def weight_ttest(vectors: DataFrame, more: DataFrame | None = None) -> DataFrame
     N is the sum of all counts, p_word a head's number of features over N, p_attrib a feature's counts over N.
     """
     known = _model(vectors, more)
-    total = known.agg(F.sum("cnt").cast("double").alias("n"))  # one row
+    n = F.lit(known.agg(F.sum("cnt").cast("double")).first()[0])
     heads = known.groupBy("head").agg(F.count(F.lit(1)).cast("double").alias("types"))
     masses = known.groupBy("feature").agg(F.sum("cnt").cast("double").alias("mass"))
-    joined = vectors.join(heads, "head").join(masses, "feature").crossJoin(F.broadcast(total))
-    a = F.col("types") / F.col("n") * (F.col("mass") / F.col("n"))
-    weight = F.when(a == 0, 0.0).otherwise((F.col("cnt") / F.col("n") - a) / F.sqrt(a))
+    joined = vectors.join(heads, "head").join(masses, "feature")
+    a = F.col("types") / n * (F.col("mass") / n)
+    weight = F.when(a == 0, 0.0).otherwise((F.col("cnt") / n - a) / F.sqrt(a))
     return joined.select("head", "feature", weight.alias("weight"))
 
 
@@ -57,21 +57,19 @@ def weighted_jaccard(weights: DataFrame, all_pairs: bool = True, ordered: bool =
     """(head, target, score): sum of minima over sum of maxima of the features that either has.
 
     maxima = sums of both - minima, so that only shared features are joined. all_pairs adds pairs that share none
-    with score 0; their number is the square of the heads' by definition. A pair whose maxima sum to 0 scores null.
+    with score 0; their number is the square of the heads' by definition. Of pairs that share a feature, one whose
+    maxima sum to 0 scores null.
     """
+    tops = neighbours.shared_tops(weights, weights)
+    tops = tops if ordered else tops.where("head < target")
     sums = weights.groupBy("head").agg(F.sum("weight").alias("total"))
-    left = weights.select("head", "feature", F.col("weight").alias("a"))
-    right = weights.select(F.col("head").alias("target"), "feature", F.col("weight").alias("b"))
-    both = left.join(right, "feature").where("head != target" if ordered else "head < target")
-    tops = both.groupBy("head", "target").agg(F.sum(F.least("a", "b")).alias("top"))
-    targets = sums.select(F.col("head").alias("target"), F.col("total").alias("total2"))
-    if all_pairs:
-        pairs = sums.crossJoin(targets).where("head != target" if ordered else "head < target")
-        joined = pairs.join(tops, ["head", "target"], "left")
-    else:
-        joined = tops.join(sums, "head").join(targets, "target")
-    top = F.coalesce("top", F.lit(0.0))
-    return joined.select("head", "target", F.try_divide(top, F.col("total") + F.col("total2") - top).alias("score"))
+    scores = neighbours.scores_of(tops, sums)
+    if not all_pairs:
+        return scores
+    targets = sums.select(F.col("head").alias("target"))
+    pairs = sums.select("head").crossJoin(targets).where("head != target" if ordered else "head < target")
+    joined = pairs.join(scores.withColumn("shared", F.lit(True)), ["head", "target"], "left")
+    return joined.select("head", "target", F.when(F.col("shared"), F.col("score")).otherwise(0.0).alias("score"))
 
 
 def jaccard(vectors: DataFrame, more: DataFrame | None = None, all_pairs: bool = True) -> DataFrame:
@@ -103,29 +101,20 @@ def top_neighbours(scores: DataFrame, k: int = 50, digits: int = 6) -> DataFrame
     return rounded.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
 
 
-#: Metrics whose scores are 0 only for pairs without a shared feature: name -> (vectors, more) -> scores of the other pairs.
-_POSITIVE: dict[str, Callable[..., DataFrame]] = {
-    "jaccard": lambda v, more=None: jaccard(v, all_pairs=False),
-    "tf_weighted_jaccard": lambda v, more=None: weighted_jaccard(weight_tf(v), all_pairs=False),
-    "tfidf_weighted_jaccard": lambda v, more=None: weighted_jaccard(weight_tfidf(v, more), all_pairs=False),
+#: Weights by metric: the metrics that are weighted Jaccard.
+_WEIGHTS: dict[str, Callable[..., DataFrame]] = {
+    "jaccard": lambda v, more=None: v.select("head", "feature", F.lit(1.0).alias("weight")).distinct(),
+    "tf_weighted_jaccard": lambda v, more=None: weight_tf(v),
+    "tfidf_weighted_jaccard": lambda v, more=None: weight_tfidf(v, more),
+    "ttest_weighted_jaccard": lambda v, more=None: weight_ttest(v, more),
 }
 
 
 def similar_words(vectors: DataFrame, metric: str = "ttest_weighted_jaccard", more: DataFrame | None = None, k: int = 50) -> DataFrame:
-    """The k nearest targets of each head by a metric of METRICS.
-
-    Where only pairs with a shared feature score over 0 the others are not listed: a head with fewer than k of
-    those takes the rest from the last k + 1 + k targets by name, of which at most k score over 0 and one is itself.
-    """
-    if metric not in _POSITIVE:
+    """The k nearest targets of each head by a metric of METRICS; of weighted Jaccard without listing all pairs."""
+    if metric not in _WEIGHTS:
         return top_neighbours(METRICS[metric](vectors, more), k)
-    vectors = stage(vectors, "vectors")
-    best = stage(top_neighbours(_POSITIVE[metric](vectors, more), k), "best")
-    heads = vectors.select("head").distinct()
-    short = heads.join(best.groupBy("head").agg(F.count(F.lit(1)).alias("n")), "head", "left").where(F.coalesce("n", F.lit(0)) < k).select("head")
-    last = heads.orderBy(F.desc("head")).limit(2 * k + 1).select(F.col("head").alias("target"))  # bounded by k
-    fill = short.crossJoin(F.broadcast(last)).where("head != target").join(best, ["head", "target"], "left_anti")
-    return top_neighbours(best.unionByName(fill.withColumn("score", F.lit(0.0))), k)
+    return neighbours.top_weighted_jaccard(_WEIGHTS[metric](vectors, more), k)
 
 
 def keep_features(vectors: DataFrame, good: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import numbering
-from .queries import _docs
+from ..operators import numbering, similarity
+from .oracle import _TTEST, _jaccard_of
+from .queries import _docs, _table, _vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,3 +29,20 @@ def document_chunks(spark, sf_dir):
     """Chunks of 64 documents in order of doc_id over the whole table."""
     rows = numbering.row_chunks(_docs(spark, sf_dir).select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n")), 64, "doc_id")
     return rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n").alias("n_chars"))
+
+
+_BEST = "SELECT head, target, score FROM ({}) QUALIFY row_number() OVER (PARTITION BY head ORDER BY score DESC NULLS LAST, target DESC) <= {}"
+
+
+@_query(_BEST.format(_jaccard_of("bag AS (SELECT source AS head, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS feature FROM documents)", _TTEST), 7))
+def topk_ttest(spark, sf_dir):
+    """The seven nearest sources of each by the default metric, over the words of all documents."""
+    return similarity.similar_words(_vectors(spark, sf_dir), k=7)
+
+
+@_query(_BEST.format(_jaccard_of("bag AS (SELECT o_custkey::VARCHAR AS head, l_partkey::VARCHAR AS feature FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", _TTEST), 10))
+def topk_ttest_customers(spark, sf_dir):
+    """The ten customers whose orders hold most nearly the same parts, by the default metric."""
+    bag = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
+    vectors = bag.groupBy(F.col("o_custkey").cast("string").alias("head"), F.col("l_partkey").cast("string").alias("feature")).agg(F.count(F.lit(1)).alias("cnt"))
+    return similarity.similar_words(vectors, k=10)

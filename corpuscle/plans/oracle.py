@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from ..functions.collections import SCRIPTS
-from .queries import CONTEXT, STOP, WIKI_PAGES, WINDOW
+from .files import LINKED, TITLE
+from .queries import CONTEXT, STOP, WINDOW
 
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 
@@ -25,7 +28,6 @@ def _chain(column: str, pairs) -> str:
 # The cleaning rules, as in the text functions.
 _CLEAN = [("==", " "), ("[[", " "), ("]]", " "), ("|", " "), ("[", " "), ("]", " "), ("*", ""), ("{", ""), ("}", ""), ("=", ""), (",", ""), (".", ""), (":", " "), ("\n", " "), (";", ""), ("(", " "), (")", " "), ("?", " "), ('"', " "), ("\t", " "), ("'", " "), ("/", "")]
 _KEEP = [("==", " "), ("[[", " "), ("]]", " "), ("|", " "), ("[", " "), ("]", " "), ("*", ""), ("{", ""), ("}", ""), ("=", ""), ("\n", " "), ("\t", " "), ("/", "")]
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
 
 def _strip_wiki(text: str) -> str:
@@ -43,8 +45,21 @@ def _keep(text: str, spaced: bool) -> str:
     return rf"regexp_replace({text}, '\s+', ' ', 'g')"
 
 
+#: The entities of HTML 4, from their definition.
+_NAMED = "MAP {" + ", ".join(f"'{name}': {code}" for name, code in name2codepoint.items()) + "}"
+
+
+def _decode(text: str) -> str:
+    """One level of entities: what follows each '&' is cut into a reference and the rest."""
+    cut = f"list_transform(string_split({text}, '&')[2:], lambda x: {{'x': x, 'n': regexp_extract(x, '^(#[0-9]+|#x[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);', 1)}})"
+    code = f"CASE WHEN s.n LIKE '#x%' THEN TRY_CAST('0x' || s.n[3:] AS BIGINT) WHEN s.n LIKE '#%' THEN TRY_CAST(s.n[2:] AS BIGINT) ELSE {_NAMED}[s.n] END"
+    coded = f"list_transform({cut}, lambda s: {{'x': s.x, 'n': s.n, 'c': {code}}})"
+    known = "s.c BETWEEN 0 AND 1114111 AND NOT s.c BETWEEN 55296 AND 57343"
+    return f"(string_split({text}, '&')[1] || array_to_string(list_transform({coded}, lambda s: CASE WHEN {known} THEN chr(s.c::INT) || s.x[length(s.n) + 2 :] ELSE '&' || s.x END), ''))"
+
+
 def _strip_html(text: str) -> str:
-    return _chain(f"regexp_replace({text}, '<[^>]*>', '', 'g')", _ENTITIES)
+    return f"array_to_string(list_transform(regexp_split_to_array({text}, '<[^>]*>'), lambda part: {_decode('part')}), '')"
 
 
 def _uniform(key: str) -> str:
@@ -68,8 +83,10 @@ _W = f"tokens AS (SELECT doc_id, doc_id::VARCHAR AS title, source, lang, {words(
 _TERMS = f"{_W}, long AS (SELECT * FROM tokens WHERE len(w) > 100), every AS (SELECT doc_id, unnest(w) AS word FROM long), terms AS (SELECT word, count(*) AS tf, count(DISTINCT doc_id) AS df FROM every GROUP BY word)"
 _HEADS = f"{_TERMS}, heads AS (SELECT word FROM terms WHERE df >= 5 AND word NOT IN ({_STOP}) AND df * 10 >= (SELECT count(*) FROM long) * 4)"
 _PLACED = f"{_HEADS}, kept AS (SELECT doc_id, lang, list_filter(w, lambda x: x NOT IN ({_STOP})) AS w FROM long), placed AS (SELECT doc_id, lang, w, unnest(w) AS head, generate_subscripts(w, 1) AS i FROM kept), found AS (SELECT * FROM placed WHERE head IN (SELECT word FROM heads))"
-_VECTORS = f"bag AS (SELECT source AS head, unnest({words()}) AS feature FROM documents), vectors AS (SELECT head, feature, count(*) AS cnt FROM bag GROUP BY ALL)"
-_WIKI = "wiki(title, raw) AS (VALUES " + ", ".join(f"({_quote(t)}, {_quote(x)})" for t, x in WIKI_PAGES) + "), linked AS (SELECT title, raw, regexp_extract_all(raw, '\\[\\[.*?\\]\\]') AS links, regexp_matches(raw[:20], '#redirect|#REDIRECT') AS redirect FROM wiki)"
+_BAG = f"bag AS (SELECT source AS head, unnest({words()}) AS feature FROM documents)"
+_COUNTED = "vectors AS (SELECT head, feature, count(*) AS cnt FROM bag GROUP BY ALL)"
+_VECTORS = f"{_BAG}, {_COUNTED}"
+_WIKI = f"wiki(title, raw) AS (SELECT {TITLE}, {LINKED} FROM documents), linked AS (SELECT title, raw, regexp_extract_all(raw, '\\[\\[.*?\\]\\]') AS links, regexp_matches(raw[:20], '#redirect|#REDIRECT') AS redirect FROM wiki)"
 _EDGES = """edges AS (SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS dst FROM pages), ends AS (SELECT dst AS doc, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges), degree AS (SELECT doc, sum(i)::BIGINT AS incoming, sum(o)::BIGINT AS outgoing FROM ends GROUP BY doc)"""
 _PAIRS = f"""singles AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
     placed AS (SELECT doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM singles),
@@ -81,8 +98,12 @@ _REVISIONS = """revisions AS (SELECT event_type AS title, event_id AS revid,
     CASE WHEN user_id % 7 = 0 THEN 'bot' || user_id WHEN user_id % 11 = 0 THEN '10.0.0.1' ELSE 'user' || user_id END AS usr, user_id % 11 = 0 AS anon, round(value)::BIGINT AS size FROM events)"""
 
 
-def _jaccard(weights: str, measure: str = "weight") -> str:
-    return f"""WITH {_VECTORS}, weights AS ({weights}), heads AS (SELECT DISTINCT head FROM weights),
+def _jaccard(weights: str) -> str:
+    return _jaccard_of(_BAG, weights)
+
+
+def _jaccard_of(bag: str, weights: str) -> str:
+    return f"""WITH {bag}, {_COUNTED}, weights AS ({weights}), heads AS (SELECT DISTINCT head FROM weights),
         pairs AS (SELECT a.head, b.head AS target FROM heads a, heads b WHERE a.head <> b.head),
         sums AS (SELECT head, sum(weight) AS total FROM weights GROUP BY head),
         tops AS (SELECT a.head, b.head AS target, sum(least(a.weight, b.weight)) AS top FROM weights a JOIN weights b USING (feature) WHERE a.head <> b.head GROUP BY ALL)

@@ -1,7 +1,7 @@
 """A query for each operator on the driver's tables.
 
 documents stand for encyclopedia articles (title = doc_id), sources for the heads of sparse vectors, links of
-pages for link graphs, events for revisions. Wikitext comes from literal pages, as no table holds any.
+pages for link graphs, events for revisions. Wikitext is a dump made of documents, with links around their texts.
 """
 
 from __future__ import annotations
@@ -14,25 +14,12 @@ from ..functions import text as X
 from ..operators import graph, revisions, similarity, stats, windows
 from ..sources import dump, staging
 from ..streaming import counts
+from . import files
 
 #: Parameters that the queries and their SQL share.
 WINDOW, CONTEXT = 10, 5
 STOP = ("the", "of", "and", "de", "la", "der", "die", "und")
 
-#: Literal wikitext pages: (title, text).
-WIKI_PAGES = (
-    ("Alpha", "Alpha is a [[letter]].\nSee [[beta|Beta]] and [[gamma|Gamma]].\n[[Category:Letters]] [[Category:Greek]]\n[[fr:Alpha]] [[de:Alpha]]"),
-    ("Beta", "#REDIRECT [[Alpha]]"),
-    ("Gamma", "#Redirect [[Alpha#History|see]]"),
-    ("Delta", "#redirect [[Beta]]"),
-    ("Category:Letters", "Text with [[Category:Inline]] mention\n[[Category:Writing]]\n[[Category:Signs]]"),
-    ("Image:Map", "[[Category:Pictures]]"),
-    ("Many", "#REDIRECT [[a]] [[b]] [[c]] [[d]] [[e]]"),
-    ("Markup", "== Head ==\n{{box|x}} '''bold''' [[Image:x.png|thumb]] a, b; (c) [http://x.org y]\n* item = {1} \"q\""),
-    ("Empty", ""),
-)
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,8 +28,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("title"), "text", "source", "lang")
 
 
-def _wiki(spark: SparkSession) -> DataFrame:
-    pages = spark.createDataFrame(WIKI_PAGES, "title string, raw string")
+def _wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(title, raw, text, links, flags) of documents written as a dump and read back, in all its namespaces."""
+    pages = dump.read_dump(spark, files.dump_file(_table(spark, sf_dir, "documents"), F.expr(files.LINKED)), (0, 2, 6, 10, 14, 100))
+    pages = pages.select("title", F.col("text").alias("raw"))
     flags = F.when(X.is_redirect(F.col("raw")), F.array(F.lit("redirect"))).otherwise(F.array().cast("array<string>"))
     return pages.select("title", "raw", F.col("raw").alias("text"), X.wiki_links(F.col("raw")).alias("links"), flags.alias("flags"))
 
@@ -112,7 +101,7 @@ def in_degree_docs(spark, sf_dir):
 
 
 def category_restriction(spark, sf_dir):
-    return stats.in_category(_wiki(spark), ["Letters", "Pict"], "raw").select("title")
+    return stats.in_category(_wiki(spark, sf_dir), ["Letters", "Pict"], "raw").select("title")
 
 
 def sample_docs(spark, sf_dir):
@@ -136,7 +125,7 @@ def clean_keep_punct(spark, sf_dir):
 
 
 def strip_wiki(spark, sf_dir):
-    return _wiki(spark).select("title", X.strip_wiki(F.replace("raw", F.lit("\n"), F.lit(" <CR> "))).alias("text"))
+    return _wiki(spark, sf_dir).select("title", X.strip_wiki(F.replace("raw", F.lit("\n"), F.lit(" <CR> "))).alias("text"))
 
 
 def extraneous_filter(spark, sf_dir):
@@ -148,7 +137,7 @@ def strict_filter(spark, sf_dir):
 
 
 def redirect_flag(spark, sf_dir):
-    return _wiki(spark).select("title", X.is_redirect(F.col("raw")).alias("redirect"), F.size("links").cast("long").alias("n_links"))
+    return _wiki(spark, sf_dir).select("title", X.is_redirect(F.col("raw")).alias("redirect"), F.size("links").cast("long").alias("n_links"))
 
 
 def plain_text_truncated(spark, sf_dir):
@@ -167,7 +156,7 @@ def normalized_titles(spark, sf_dir):
 
 
 def link_graph(spark, sf_dir):
-    return graph.link_graph(_wiki(spark))
+    return graph.link_graph(_wiki(spark, sf_dir))
 
 
 def page_links(spark, sf_dir):
@@ -179,15 +168,15 @@ def degree_table(spark, sf_dir):
 
 
 def category_graph(spark, sf_dir):
-    return graph.category_graph(stats.without_titles(_wiki(spark), ("Image:", "Wikipedia:")))
+    return graph.category_graph(stats.without_titles(_wiki(spark, sf_dir), ("Image:", "Wikipedia:")))
 
 
 def missing_languages(spark, sf_dir):
-    return graph.missing_languages(_wiki(spark), 3)
+    return graph.missing_languages(_wiki(spark, sf_dir), 3)
 
 
 def redirect_resolution(spark, sf_dir):
-    found = _wiki(spark).select(F.col("title").alias("src"), X.redirect_target(F.col("raw")).alias("dst")).where("dst is not null")
+    found = _wiki(spark, sf_dir).select(F.col("title").alias("src"), X.redirect_target(F.col("raw")).alias("dst")).where("dst is not null")
     return graph.resolve_redirects(found)
 
 

@@ -15,46 +15,20 @@ from ..operators import graph, revisions, scan, stats
 from ..sources import corpus, dump, staging, vectors, wikis
 from ..streaming import counts
 from . import jobs, oracle
+from .files import TITLE as _TITLE
+from .files import dump_file, written as _written
+from .files import xml as _xml
 from .queries import STOP, _docs, _page_edges, _revisions, _table, _vectors
 
 # --- files made from tables
 
-_TITLE = """CASE doc_id % 10 WHEN 0 THEN 'Category:c' || doc_id WHEN 1 THEN 'Template:t' || doc_id WHEN 2 THEN 'User:u' || doc_id
-    WHEN 3 THEN 'Image:i' || doc_id WHEN 4 THEN 'Portal:p' || doc_id ELSE 'Doc ' || doc_id END"""
-
-
-def _written(rows: DataFrame, label: str, compression: str = "bzip2") -> str:
-    path = staging.folder(rows.sparkSession, label)
-    rows.write.option("compression", compression).text(path)
-    return path
-
-
-def _xml(rows: DataFrame, root: str, label: str) -> str:
-    """rows (value) as XML files, each with a root element around its part."""
-
-    def wrap(batches):
-        yield pd.DataFrame({"value": [f"<{root}>"]})
-        yield from batches
-        yield pd.DataFrame({"value": [f"</{root}>"]})
-
-    return _written(rows.mapInPandas(wrap, "value string"), label)
-
-
 def _wiki_dump(spark: SparkSession, sf_dir: str) -> str:
     """documents as a dump: two revisions of each, titles in several namespaces, every seventh a redirect."""
     d = F.col("doc_id").cast("string")
     plain = F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(" "))
     body = F.concat(F.lit("T "), plain, F.lit("\n[[Link "), d, F.lit("|shown "), d, F.lit("]] <b>bold</b> &amp; &eacute; &#65; [[fr:X]]"))
     body = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("#REDIRECT [[Doc "), d, F.lit("#top|x]]"))).otherwise(body)
-    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        body = F.replace(body, F.lit(old), F.lit(new))
-    who = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<ip>10.0.0."), F.col("doc_id") % 200, F.lit("</ip>"))).otherwise(F.concat(F.lit("<username>U"), d, F.lit("</username><id>"), d, F.lit("</id>")))
-    minor = F.when(F.col("doc_id") % 2 == 0, "<minor/>").otherwise("")
-    page = F.concat(
-        F.lit("<page><title>"), F.expr(_TITLE), F.lit("</title><id>"), d, F.lit("</id><revision><id>1</id><text>old</text></revision><revision><id>"), F.col("doc_id") + 5,
-        F.lit("</id><timestamp>2009-09-29T00:00:00Z</timestamp><contributor>"), who, F.lit("</contributor>"), minor, F.lit("<text xml:space=\"preserve\">"), body, F.lit("</text></revision></page>"),
-    )
-    return _xml(_table(spark, sf_dir, "documents").select(page.alias("value")), "mediawiki", "dump.xml")
+    return dump_file(_table(spark, sf_dir, "documents"), body)
 
 
 # --- readers
@@ -207,7 +181,9 @@ def recorded_pages(spark, sf_dir):
 
 
 def no_wiki(spark, sf_dir):
-    return wikis.open_wiki(spark, "none", "").select("title")
+    """Every document looked up in a wiki without pages."""
+    pages = wikis.open_wiki(spark, "none", "").select("title", F.lit(True).alias("found"))
+    return _docs(spark, sf_dir).select("title").join(pages, "title", "left").select("title", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def _book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +291,10 @@ def image_maps(spark, sf_dir):
 
 
 def tex_symbols(spark, sf_dir):
-    return _table(spark, sf_dir, "part").select("p_partkey", collections.tex_symbols(F.concat(F.lit(r"\alpha_"), "p_size", F.lit(r" \leq \infty \in\int \etax \eta"))).alias("text"))
+    """Formulas over all words of each document: words as commands, and a known command beside each."""
+    known = F.array(*[F.lit(x) for x in collections.SYMBOLS])
+    words = F.transform(F.slice(X.tokens(F.col("text")), 1, 50), lambda w, i: F.concat(F.lit("\\"), w, F.lit("_"), F.element_at(known, (i % len(collections.SYMBOLS) + 1).cast("int")), F.lit("{x}\\")))
+    return _docs(spark, sf_dir).select("doc_id", collections.tex_symbols(F.array_join(words, " ")).alias("text"))
 
 
 def colours(spark, sf_dir):
@@ -447,7 +426,7 @@ ORACLE_SQL = {
     "wiki_factory": f"WITH {_PAGES} SELECT title, namespace = 10 AS over FROM wiki WHERE namespace IN (0, 10, 14, 100)",
     "flat_file": "SELECT doc_id::VARCHAR AS title, md5(replace(coalesce(text, ''), chr(12), ' ')) AS digest FROM documents",
     "recorded_pages": f"WITH {_PAGES} SELECT CASE WHEN namespace = 10 THEN 'templates' ELSE 'articles' END AS kind, CASE WHEN namespace = 10 THEN 'T' || doc_id ELSE title END AS title FROM wiki JOIN customer ON doc_id = c_custkey WHERE namespace IN (0, 10)",
-    "no_wiki": "SELECT '' AS title WHERE false",
+    "no_wiki": "SELECT doc_id::VARCHAR AS title, false AS found FROM documents",
     "collection_file": "SELECT c_name AS title, 'text of ' || c_name AS text FROM customer",
     "zip_pages": "SELECT 'articles' AS kind, c_name AS title, 'text of ' || c_name AS text FROM customer",
     "zip_books": f"WITH {_BOOK} SELECT nation AS path, 'Book ' || nation AS title, string_agg(name, '|' ORDER BY segment, name) AS articles FROM people GROUP BY nation",
@@ -472,9 +451,11 @@ ORACLE_SQL = {
         CASE WHEN p_partkey % 5 = 3 THEN 'Nosuch:a b ' || p_partkey ELSE 'A b ' || p_partkey END AS partial,
         CASE p_partkey % 5 WHEN 1 THEN 'Category:' WHEN 2 THEN 'Help talk:' WHEN 4 THEN 'VORLAGE:' ELSE '' END || CASE WHEN p_partkey % 5 = 3 THEN 'Nosuch:a b ' || p_partkey ELSE 'A b ' || p_partkey END AS "full" FROM part""",
     "resolved_entities": "SELECT c_custkey, chr((65 + c_custkey % 26)::INT) || chr((65 + c_custkey % 26)::INT) || 'é&lt;&bogus; <' AS text FROM customer",
-    "image_maps": """SELECT p_partkey, pos::BIGINT AS pos, shape, CASE pos WHEN 0 THEN p_partkey || '.0 2.0 3.0 4.0' WHEN 1 THEN '1.0 2.0 ' || p_partkey || '.0 4.0 5.0 6.0' ELSE '' END AS coords,
-        CASE pos WHEN 0 THEN 'A ' || p_partkey WHEN 1 THEN 'B' ELSE p_name END AS link FROM part, (VALUES (0, 'rect'), (1, 'poly'), (2, 'default')) x(pos, shape)""",
-    "tex_symbols": r"SELECT p_partkey, 'α_' || p_size || ' ≤ ∞ ∈∫ \etax η' AS text FROM part",
+    "image_maps": """SELECT p_partkey, pos::BIGINT AS pos, shape, CASE pos WHEN 0 THEN p_partkey || '.0 2.0 3.0 4.0' WHEN 2 THEN '1.0 2.0 ' || p_partkey || '.0 4.0 5.0 6.0' ELSE '' END AS coords,
+        CASE pos WHEN 0 THEN 'A ' || p_partkey WHEN 1 THEN 'none' WHEN 2 THEN 'B' ELSE p_name END AS link FROM part, (VALUES (0, 'rect'), (1, 'desc'), (2, 'poly'), (3, 'default')) x(pos, shape)""",
+    "tex_symbols": rf"""WITH known AS (SELECT [{", ".join(f"'{x}'" for x in collections.SYMBOLS)}] AS names, [{", ".join(f"'{x}'" for x in collections.SYMBOLS.values())}] AS latex),
+        formulas AS (SELECT doc_id, array_to_string(list_transform({oracle.words()}[1:50], lambda w, i: '\' || w || '_' || names[(i - 1) % len(names) + 1] || '{{x}}\'), ' ') AS t FROM documents, known)
+        SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '\\[a-zA-Z]+|[^\\]+|\\'), lambda x: coalesce(latex[list_position(names, x)], x)), '') AS text FROM formulas, known""",
     "colours": """WITH c AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_partkey % 256 / 255.0 WHEN 1 THEN p_partkey % 256 / 255.0 WHEN 2 THEN 72 / 255.0 WHEN 3 THEN 1.0 END::DOUBLE AS r,
         CASE p_partkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 WHEN 2 THEN 61 / 255.0 WHEN 3 THEN 0.0 END::DOUBLE AS g, CASE p_partkey % 5 WHEN 0 THEN 128 / 255.0 WHEN 1 THEN 0.0 WHEN 2 THEN 139 / 255.0 WHEN 3 THEN 170 / 255.0 END::DOUBLE AS b FROM part)
         SELECT p_partkey, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, round(0.3 * r + 0.59 * g + 0.11 * b, 6) AS grey FROM c""",

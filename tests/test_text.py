@@ -1,3 +1,5 @@
+from html.entities import name2codepoint
+
 from pyspark.sql import functions as F
 
 from corpuscle.functions import collections, expr, text
@@ -75,7 +77,22 @@ def test_collection(spark):
 def test_image_map_and_symbols(spark):
     found = value(spark, collections.image_map, "# no\nrect 1 2 3 4 [[A]]\ndefault [[B]]")
     assert [(m.shape, m.coords, m.link) for m in found] == [("rect", [1, 2, 3, 4], "A"), ("default", [], "B")]
-    assert value(spark, collections.tex_symbols, r"\alpha + \alphax") == r"α + \alphax"
+    page = "# no\n\n Image:Foo.jpg|200px|a foo\ndesc bottom-left\ndesc nowhere\npoly 1 2 3 4 [[B]]"
+    assert [(m.shape, m.link) for m in value(spark, collections.image_map, page)] == [("desc", "bottom-left"), ("poly", "B")]
+    assert value(spark, collections.image_of_map, page) == "Image:Foo.jpg|200px|a foo" and value(spark, collections.image_of_map, "rect 1 2 3 4 [[A]]") is None
+    symbols = lambda x: value(spark, collections.tex_symbols, x)
+    assert symbols(r"x \in \N, \Nx \Darr\ge1 \alpha" + "\\") == r"x \in \mathbb{N}, \Nx \Downarrow\geq1 \alpha" + "\\"
+    assert symbols(r"\Alpha_\le\leq") == r"A{}_\leq\leq" and symbols("") == ""
+
+
+def test_entities(spark):
+    """Against the definition: every name, numbers of all ranges, one level, from left to right, never across a tag."""
+    decode = lambda x: value(spark, text.strip_html, x)
+    every = "".join(f"&{name};" for name in name2codepoint)
+    assert decode(every) == "".join(map(chr, name2codepoint.values()))
+    assert decode("caf&eacute; &#65;&#x1F600;&#0233;&amp;lt;&amp;#65;") == "café A😀é&lt;&#65;"
+    assert decode("&#xD800;&#1114112;&#99999999999999999999;&#x;&#X41;&#;&;&bogus;&eacute &") == "&#xD800;&#1114112;&#99999999999999999999;&#x;&#X41;&#;&;&bogus;&eacute &"
+    assert decode("&<b>lt;</b>&l<i>t;") == "&lt;&lt;" and decode("&lt;b&gt;") == "<b>" and decode("") == "" and decode(None) is None
 
 
 def test_scripts(spark):
