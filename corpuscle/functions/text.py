@@ -152,18 +152,26 @@ def normalize_title(title: Column) -> Column:
     return F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, F.lit(2), F.length(plain)))
 
 
+def title_parts(title: Column) -> Column:
+    """STRUCT<plain, label, prefix, rest>: a title without leading colons and underscores, what stands before its first colon (as it is and in lower case; null without one) and after it."""
+    plain = F.replace(F.regexp_replace(F.trim(title), "^:+", ""), F.lit("_"), F.lit(" "))
+    label = F.when(F.instr(plain, ":") > 0, F.trim(F.regexp_extract(plain, r"^([^:]*):", 1)))
+    return F.struct(plain.alias("plain"), label.alias("label"), F.lower(label).alias("prefix"), F.trim(F.regexp_extract(plain, r"^[^:]*:(.*)$", 1)).alias("rest"))
+
+
+def joined_title(parts: Column, number: Column) -> Column:
+    """STRUCT<ns, partial, full> of title_parts' result and the number of the namespace that its prefix names, null for none."""
+    upper = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
+    rest = upper(F.when(number.isNotNull(), parts["rest"]).otherwise(parts["plain"]))
+    full = F.when(number.isNotNull(), F.concat(upper(parts["label"]), F.lit(":"), rest)).otherwise(rest)
+    return F.struct(F.coalesce(number, F.lit(0)).alias("ns"), rest.alias("partial"), full.alias("full"))
+
+
 def split_title(title: Column, namespaces: dict[str, int]) -> Column:
     """STRUCT<ns, partial, full>: the namespace number that a known prefix names, the rest, and the normalised whole."""
-    plain = F.replace(F.regexp_replace(F.trim(title), "^:+", ""), F.lit("_"), F.lit(" "))
-    prefix = F.lower(F.trim(F.regexp_extract(plain, r"^([^:]*):", 1)))
     known = F.create_map(*[x for k, v in namespaces.items() for x in (F.lit(k.lower()), F.lit(v))])
-    number = F.when(F.instr(plain, ":") > 0, F.try_element_at(known, prefix))
-    rest = F.when(number.isNotNull(), F.trim(F.regexp_extract(plain, r"^[^:]*:(.*)$", 1))).otherwise(plain)
-    rest = F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, F.lit(2), F.length(rest)))
-    label = F.trim(F.regexp_extract(plain, r"^([^:]*):", 1))
-    named = F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, F.lit(2), F.length(label)))
-    full = F.when(number.isNotNull(), F.concat(named, F.lit(":"), rest)).otherwise(rest)
-    return F.struct(F.coalesce(number, F.lit(0)).alias("ns"), rest.alias("partial"), full.alias("full"))
+    parts = title_parts(title)
+    return joined_title(parts, F.try_element_at(known, parts["prefix"]))
 
 
 def truncate_at_sentence(words: Column, limit: int) -> Column:

@@ -94,7 +94,7 @@ _PAIRS = f"""singles AS (SELECT doc_id, string_split(text, ' ') AS w FROM docume
     pairs AS (SELECT word, word2, count(*) AS cooc, count(DISTINCT doc_id) AS docs FROM near GROUP BY word, word2 HAVING count(*) >= 5 AND count(DISTINCT doc_id) >= 5)"""
 _GAPS = f"{_PLACED}, gaps AS (SELECT head, array_to_string(w[greatest(i - 1, 1) : i - 1] || ['<>'] || w[i + 1 : i + 1], '_') AS context FROM found)"
 _UNI = f"near AS (SELECT {{}} head, unnest(w[greatest(i - {CONTEXT + 1}, 1) : i - 1] || w[i + 1 : i + {CONTEXT}]) AS feature FROM found), counted AS (SELECT head, feature, count(*) AS cnt FROM near {{}} GROUP BY head, feature)"
-_REVISIONS = """revisions AS (SELECT event_type AS title, event_id AS revid,
+_REVISIONS = """revisions AS (SELECT event_type || ' ' || (event_id // 50) AS title, event_id AS revid,
     CASE WHEN user_id % 7 = 0 THEN 'bot' || user_id WHEN user_id % 11 = 0 THEN '10.0.0.1' ELSE 'user' || user_id END AS usr, user_id % 11 = 0 AS anon, round(value)::BIGINT AS size FROM events)"""
 
 

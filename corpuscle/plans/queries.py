@@ -64,7 +64,7 @@ def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     user = F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("bot"), F.col("user_id"))).when(F.col("user_id") % 11 == 0, F.lit("10.0.0.1")).otherwise(F.concat(F.lit("user"), F.col("user_id")))
     return events.select(
-        F.col("event_type").alias("title"), F.col("event_id").alias("revid"), user.alias("user"), (F.col("user_id") % 11 == 0).alias("anon"),
+        F.expr("event_type || ' ' || (event_id div 50)").alias("title"), F.col("event_id").alias("revid"), user.alias("user"), (F.col("user_id") % 11 == 0).alias("anon"),
         F.lit("").alias("comment"), F.round("value").cast("long").alias("size"),
     )
 

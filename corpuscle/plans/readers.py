@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import collections
 from ..functions import text as X
-from ..operators import graph, revisions, scan, stats
+from ..operators import graph, numbering, revisions, scan, stats
 from ..sources import corpus, dump, staging, vectors, wikis
 from ..streaming import counts
 from . import jobs, oracle
@@ -103,12 +104,11 @@ def degree_file(spark, sf_dir):
 
 
 def sorted_vectors(spark, sf_dir):
-    """The lines of one file of vectors with their numbers: in order of the whole line."""
+    """The lines of one file of vectors with their numbers in the file: it is in order of the whole line."""
     path = staging.folder(spark, "vectors.lda")
     vectors.write_vectors(_vectors(spark, sf_dir), path, one_file=True)
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where("value != ''")
-    return lines.select(F.col("line").cast("long").alias("line"), F.md5(F.col("value").cast("binary")).alias("digest"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    return numbering.numbered(lines, "start", "place", name="line").select("line", F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
 def vector_file(spark, sf_dir):
@@ -363,7 +363,12 @@ def sorted_groups(spark, sf_dir):
 
 
 def tagged_words(spark, sf_dir):
-    return jobs.tag_words(_docs(spark, sf_dir).select("doc_id", F.substring("title", 1, 9).alias("text")), lambda texts: [f"{x}/N" for x in texts])
+    """Whole texts tagged: each word with its class, here by its last letter."""
+
+    def tagger(texts):
+        return [re.sub(r"[^ \n]*[sn](?![^ \n])", lambda m: f"{m[0]}/N", x) for x in texts]
+
+    return jobs.tag_words(_docs(spark, sf_dir).select("doc_id", "text"), tagger)
 
 
 def stream_oldest_first(spark, sf_dir):
@@ -467,6 +472,6 @@ ORACLE_SQL = {
     "mapped_words": "SELECT CASE WHEN length(x) < 5 THEN 'short' WHEN length(x) < 1000 THEN 'long' ELSE 'huge' END AS kind, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS x FROM documents) WHERE x <> '' GROUP BY 1",
     "reduced_groups": "SELECT c_nationkey::VARCHAR AS key, count(*) AS n, string_agg(c_name, ',' ORDER BY c_name) AS names FROM customer GROUP BY 1",
     "sorted_groups": "SELECT count(*) AS n, true AS fine FROM customer",
-    "tagged_words": "SELECT doc_id, substr(doc_id::VARCHAR, 1, 9) || '/N' AS text FROM documents",
+    "tagged_words": r"SELECT doc_id, regexp_replace(coalesce(text, ''), '([^ \n]*[sn])( |\n|$)', '\1/N\2', 'g') AS text FROM documents",
     "stream_oldest_first": "SELECT n_name AS text, (n_nationkey % 3)::BIGINT AS batch FROM nation",
 }

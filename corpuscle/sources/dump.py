@@ -21,6 +21,37 @@ NAMESPACES = {
     "hilfe": 12, "kategorie": 14,
 }
 KEPT = (0, 10, 14, 100)
+# Names in other languages of the namespaces that articles, media, templates and categories have.
+LOCAL_NAMES = {
+    "en": {"talk": 1, "user": 2, "file": 6, "image": 6, "template": 10, "help": 12, "category": 14, "portal": 100},
+    "de": {"diskussion": 1, "benutzer": 2, "datei": 6, "bild": 6, "vorlage": 10, "hilfe": 12, "kategorie": 14, "portal": 100},
+    "fr": {"discussion": 1, "utilisateur": 2, "fichier": 6, "image": 6, "modèle": 10, "aide": 12, "catégorie": 14, "portail": 100},
+    "es": {"discusión": 1, "usuario": 2, "archivo": 6, "imagen": 6, "plantilla": 10, "ayuda": 12, "categoría": 14, "portal": 100},
+}
+
+
+def namespace_table(spark: SparkSession, names: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """(lang, name, ns): a dimension table of namespaces, by default of LOCAL_NAMES; any other of these columns does as well.
+
+    The canonical names, in English, count in every language where they don't mean another namespace.
+    """
+    rows = [(lang, name, ns) for lang, of in (names or LOCAL_NAMES).items() for name, ns in ({k: v for k, v in LOCAL_NAMES["en"].items()} | of).items()]
+    return spark.createDataFrame(rows, "lang string, name string, ns int")
+
+
+def split_by_language(pages: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """pages (title, lang, ...) with ns, partial and full as split_title has them, each title by the names of its own language.
+
+    namespaces (lang, name, ns) may hold any number of languages: it is joined by language and the title's prefix, in lower
+    case. Names of no row's language match nothing; a null language has none; a name listed twice takes its least number.
+    """
+    lang, name, ns = "_ns_lang", "_ns_name", "_ns"
+    known = namespaces.groupBy(F.col("lang").alias(lang), F.lower("name").alias(name)).agg(F.min("ns").cast("int").alias(ns))
+    parts = X.title_parts(F.col("title"))
+    joined = pages.join(known, (F.col("lang") == F.col(lang)) & (parts["prefix"] == F.col(name)), "left")
+    found = X.joined_title(parts, F.col(ns))
+    rest = [c for c in pages.columns if c.lower() not in ("ns", "partial", "full")]
+    return joined.select(*["`" + c.replace("`", "``") + "`" for c in rest], found["ns"].alias("ns"), found["partial"].alias("partial"), found["full"].alias("full"))
 
 
 def learned_namespaces(spark: SparkSession, path: str) -> dict[str, int]:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as X
 
@@ -54,3 +58,71 @@ def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "compl
     if mode == "complete":
         rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
     return rows.drop("batch")
+
+
+#: The state store that processors with timers and several states need (a class of Spark).
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Lives(StatefulProcessor):
+    """What each key has had since it last started anew; a timer forgets keys that have been quiet for the time to live."""
+
+    def __init__(self, ttl_us: int, columns: list[str]) -> None:
+        self.ttl, self.columns = ttl_us, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.life = handle.getValueState("life", "n long, total double, last long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows)).sort_values(["_us", "_tie"], kind="stable")
+        n, total, last, timer = self.life.get() if self.life.exists() else (0, 0.0, None, None)
+        counts, totals = [], []
+        for us, value in zip(new["_us"].tolist(), new["_value"].tolist()):
+            if last is None or us - last > self.ttl:
+                n, total = 0, 0.0
+            n, total, last = n + 1, total + (0.0 if value != value else value), us if last is None else max(last, us)
+            counts.append(n)
+            totals.append(total)
+        due = (last + self.ttl) // 1000 + 1
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.life.update((n, total, last, due))
+        yield new[self.columns].assign(n=counts, total=totals)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.life.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def counts_until_quiet(events: DataFrame, key: str = "user_id", value: str = "value", order: str = "event_id", ttl: str = "6 hours", delay: str = "1 hour") -> DataFrame:
+    """events (ts, key, value, order) with n and total: how many events of the key, and the sum of their values, since it was quiet for longer than ttl.
+
+    State of a key is dropped by a timer of event time once the watermark passes its last event by ttl, so that what is
+    held does not grow with the keys ever seen; a key that comes back starts anew. The result is that of all events
+    sorted by ts, then order, however they are dealt to batches, as long as none is later than delay. Null values add
+    nothing; a null key is a key; rows without ts go. The session needs the RocksDB state store, which use_rocks sets.
+    """
+    us = int(pd.Timedelta(ttl) / pd.Timedelta("1us"))
+    columns = [order, key, "ts"]
+    kinds = dict(events.dtypes)
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null").withWatermark("ts", delay)
+    rows = rows.select(*columns, F.unix_micros("ts").alias("_us"), F.col(order).alias("_tie"), F.col(value).cast("double").alias("_value"))
+    schema = f"`{order}` {kinds[order]}, `{key}` {kinds[key]}, ts timestamp, n long, total double"
+    return rows.groupBy(key).transformWithStateInPandas(_Lives(us, columns), schema, "Append", "EventTime")
+
+
+@contextlib.contextmanager
+def use_rocks(spark: SparkSession):
+    """The RocksDB state store for the streams that start within."""
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before)
