@@ -75,10 +75,10 @@ class _Lives(StatefulProcessor):
         self.life = handle.getValueState("life", "n long, total double, last long, timer long")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows)).sort_values(["_us", "_tie"], kind="stable")
+        new = pd.concat(list(rows)).sort_values(["sort_us", self.columns[0]], kind="stable")
         n, total, last, timer = self.life.get() if self.life.exists() else (0, 0.0, None, None)
         counts, totals = [], []
-        for us, value in zip(new["_us"].tolist(), new["_value"].tolist()):
+        for us, value in zip(new["sort_us"].tolist(), new["sort_value"].tolist()):
             if last is None or us - last > self.ttl:
                 n, total = 0, 0.0
             n, total, last = n + 1, total + (0.0 if value != value else value), us if last is None else max(last, us)
@@ -112,7 +112,7 @@ def counts_until_quiet(events: DataFrame, key: str = "user_id", value: str = "va
     columns = [order, key, "ts"]
     kinds = dict(events.dtypes)
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null").withWatermark("ts", delay)
-    rows = rows.select(*columns, F.unix_micros("ts").alias("_us"), F.col(order).alias("_tie"), F.col(value).cast("double").alias("_value"))
+    rows = rows.select(*columns, F.unix_micros("ts").alias("sort_us"), F.col(value).cast("double").alias("sort_value"))
     schema = f"`{order}` {kinds[order]}, `{key}` {kinds[key]}, ts timestamp, n long, total double"
     return rows.groupBy(key).transformWithStateInPandas(_Lives(us, columns), schema, "Append", "EventTime")
 
