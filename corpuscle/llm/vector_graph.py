@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from .common import release, stage
 from .components import components
 
@@ -34,8 +35,12 @@ GRAPH, QUERIES = 8192, 4096
 #: Neighbours kept, candidates they are pruned from, and how much farther a neighbour's neighbour must be to be dropped.
 DEGREE, CANDIDATES, ALPHA = 24, 48, 1.2
 BEAM, SLACK = 24, 0.05
-#: Vectors compared with all others in the rounds of an audit, which ends once LINKED of them have links to other vectors.
-AUDITED, LINKED = (512, 1536, 6144), 100
+#: Links that leave a task go out one by one for a vector with so many of them there at most, else as a count.
+LISTED = 64
+#: Bytes of centroids that every task gets at most.
+CENTER_BYTES = 64 << 20
+#: An audit compares the vectors whose ids AUDIT_EACH divides with all others, in rounds that end once LINKED of them have links to others.
+AUDIT_EACH, AUDITED, LINKED = 100, (512, 1536, 6144), 100
 #: The share of a linked vector's links to find on average, how often to try, and the share below which there is no result.
 RECALL, TRIES, REQUIRED = 0.99, 3, 0.9
 _log = logging.getLogger(__name__)
@@ -106,14 +111,14 @@ class Index:
 
 
 def fit(nodes: DataFrame, rows: int, fit_rows: int) -> Index:
-    """Centroids for a shard of SHARD nodes each, at most MOST, fitted on rows of the smallest hashes.
+    """Centroids for a shard of SHARD nodes each, at most MOST and of CENTER_BYTES in all, fitted on rows of the smallest hashes.
 
     Up to ONE_LEVEL centroids come from fit_rows rows at most. More are fitted in cells around coarse centroids, each in
     a task of its own on about FIT_EACH rows a centroid, so that the driver holds no more than the centroids.
     """
-    k = min(MOST, max(1, -(-rows // SHARD)))
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("embedding").toPandas()
     sample = _unit(np.stack(sample.embedding.to_numpy()))
+    k = min(MOST, max(1, CENTER_BYTES // (4 * sample.shape[1])), max(1, -(-rows // SHARD)))
     if k <= ONE_LEVEL:
         return Index(centroids(sample, k))
     coarse = centroids(sample, COARSE)
@@ -283,7 +288,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": ids, "near": [ids[ends[a:b]] for a, b in zip(starts[:-1], starts[1:])]})
 
 
-_FOUND = "node long, links long, degree long, root long, other long, own_size long, other_size long"
+_FOUND = "node long, links long, degree long, root long, many long, other long, own_size long, other_size long, blind long"
 
 
 def _search(threshold: float):
@@ -291,7 +296,11 @@ def _search(threshold: float):
         """For each vector at home here: how many rows and nodes it links with, and the smallest node its links lead to in this graph.
 
         Links between vectors that both search this graph and lie in it are counted for both ends here; no other
-        task meets them. All others go out as (node, other), block by block, as the other end's search may miss them.
+        task meets them. Of the others, those of a vector with at most LISTED here go out as (node, other), as the other
+        end's search may miss them or find them too. A vector with more (many) sends their number alone: it is in the thick
+        of a cluster, where searches don't miss what they can see. A link is blind if the other end's search cannot see it,
+        as its home shard lacks this node; no task but this one meets it, and it counts for both ends here. So a task
+        sends a number of rows in proportion to its nodes, however many links they have.
         """
         pdf = pd.concat(list(parts), ignore_index=True)
         nodes, x = _graph_of(pdf)
@@ -317,8 +326,11 @@ def _search(threshold: float):
         asks[own[own >= 0]] = np.flatnonzero(own >= 0)
         inner = np.zeros((len(q_ids), len(q_ids)), bool)
         root = np.arange(len(every))
+        home, held_in = nodes.home.to_numpy(), np.stack(queries.shards.to_numpy())
+        links, degree, many = (np.zeros(len(q_ids), np.int64) for _ in range(3))
+        blind_links, blind_degree = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for start in range(0, len(q_ids), 512):
-            part = slice(start, start + 512)
+            part, outer = slice(start, start + 512), []
             who, to = graph.within(q[part], threshold - SLACK) if graph else (np.arange(len(q_ids[part])), np.zeros(len(q_ids[part]), np.int64))
             for k in range(0, len(who), 1 << 18):
                 i, j = who[k : k + (1 << 18)] + start, to[k : k + (1 << 18)]
@@ -328,14 +340,28 @@ def _search(threshold: float):
                 root = _joined(root, q_place[i], place[j])
                 both = (own[i] >= 0) & (asks[j] >= 0)
                 inner[i[both], asks[j[both]]] = True
-                i, j = i[~both], j[~both]
-                if len(i):
-                    yield _rows(node=q_ids[i], other=ids[j], own_size=q_sizes[i], other_size=sizes[j])
+                outer.append((i[~both], j[~both]))
+            i, j = (np.concatenate(x) for x in zip(*outer)) if outer else (np.zeros(0, np.int64),) * 2
+            blind = ~(held_in[i] == home[j][:, None]).any(axis=1)
+            full = np.bincount(i, minlength=len(q_ids)) > LISTED
+            few = ~full[i]
+            if few.any():
+                yield _rows(node=q_ids[i[few]], other=ids[j[few]], own_size=q_sizes[i[few]], other_size=sizes[j[few]], blind=blind[few])
+            many += full
+            i, j, blind = i[~few], j[~few], blind[~few]
+            np.add.at(links, i, sizes[j])
+            np.add.at(degree, i, 1)
+            np.add.at(blind_links, j[blind], q_sizes[i[blind]])
+            np.add.at(blind_degree, j[blind], 1)
         inner |= inner.T.copy()
-        links = np.array([q_sizes[row].sum() for row in inner], np.int64)
+        links += np.array([q_sizes[row].sum() for row in inner], np.int64)
+        degree += inner.sum(axis=1)
         moved = np.flatnonzero(root != np.arange(len(every)))
         extra = moved[~np.isin(moved, q_place)]
-        yield _rows(node=q_ids, links=links, degree=inner.sum(axis=1), root=every[root[q_place]])
+        yield _rows(node=q_ids, links=links, degree=degree, root=every[root[q_place]], many=many)
+        some = np.flatnonzero(blind_degree)
+        if len(some):
+            yield _rows(node=ids[some], links=blind_links[some], degree=blind_degree[some])
         if len(extra):
             yield _rows(node=every[extra], links=np.zeros(len(extra), np.int64), degree=np.zeros(len(extra), np.int64), root=every[root[extra]])
 
@@ -354,30 +380,30 @@ def _rows(**columns: np.ndarray) -> pd.DataFrame:
 
 
 def _counts(found: DataFrame) -> DataFrame:
-    """(node, links, degree): rows and other nodes that a node links with, each link once, whichever end's search met it."""
-    low = F.col("node") < F.col("other")
-    pairs = found.where("other is not null").select(
-        F.least("node", "other").alias("a"),
-        F.greatest("node", "other").alias("b"),
-        F.when(low, F.col("own_size")).otherwise(F.col("other_size")).alias("a_size"),
-        F.when(low, F.col("other_size")).otherwise(F.col("own_size")).alias("b_size"),
-    )
-    pairs = stage(pairs.distinct(), "pairs")
-    one = F.lit(1).cast("long").alias("degree")
-    each = found.where("other is null").select("node", "links", "degree")
-    each = each.union(pairs.select("a", "b_size", one)).union(pairs.select("b", "a_size", one))
+    """(node, links, degree): rows and other nodes that a node links with, each link once, whichever end's search met it.
+
+    A listed link counts for its other end too, unless that end has many links of its own and can see this one.
+    """
+    many = found.where("many > 0").select(F.col("node").alias("other")).distinct().withColumn("other_many", F.lit(True))
+    listed = found.where("other is not null").select("node", "other", "own_size", "other_size", "blind").join(many, "other", "left")
+    forth = listed.select("node", "other", F.col("other_size").alias("size"))
+    back = listed.where("blind = 1 or other_many is null").select(F.col("other").alias("node"), F.col("node").alias("other"), F.col("own_size").alias("size"))
+    pairs = forth.union(back).distinct()  # at most twice LISTED for each node and task
+    each = found.where("other is null and links is not null").select("node", "links", "degree")
+    each = each.union(pairs.select("node", "size", F.lit(1).cast("long")))
     return stage(each.groupBy("node").agg(F.sum("links").alias("links"), F.sum("degree").alias("degree")), "counts")
 
 
-def _assign(centers: Index, overlap: int, graphs: np.ndarray, blocks: np.ndarray):
-    """Rows for the graphs that hold a node and for those that a vector searches."""
+def _assign(centers, overlap: int, graphs: np.ndarray, blocks: np.ndarray):
+    """Rows for the graphs that hold a node, with its home shard, and for those that a vector searches, with the shards that hold it."""
 
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
             x = _unit(np.stack(pdf.embedding.to_numpy()))
-            near = centers.nearest(x, overlap)
+            near = centers.value.nearest(x, overlap)
+            pdf = pdf.assign(home=near[:, 0], shards=list(near))
             ids = pdf.node.to_numpy()
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             out = []
@@ -385,35 +411,36 @@ def _assign(centers: Index, overlap: int, graphs: np.ndarray, blocks: np.ndarray
                 for block in range(int(blocks[near[:, k]].max()) if blocks is not None else 1):
                     mine = np.flatnonzero(blocks[near[:, k]] > block)
                     shard = near[mine, k]
-                    out.append(pdf.iloc[mine].assign(shard=shard, graph=(mixed[mine] % graphs[shard].astype(np.uint64)).astype(np.int64), block=block, is_node=True))
+                    out.append(pdf.iloc[mine].assign(shard=shard, graph=(mixed[mine] % graphs[shard].astype(np.uint64)).astype(np.int64), block=block, is_node=True, shards=None))
             home = near[:, 0]
             for graph in range(int(graphs[home].max())):
                 mine = np.flatnonzero(graphs[home] > graph)
                 block = ((mixed[mine] // np.uint64(7919)) % blocks[home[mine]].astype(np.uint64)).astype(np.int64)
                 out.append(pdf.iloc[mine].assign(shard=home[mine], graph=graph, block=block, is_node=False))
-            yield pd.concat(out)[["shard", "graph", "block", "is_node", "node", "size", "embedding"]]
+            yield pd.concat(out)[["shard", "graph", "block", "is_node", "home", "shards", "node", "size", "embedding"]]
 
     return run
 
 
-def _homes(centers: Index, overlap: int):
+def _homes(centers, overlap: int):
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                near = centers.nearest(_unit(np.stack(pdf.embedding.to_numpy())), overlap)
+                near = centers.value.nearest(_unit(np.stack(pdf.embedding.to_numpy())), overlap)
                 yield pd.DataFrame({"shard": near.ravel(), "home": (np.arange(near.size) % near.shape[1] == 0).astype(np.int64)})
 
     return run
 
 
 def _find_links(nodes: DataFrame, centers: Index, overlap: int, threshold: float) -> DataFrame:
-    """Rows of _FOUND for each node and graph it searched or was linked in, and for each link that leaves a task."""
-    fill = nodes.select("embedding").mapInPandas(_homes(centers, overlap), "shard long, home long")
+    """Rows of _FOUND for each node and graph it searched or was linked in, and for links that leave a task, up to LISTED for each."""
+    known = nodes.sparkSession.sparkContext.broadcast(centers)  # at most CENTER_BYTES
+    fill = nodes.select("embedding").mapInPandas(_homes(known, overlap), "shard long, home long")
     graphs, blocks = np.ones(len(centers), np.int64), np.ones(len(centers), np.int64)
     for row in fill.groupBy("shard").agg(F.count(F.lit(1)).alias("held"), F.sum("home").alias("home")).collect():  # a row for each centroid
         graphs[row.shard], blocks[row.shard] = -(-row.held // GRAPH), max(1, -(-row.home // QUERIES))
-    schema = "shard long, graph long, block long, is_node boolean, node long, size long, embedding array<double>"
-    dealt = stage(nodes.select("node", "size", "embedding").mapInPandas(_assign(centers, overlap, graphs, blocks), schema), "shards")
+    schema = "shard long, graph long, block long, is_node boolean, home long, shards array<long>, node long, size long, embedding array<double>"
+    dealt = stage(nodes.select("node", "size", "embedding").mapInPandas(_assign(known, overlap, graphs, blocks), schema), "shards")
     built = dealt.where("is_node and block = 0").groupBy("shard", "graph").applyInPandas(_build, "node long, near array<long>")
     united = stage(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     held = dealt.where("is_node").join(united, "node")
@@ -427,36 +454,49 @@ def _find_links(nodes: DataFrame, centers: Index, overlap: int, threshold: float
 def _audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> tuple[float, int]:
     """The share of its links to other nodes that was found for a linked node on average, and how many linked nodes were seen.
 
-    Nodes picked by hash are compared with all nodes, in growing rounds, until LINKED of them have a link or the
-    rounds of AUDITED are through; without any linked node the share is 1.
+    Nodes whose id AUDIT_EACH divides are compared with all nodes, in blocks, and then some picked by hash, as many as
+    all AUDITED, until LINKED of them have a link or all are through. Where none of them has one, nodes for which links
+    were found are compared too, AUDITED[0] at most. (1, 0) means that there is nothing to measure: none was found either.
     """
-    order, seen, shares = F.xxhash64("node", F.lit(3)), 0, []
-    picked = stage(nodes.orderBy(order, "node").limit(sum(AUDITED)).select("node", "embedding"), "audited").toPandas()
-    for size in AUDITED:
-        block = picked.iloc[seen : seen + size]
-        seen += size
-        if not len(block):
-            break
-        q_ids, q = block.node.to_numpy(), _unit(np.stack(block.embedding.to_numpy()))
-
-        def count(batches, q_ids=q_ids, q=q):
-            degree = np.zeros(len(q_ids), np.int64)
-            for pdf in batches:
-                for at in range(0, len(pdf), 1024):
-                    part = pdf.iloc[at : at + 1024]
-                    hit = q @ _unit(np.stack(part.embedding.to_numpy())).T >= threshold
-                    degree += hit.sum(axis=1) - (hit & (q_ids[:, None] == part.node.to_numpy()[None, :])).sum(axis=1)
-            some = np.flatnonzero(degree)
-            yield pd.DataFrame({"node": q_ids[some], "degree": degree[some]})
-
-        true = nodes.select("node", "embedding").mapInPandas(count, "node long, degree long").groupBy("node").agg(F.sum("degree").alias("true"))
-        both = true.join(counts.select("node", "degree"), "node", "left").toPandas().fillna(0)
-        shares += list(np.minimum(both.degree, both.true) / both.true)
-        if len(shares) >= LINKED:
-            break
+    order, shares = F.xxhash64("node", F.lit(3)), []
+    divided = F.col("node") % AUDIT_EACH == 0
+    asked = stage(numbered(nodes.where(divided).select("node", "embedding"), order, "node", name="place"), "audited")
+    others = nodes.where(~divided).select("node", "embedding").orderBy(order, "node").limit(sum(AUDITED))
+    asked = stage(asked.unionByName(numbered(others, order, "node", name="place").withColumn("place", F.col("place") + asked.count())), "audited")
+    total, first, sizes = asked.count(), 0, iter(AUDITED)
+    while first < total and len(shares) < LINKED:
+        size = next(sizes, sum(AUDITED))
+        shares += _shares(nodes, asked.where(F.col("place").between(first, first + size - 1)), counts, threshold)
+        first += size
+    if not shares:
+        linked = counts.where("degree > 0").orderBy(order, "node").limit(AUDITED[0]).select("node")
+        shares += _shares(nodes, nodes.join(linked, "node"), counts, threshold)
     return (float(np.mean(shares)) if shares else 1.0), len(shares)
 
 
+def _shares(nodes: DataFrame, asked: DataFrame, counts: DataFrame, threshold: float) -> list[float]:
+    """For each of asked (a block that fits in memory) with links to others: the share of them that counts have."""
+    block = asked.select("node", "embedding").toPandas()
+    if not len(block):
+        return []
+    known = nodes.sparkSession.sparkContext.broadcast((block.node.to_numpy(), _unit(np.stack(block.embedding.to_numpy()))))
+
+    def count(batches):
+        q_ids, q = known.value
+        degree = np.zeros(len(q_ids), np.int64)
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                hit = q @ _unit(np.stack(part.embedding.to_numpy())).T >= threshold
+                degree += hit.sum(axis=1) - (hit & (q_ids[:, None] == part.node.to_numpy()[None, :])).sum(axis=1)
+        some = np.flatnonzero(degree)
+        yield pd.DataFrame({"node": q_ids[some], "degree": degree[some]})
+
+    true = nodes.select("node", "embedding").mapInPandas(count, "node long, degree long").groupBy("node").agg(F.sum("degree").alias("true"))
+    both = true.join(counts.select("node", "degree"), "node", "left").toPandas().fillna(0)
+    return list(np.minimum(both.degree, both.true) / both.true)
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, fit_rows: int = FIT_ROWS) -> DataFrame:
     """vectors (vec_id, embedding) -> (vec_id, n_links, component_id, kept), a row for each row.
 
@@ -486,6 +526,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, ove
             own = _find_links(same, centers, min(wide, len(centers)), threshold)
             own_counts = _counts(own)
             recall, linked = _audit(same, own_counts, threshold)
+            if not linked:
+                _log.warning("no audited vector has a link and none was found: recall cannot be measured")
             _log.info("recall %.4f over %d linked vectors with an overlap of %d", recall, linked, wide)
             if recall >= RECALL or wide >= len(centers):
                 break

@@ -195,6 +195,53 @@ def test_index_in_cells():
     assert (near[:, 0] == best).mean() > 0.9
 
 
+def test_rows_grow_with_the_nodes_of_a_cluster(spark, monkeypatch):
+    """A cluster over many graphs and query blocks: its links number the square of its vectors, the rows that tasks send don't."""
+    for name, value in (("SHARD", 64), ("GRAPH", 400), ("QUERIES", 200), ("LISTED", 4)):
+        monkeypatch.setattr(vector_graph, name, value)
+    sent, stage = [], vector_graph.stage
+
+    def kept(df, label):
+        out = stage(df, label)
+        if label == "found":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(vector_graph, "stage", kept)
+    rng = np.random.default_rng(9)
+    for n in (200, 800):
+        base = rng.normal(size=(60, 24))
+        rows = np.concatenate([base, base[:1] + rng.normal(scale=0.08, size=(n, 24))])
+        found = vector_graph.near_duplicate_vectors(spark.createDataFrame([(k, [float(v) for v in x]) for k, x in enumerate(rows)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+        unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+        links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+        assert links.sum() > 0.8 * n * n
+        assert (found.n_links.to_numpy() <= links).all() and found.n_links.sum() >= 0.99 * links.sum()
+        assert set(found.component_id[found.n_links > 0]) == {0}
+        assert sent[-1] < 15 * len(rows)
+
+
+def test_blind_links_count_once(spark, monkeypatch):
+    """Nothing is listed: every link leaves its task as a number, and those that only one end sees count for both."""
+    for name, value in (("SHARD", 8), ("LISTED", 0), ("RECALL", 0), ("REQUIRED", 0)):
+        monkeypatch.setattr(vector_graph, name, value)
+    vectors, linked = paired_vectors(spark, 300, 0)
+    found = vector_graph.near_duplicate_vectors(vectors, overlap=2).toPandas().set_index("vec_id")
+    assert found.n_links.max() == 1 and found.n_links[linked].sum() > 0.8 * len(linked)
+
+
+def test_audit_takes_stated_and_found(spark):
+    """Ids that 100 divides are all asked; where none is linked, the found ones are; where nothing is, nothing is measured."""
+    rng = np.random.default_rng(12)
+    rows = rng.normal(size=(400, 16))
+    rows[101] = rows[51] + 0.001
+    nodes = spark.createDataFrame([(k, 1, [float(v) for v in x]) for k, x in enumerate(rows)], "node long, size long, embedding array<double>")
+    counts = lambda *linked: spark.createDataFrame([(k, 1, int(k in linked)) for k in range(400)], "node long, links long, degree long")
+    assert vector_graph._audit(nodes, counts(51, 101), 0.95) == (1.0, 2) and vector_graph._audit(nodes, counts(51), 0.95) == (0.5, 2)
+    few = nodes.where("node not in (51, 101)")
+    assert vector_graph._audit(few, counts(), 0.95) == (1.0, 0)
+
+
 def test_vectors_with_centroids_in_cells(spark, monkeypatch):
     """Centroids fitted in cells, on executors, and repeated ids."""
     for name, value in (("SHARD", 16), ("ONE_LEVEL", 8), ("COARSE", 6), ("PROBES", 3), ("FIT_EACH", 4)):
