@@ -55,9 +55,12 @@ class Node:
             self.parent.replace(self, self.children)
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for child in list(self.children):
-            yield from child.walk()
+        """This node and all below, parents first; what a caller changes below a node counts as long as it isn't passed."""
+        left = [self]
+        while left:
+            node = left.pop()
+            yield node
+            left.extend(reversed(node.children))
 
     def of(self, *kinds: str) -> list[Node]:
         return [n for n in self.walk() if n.kind in kinds]
@@ -71,7 +74,7 @@ class Node:
         return out[::-1]
 
     def text(self) -> str:
-        return (self.caption if self.kind in ("Text", "PreFormatted", "Math") else "") + "".join(c.text() for c in self.children)
+        return "".join(n.caption for n in self.walk() if n.kind in ("Text", "PreFormatted", "Math"))
 
     def beside(self, step: int) -> Node | None:
         if not self.parent:
@@ -189,30 +192,35 @@ def _table(lines: list[str], at: int) -> tuple[Node, int]:
 
 
 def _items(lines: list[str], depth: int) -> list[Node]:
-    """Nested lists of lines that start with * # ; or :"""
-    out: list[Node] = []
-    at = 0
-    while at < len(lines):
-        mark = lines[at][depth]
-        end = at
-        while end < len(lines) and len(lines[end]) > depth and lines[end][depth] == mark:
-            end += 1
-        kind = {"*": "ItemList", "#": "ItemList"}.get(mark, "DefinitionList")
-        made = Node(kind, attrs={"numbered": "1"} if mark == "#" else {})
-        k = at
-        while k < end:
-            deeper = k + 1
-            while deeper < end and len(lines[deeper]) > depth + 1 and lines[deeper][depth + 1] in "*#;:":
-                deeper += 1
-            own = lines[k][depth + 1 :]
-            nested = own[:1] and own[0] in "*#;:"
-            body = [] if nested else inline(own.strip())
-            item = {";": "DefinitionTerm", ":": "DefinitionDescription"}.get(mark, "Item")
-            made.put([*made.children, Node(item, children=body + _items(lines[k + (not nested) : deeper], depth + 1))])
-            k = deeper
-        out.append(made)
-        at = end
-    return out
+    """Nested lists of lines that start with * # ; or :, however deep."""
+    top = Node("Lists")
+    left = [(lines, depth, top)]
+    while left:
+        lines, depth, holder = left.pop()
+        out: list[Node] = []
+        at = 0
+        while at < len(lines):
+            mark = lines[at][depth]
+            end = at
+            while end < len(lines) and len(lines[end]) > depth and lines[end][depth] == mark:
+                end += 1
+            kind = {"*": "ItemList", "#": "ItemList"}.get(mark, "DefinitionList")
+            items: list[Node] = []
+            k = at
+            while k < end:
+                deeper = k + 1
+                while deeper < end and len(lines[deeper]) > depth + 1 and lines[deeper][depth + 1] in "*#;:":
+                    deeper += 1
+                own = lines[k][depth + 1 :]
+                nested = own[:1] and own[0] in "*#;:"
+                item = Node({";": "DefinitionTerm", ":": "DefinitionDescription"}.get(mark, "Item"), children=[] if nested else inline(own.strip()))
+                items.append(item)
+                left.append((lines[k + (not nested) : deeper], depth + 1, item))
+                k = deeper
+            out.append(Node(kind, children=items, attrs={"numbered": "1"} if mark == "#" else {}))
+            at = end
+        holder.put([*holder.children, *out])
+    return top.children
 
 
 def parse(text: str, title: str = "") -> Node:
@@ -638,13 +646,25 @@ XML_PIPELINE: tuple[Pass, ...] = (unwrap_lone_lists, fix_paragraphs, remove_barr
 _NOTED = re.compile(r"\s*(?:'(?P<text>[^']*)'|(?P<kind>[A-Za-z]+)(?:\{(?P<attrs>[^}]*)\})?(?:@\[(?P<target>[^\]]*)\])?(?:#\[(?P<caption>[^\]]*)\])?(?P<open>\()?|(?P<close>\)))")
 
 
+def _fold(root: Node, value: Callable[[Node, list[str]], str]) -> str:
+    """value(node, values of its children) of the root: children first, however deep they lie."""
+    done: dict[int, str] = {}
+    for node in reversed(list(root.walk())):
+        done[id(node)] = value(node, [done.pop(id(c)) for c in node.children])
+    return done[id(root)]
+
+
 def outline(node: Node) -> str:
     """A tree in one line: 'text', Kind{attribute=value,...}@[target]#[caption](children)."""
-    if node.kind == "Text":
-        return f"'{node.caption}'"
-    attrs = ",".join(f"{k}={v}" for k, v in sorted(node.attrs.items()))
-    inner = " ".join(map(outline, node.children))
-    return node.kind + f"{{{attrs}}}" * bool(attrs) + f"@[{node.target}]" * bool(node.target) + f"#[{node.caption}]" * bool(node.caption) + f"({inner})" * bool(inner)
+
+    def one(n: Node, parts: list[str]) -> str:
+        if n.kind == "Text":
+            return f"'{n.caption}'"
+        attrs = ",".join(f"{k}={v}" for k, v in sorted(n.attrs.items()))
+        inner = " ".join(parts)
+        return n.kind + f"{{{attrs}}}" * bool(attrs) + f"@[{n.target}]" * bool(n.target) + f"#[{n.caption}]" * bool(n.caption) + f"({inner})" * bool(inner)
+
+    return _fold(node, one)
 
 
 def from_outline(line: str) -> Node:
@@ -674,23 +694,28 @@ _LEFT_OUT = frozenset(("references", "see also", "external links"))
 
 def plain_text(node: Node, number: int | None = None) -> str:
     """Readable text: no tables, formulas, images, references; no section titles; none of the closing sections."""
-    if node.kind in _HIDDEN or (node.kind == "Section" and node.caption.strip().lower() in _LEFT_OUT):
-        return ""
-    if node.kind == "Text":
-        return node.caption
-    if node.kind.endswith("Link") and not node.children:
-        return node.target.lstrip("#")
-    if node.kind == "ItemList":
-        inner = "".join(plain_text(c, k + 1 if "numbered" in node.attrs else None) for k, c in enumerate(node.children))
-        return "\n" * (node.parent is not None and node.parent.kind == "Item") + inner
-    inner = "".join(plain_text(c) for c in node.children)
-    if node.kind == "Paragraph":
-        return inner + "\n\n"
-    if node.kind == "Item":
-        return (f"{number}. " if number else "") + inner.rstrip("\n") + "\n"
-    if node.kind == "Blockquote":
-        return f"QUOTE: {inner} END QUOTE. "
-    return inner
+
+    def one(n: Node, parts: list[str]) -> str:
+        if n.kind in _HIDDEN or (n.kind == "Section" and n.caption.strip().lower() in _LEFT_OUT):
+            return ""
+        if n.kind == "Text":
+            return n.caption
+        if n.kind.endswith("Link") and not n.children:
+            return n.target.lstrip("#")
+        if n.kind == "ItemList":
+            if "numbered" in n.attrs:
+                parts = [f"{k + 1}. {part}" if c.kind == "Item" else part for k, (c, part) in enumerate(zip(n.children, parts))]
+            return "\n" * (n.parent is not None and n.parent.kind == "Item") + "".join(parts)
+        inner = "".join(parts)
+        if n.kind == "Paragraph":
+            return inner + "\n\n"
+        if n.kind == "Item":
+            return inner.rstrip("\n") + "\n"
+        if n.kind == "Blockquote":
+            return f"QUOTE: {inner} END QUOTE. "
+        return inner
+
+    return (f"{number}. " if number and node.kind == "Item" else "") + _fold(node, one)
 
 
 def section_texts(root: Node) -> list[tuple[list[int], str, str]]:

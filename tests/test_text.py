@@ -2,7 +2,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import functions as F
 
-from corpuscle.functions import collections, expr, text
+from corpuscle.functions import collections, expr, text, tree
 
 
 def value(spark, column, *args):
@@ -98,3 +98,13 @@ def test_entities(spark):
 def test_scripts(spark):
     rows = collections.script_runs(spark.createDataFrame([(1, "ab γδ e")], "doc_id long, text string")).orderBy("run").collect()
     assert [(r.script, r.text) for r in rows] == [("latin", "ab "), ("greek", "γδ "), ("latin", "e")]
+
+
+def test_deep_input_fails_no_job(spark):
+    """Lists of many levels keep their text; an expression of too many brackets is none."""
+    for mark in "*:#":
+        root = tree.parse(mark * 1500 + " x")
+        assert len(list(root.walk())) > 3000 and tree.plain_text(root).strip("\n0123456789. ") == "x" and "x" in tree.outline(tree.clean(root))
+        assert [r[2].strip("\n0123456789. ") for r in tree.section_texts(tree.parse(mark * 1500 + " x"))][-1] == "x"
+    rows = spark.createDataFrame([("(" * 3000 + "1" + ")" * 3000,), ("1+1",), ("((",), (None,)], "e string")
+    assert sorted((r.v for r in rows.select(expr.evaluate_expressions("e").alias("v")).collect()), key=str) == [2.0, None, None, None]
