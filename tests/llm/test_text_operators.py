@@ -292,3 +292,59 @@ def test_html_keeps_sibling_sections():
     assert html_text.main_text(page) == "\n".join(["A", long.strip(), "B", short.strip()])
     two = page.replace("<div id=c>", "").replace("</p></div></div>", "</p></div>")
     assert html_text.main_text(two) == html_text.main_text(page)
+
+
+def seated_one_by_one(k, counts, sweeps, averaged, rng):
+    """P(dish | context) of a two-level Pitman-Yor process: each customer leaves and sits down again given all others, tables of a context are customers of the root."""
+    d, s = language_model.DISCOUNT, language_model.STRENGTH
+    tables = {pair: [] for pair in counts}
+    root = [[] for _ in range(k)]
+    total = np.zeros((k, k))
+
+    def root_p(z):
+        n, t = sum(map(sum, root)), sum(map(len, root))
+        return (max(sum(root[z]) - d * len(root[z]), 0) + (s + d * t) / k) / (s + n)
+
+    def leave(seats):
+        at = rng.choices(range(len(seats)), weights=seats)[0]
+        seats[at] -= 1
+        if not seats[at]:
+            seats.pop(at)
+            return True
+        return False
+
+    def sit(seats, fresh):
+        at = rng.choices(range(len(seats) + 1), weights=[*[n - d for n in seats], fresh])[0]
+        if at == len(seats):
+            seats.append(1)
+            return True
+        seats[at] += 1
+        return False
+
+    for sweep in range(sweeps + 1):
+        for (u, z), c in counts.items():
+            for _ in range(c):
+                if sweep and leave(tables[u, z]):
+                    leave(root[z])
+                if sit(tables[u, z], (s + d * sum(len(t) for (x, _), t in tables.items() if x == u)) * root_p(z)):
+                    sit(root[z], (s + d * sum(map(len, root))) / k)
+        if sweep > sweeps - averaged:
+            for u in range(k):
+                n = sum(c for (x, _), c in counts.items() if x == u)
+                t = sum(len(x) for (y, _), x in tables.items() if y == u)
+                for z in range(k):
+                    own = max(counts.get((u, z), 0) - d * len(tables.get((u, z), [])), 0)
+                    total[u, z] += (own + (s + d * t) * root_p(z)) / (s + n)
+    return total / averaged
+
+
+def test_language_model_against_seating_one_by_one(monkeypatch):
+    """The sampler's averaged probabilities come close to those of a plain one that moves one customer at a time and the root with it."""
+    monkeypatch.setattr(language_model, "SWEEPS", 400)
+    monkeypatch.setattr(language_model, "AVERAGED", 300)
+    counts = {(0, 1): 9, (0, 2): 3, (1, 0): 12, (1, 3): 1, (2, 2): 6, (2, 0): 2, (3, 1): 1}
+    pairs = np.array([u * 4 + z for u, z in counts])
+    found = 10 ** language_model.sample_classes(4, pairs, np.array(list(counts.values()), float))
+    expected = seated_one_by_one(4, counts, 400, 300, random.Random(5))
+    assert np.abs(found.sum(axis=1) - 1).max() < 0.02 and np.abs(expected.sum(axis=1) - 1).max() < 1e-9
+    assert np.abs(found - expected).max() < 0.06 and np.abs(found - expected).mean() < 0.02
