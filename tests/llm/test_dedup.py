@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -128,6 +129,13 @@ def test_near_duplicates_keep_one(spark):
     assert sorted(r.doc_id for r in left.collect()) == [1, 3]
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """A row for each row; null ids are a component's smallest only where it has no other."""
+    rows = [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, "q r s t u v"), (None, "q r s t u v"), (4, None), (3, ""), (9, "A B C d e")]
+    found = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(frame(spark, rows)).collect())
+    assert found == Counter({(None, 5): 1, (5, 5): 2, (9, 5): 1, (None, None): 2, (4, 3): 1, (3, 3): 1})
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 16))

@@ -169,3 +169,12 @@ def test_mixing(spark, local):
     assert abs(sizes["hot"] / total - 0.25) < 0.03 and abs(sizes["s3"] / total - 0.5) < 0.05
     assert (out.groupby("doc_id").copy.max() + 1 == out.groupby("doc_id").copy.count()).all()
     assert mixing.mix(table).columns == table.columns
+
+
+def test_mixing_of_null_ids_and_repeats(spark):
+    """Rows without an id draw like an empty one, and rows that repeat get as many copies each."""
+    rows = [(None, f"t{k}", "a") for k in range(3)] + [(7, "same", "a")] * 4 + [(k, "x" * 9, "b") for k in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = Counter(tuple(r) for r in mixing.mix(table, epochs=3.0).collect())
+    n = {found[None, f"t{k}", "a"] for k in range(3)}
+    assert len(n) == 1 and found[7, "same", "a"] % 4 == 0 and set(found) <= set(rows)
