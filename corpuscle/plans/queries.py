@@ -55,9 +55,11 @@ def _common(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, src, dst): each link once, also where several rows hold one url."""
     pages = _table(spark, sf_dir, "pages")
     links = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1)
-    return pages.select(F.lit("NORMAL").alias("kind"), F.col("url").alias("src"), F.explode(F.array_distinct(links)).alias("dst"))
+    edges = pages.select(F.col("url").alias("src"), F.explode(F.array_distinct(links)).alias("dst")).distinct()
+    return edges.select(F.lit("NORMAL").alias("kind"), "src", "dst")
 
 
 def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
