@@ -365,15 +365,23 @@ def article_urls(spark, sf_dir):
 # --- streams
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream: of the files in its folder, or of its one file, which is picked from the folder around it."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(_table(spark, sf_dir, name).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def stream_term_counts(spark, sf_dir):
-    schema = _table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = _stream(spark, sf_dir, "documents")
     return counts.run_to_end(counts.term_counts(stream), "terms", staging.folder(spark, "checkpoint"))
 
 
 def stream_windowed_counts(spark, sf_dir):
-    schema = _table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = _stream(spark, sf_dir, "events")
     found = counts.run_to_end(counts.windowed_counts(stream, "1 day"), "windows", staging.folder(spark, "checkpoint"))
     return found.withColumn("total", F.round("total", 4))
 
