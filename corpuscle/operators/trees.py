@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tree
-from ..sources.staging import stage
 
 
 def _map(pages: DataFrame, make: Callable[[str, tree.Node], list[tuple]], schema: str, passes) -> DataFrame:
@@ -78,27 +78,46 @@ def children(nodes: DataFrame, of: DataFrame) -> DataFrame:
     return nodes.join(up, (F.col("title") == F.col("_t")) & (F.col("parent_id") == F.col("_p")), "left_semi")
 
 
+def _reached(nodes: DataFrame, of: DataFrame, down: bool) -> DataFrame:
+    """(_t, _n): the nodes below of, or above, each once.
+
+    A page's pairs of node and parent come together in one row, as they do when it is parsed, and are followed there to
+    any depth: one shuffle of narrow rows, whatever the depth.
+    """
+    near, far = ("parent_id", "node_id") if down else ("node_id", "parent_id")
+    pairs = nodes.where("title is not null and parent_id is not null").groupBy("title").agg(F.collect_list(near).alias("near"), F.collect_list(far).alias("far"))
+    starts = of.where("title is not null").groupBy("title").agg(F.collect_set("node_id").alias("starts"))
+
+    def run(batches):
+        for batch in batches:
+            titles, ids = [], []
+            for title, near, far, left in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                steps, found = {}, set()
+                for a, b in zip(near, far):
+                    steps.setdefault(a, []).append(b)
+                while left:
+                    new = [n for n in steps.get(left.pop(), ()) if n not in found]
+                    found.update(new)
+                    left.extend(new)
+                titles += [title] * len(found)
+                ids += found
+            yield pa.RecordBatch.from_arrays([pa.array(titles, pa.string()), pa.array(ids, pa.int64())], ["_t", "_n"])
+
+    return pairs.join(starts, "title").select("title", "near", "far", "starts").mapInArrow(run, "_t string, _n long")
+
+
+def _among(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    return nodes.join(ids, (F.col("title") == F.col("_t")) & (F.col("node_id") == F.col("_n")), "left_semi")
+
+
 def descendants(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """All nodes below of, level by level."""
-    nodes = stage(nodes, "nodes")
-    out = level = stage(children(nodes, of), "level")
-    while not level.isEmpty():
-        level = stage(children(nodes, level), "level")
-        out = out.unionByName(level)
-    return out
+    """All nodes below of (title, node_id), each once."""
+    return _among(nodes, _reached(nodes, of, down=True))
 
 
 def ancestors(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """All nodes above of, level by level; a node above several of them comes once."""
-    nodes, out = stage(nodes, "nodes"), None
-    level = of.select("title", "node_id")
-    while True:
-        lower = nodes.join(level.withColumnsRenamed({"title": "_t", "node_id": "_n"}), (F.col("title") == F.col("_t")) & (F.col("node_id") == F.col("_n")), "left_semi")
-        ids = lower.where("parent_id is not null").select(F.col("title").alias("_t"), F.col("parent_id").alias("_n")).distinct()
-        level = stage(nodes.join(ids, (F.col("title") == F.col("_t")) & (F.col("node_id") == F.col("_n")), "left_semi"), "level")
-        if level.isEmpty():
-            return (level if out is None else out).dropDuplicates(["title", "node_id"])
-        out = level if out is None else out.unionByName(level)
+    """All nodes above of (title, node_id); a node above several of them comes once."""
+    return _among(nodes, _reached(nodes, of, down=False)).dropDuplicates(["title", "node_id"])
 
 
 def siblings(nodes: DataFrame, of: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tree
 from ..operators import scan, trees
+from ..sources import staging
 
 #: For each pass a tree before it and after it; {n} stands for a customer's name.
 PASSES = {
@@ -61,7 +62,13 @@ TIDY = "Article#[{k}](Paragraph('Lead ' ' ') Section{level=2}#[One](Caption('One
 def _customers(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     name = F.replace("c_name", F.lit("'"), F.lit(""))
     made = F.replace(F.replace(F.lit(text), F.lit("{n}"), name), F.lit("{k}"), F.col("c_custkey").cast("string"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("title"), made.alias("text"))
+    customers = staging.spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name"))
+    return customers.select(F.col("c_custkey").cast("string").alias("title"), made.alias("text"))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of each page, parsed once for all that reads them."""
+    return staging.stage(trees.node_table(_customers(spark, sf_dir, PAGE), ()), "nodes")
 
 
 def _pass_query(name: str):
@@ -97,22 +104,22 @@ def tree_histogram(spark, sf_dir):
 
 
 def tree_children(spark, sf_dir):
-    nodes = trees.node_table(_customers(spark, sf_dir, PAGE), ())
+    nodes = _nodes(spark, sf_dir)
     return trees.children(nodes, nodes.where("class = 'Section'")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tree_descendants(spark, sf_dir):
-    nodes = trees.node_table(_customers(spark, sf_dir, PAGE), ())
+    nodes = _nodes(spark, sf_dir)
     return trees.descendants(nodes, nodes.where("class = 'Section' and caption = 'One'")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tree_ancestors(spark, sf_dir):
-    nodes = trees.node_table(_customers(spark, sf_dir, PAGE), ())
+    nodes = _nodes(spark, sf_dir)
     return trees.ancestors(nodes, nodes.where("caption = 'sub'")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tree_siblings(spark, sf_dir):
-    nodes = trees.node_table(_customers(spark, sf_dir, PAGE), ())
+    nodes = _nodes(spark, sf_dir)
     return trees.siblings(nodes, nodes.where("class = 'Table'")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
