@@ -5,7 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from corpuscle.operators import ranges, trees
+from corpuscle.plans import markup
 from corpuscle.plans.registry import ORACLE_SQL, QUERIES
 
 from .test_queries import same
@@ -37,3 +40,32 @@ def test_streams_of_tables_in_parts(spark, sf_dir, tmp_path, name):
     for table in ("documents", "events"):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
     assert against_sql(spark, name, tmp_path)
+
+
+def test_small_files_of_pages_are_many_tasks(spark, sf_dir):
+    assert markup._customers(spark, sf_dir, markup.PAGE).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_nodes_below_nested_nodes_come_once(spark):
+    pages = spark.createDataFrame([("a", "== A ==\n=== B ===\n==== C ====\nx"), ("b", "== A ==\ny")], "title string, text string")
+    nodes = trees.node_table(pages, ())
+    found = [(r.title, r.node_id) for r in trees.descendants(nodes, nodes.where("class = 'Section'")).collect()]
+    top = {("a", 0), ("a", 1), ("b", 0), ("b", 1)}  # the pages and their first sections
+    assert len(found) == len(set(found)) and set(found) == {(r.title, r.node_id) for r in nodes.collect()} - top
+
+
+def test_aggregates_over_ranges_list_no_pairs(spark):
+    top = 2**63 - 1
+    values = [*range(-40, 40), *range(-5, 5), -top - 1, top, top - 1, None]
+    spans = [(k, a, b) for k, (a, b) in enumerate([(-40, 39), (-7, 12), (0, 0), (5, 4), (-top - 1, top), (top, top), (-3, top), (None, 4), (100, 200), (1, 8)])]
+    points = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id long, v long")
+    bands = spark.createDataFrame(spans, "band long, low long, high long")
+    made = {"n": F.count(F.lit(1)), "first": F.min("id")}
+    found = ranges.aggregate_over(points, bands, "band", "v", "low", "high", made, {"n": F.sum("n"), "first": F.min("first")})
+    inside = {k: [i for i, v in enumerate(values) if v is not None and a is not None and a <= v <= b] for k, a, b in spans}
+    assert {r.band: (r.n, r.first) for r in found.collect()} == {k: (len(x), x[0]) for k, x in inside.items() if x}
+    # 20,000 equal points and 20,000 equal bands would be 400 million pairs
+    many = spark.range(20_000).select("id", F.lit(7).cast("long").alias("v"))
+    wide = spark.range(20_000).select(F.col("id").alias("band"), F.lit(0).cast("long").alias("low"), F.lit(9).cast("long").alias("high"))
+    plan = ranges.aggregate_over(many, wide, "band", "v", "low", "high", made, {"n": F.sum("n"), "first": F.min("first")})
+    assert plan.agg(F.sum("n"), F.max("first")).first()[:] == (400_000_000, 0)
