@@ -130,6 +130,7 @@ def tree_levels(spark, sf_dir):
 
 def wiki_tokens(spark, sf_dir):
     """The tokens of each document, joined again: none is lost, doubled or moved."""
+    staging.bound_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("title"), F.concat(F.lit("== H ==\n* "), F.coalesce("text", F.lit(""))).alias("text"))
     tokens = scan.token_table(pages)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "")

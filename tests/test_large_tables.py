@@ -69,3 +69,15 @@ def test_aggregates_over_ranges_list_no_pairs(spark):
     wide = spark.range(20_000).select(F.col("id").alias("band"), F.lit(0).cast("long").alias("low"), F.lit(9).cast("long").alias("high"))
     plan = ranges.aggregate_over(many, wide, "band", "v", "low", "high", made, {"n": F.sum("n"), "first": F.min("first")})
     assert plan.agg(F.sum("n"), F.max("first")).first()[:] == (400_000_000, 0)
+
+
+@pytest.mark.parametrize("name", ["wiki_tokens", "tagged_words", "mapped_words", "missing_languages"])
+def test_batches_of_texts_are_bounded(spark, sf_dir, name):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, str(256 << 20))
+        QUERIES[name](spark, sf_dir)
+        assert int(spark.conf.get(setting)) <= 4 << 20
+    finally:
+        spark.conf.set(setting, before)
