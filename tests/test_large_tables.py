@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuscle.operators import ranges, trees
 from corpuscle.plans import markup
 from corpuscle.plans.registry import ORACLE_SQL, QUERIES
+from corpuscle.sources import vectors
 
 from .test_queries import same
 
@@ -81,3 +82,10 @@ def test_batches_of_texts_are_bounded(spark, sf_dir, name):
         assert int(spark.conf.get(setting)) <= 4 << 20
     finally:
         spark.conf.set(setting, before)
+
+
+def test_entries_of_a_line_do_not_carry_the_line(spark):
+    found = vectors.parse_lines(spark.createDataFrame([("h\ta:b:1\tbad\tc:-2\t:3",), ("alone",), ("",)], "value string"))
+    assert sorted(map(tuple, found.collect())) == [("h", "", 3), ("h", "a:b", 1), ("h", "c", -2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("substring_index")  # the head is cut off below
