@@ -39,31 +39,56 @@ def weight_tfidf(vectors: DataFrame, more: DataFrame | None = None, by_vectors:
     return vectors.join(idf, "feature").select("head", "feature", (F.col("cnt") / F.col("idf")).alias("weight"))
 
 
-def weight_ttest(vectors: DataFrame, more: DataFrame | None = None) -> DataFrame:
+def weight_ttest(vectors: DataFrame, more: DataFrame | None = None, few: bool = False) -> DataFrame:
     """(cnt / N - a) / sqrt(a) with a = p_word p_attrib; 0 where a is 0.
 
     N is the sum of all counts, p_word a head's number of features over N, p_attrib a feature's counts over N.
+    few: there are few heads, so that a feature's rows are few and are dealt by feature once.
     """
     known = _model(vectors, more)
     n = F.lit(known.agg(F.sum("cnt").cast("double")).first()[0])
     heads = known.groupBy("head").agg(F.count(F.lit(1)).cast("double").alias("types"))
-    masses = known.groupBy("feature").agg(F.sum("cnt").cast("double").alias("mass"))
-    joined = vectors.join(heads, "head").join(masses, "feature")
+    if few and more is None:
+        mass = F.sum("cnt").over(Window.partitionBy("feature")).cast("double")
+        joined = vectors.where("feature is not null").withColumn("mass", mass).join(F.broadcast(heads), "head")
+    else:
+        masses = known.groupBy("feature").agg(F.sum("cnt").cast("double").alias("mass"))
+        joined = vectors.join(heads, "head").join(masses, "feature")
     a = F.col("types") / n * (F.col("mass") / n)
     weight = F.when(a == 0, 0.0).otherwise((F.col("cnt") / n - a) / F.sqrt(a))
     return joined.select("head", "feature", weight.alias("weight"))
 
 
-def weighted_jaccard(weights: DataFrame, all_pairs: bool = True, ordered: bool = True) -> DataFrame:
+#: Heads that are few: a feature's rows fit one list, and the sums of all pairs any task.
+FEW_HEADS = 1000
+
+
+def has_few_heads(vectors: DataFrame) -> bool:
+    return vectors.select("head").distinct().limit(FEW_HEADS + 1).count() <= FEW_HEADS
+
+
+def _few_tops(weights: DataFrame) -> DataFrame:
+    """(head, target, top) of all pairs that share a feature, and of each head with itself, whose top is its sum, in one pass by feature."""
+    lists = weights.groupBy("feature").agg(F.collect_list(F.struct("head", "weight")).alias("l"))
+    left = lists.select("feature", "l", F.posexplode("l").alias("i", "a"))
+    both = left.select("feature", "i", "a", F.posexplode("l").alias("j", "b"))
+    both = both.where("i = j or (feature is not null and a.head != b.head)")
+    return both.groupBy(F.col("a.head").alias("head"), F.col("b.head").alias("target")).agg(F.sum(F.least("a.weight", "b.weight")).alias("top"))
+
+
+def weighted_jaccard(weights: DataFrame, all_pairs: bool = True, ordered: bool = True, few: bool = False) -> DataFrame:
     """(head, target, score): sum of minima over sum of maxima of the features that either has.
 
     maxima = sums of both - minima, so that only shared features are joined. all_pairs adds pairs that share none
     with score 0; their number is the square of the heads' by definition. Of pairs that share a feature, one whose
-    maxima sum to 0 scores null.
+    maxima sum to 0 scores null. few: the heads are at most FEW_HEADS, and weights are read and dealt by feature once.
     """
-    tops = neighbours.shared_tops(weights, weights)
+    if few:
+        both = stage(_few_tops(weights), "tops")
+        tops, sums = both.where("head != target"), both.where("head = target").select("head", F.col("top").alias("total"))
+    else:
+        tops, sums = neighbours.shared_tops(weights, weights), weights.groupBy("head").agg(F.sum("weight").alias("total"))
     tops = tops if ordered else tops.where("head < target")
-    sums = weights.groupBy("head").agg(F.sum("weight").alias("total"))
     scores = neighbours.scores_of(tops, sums)
     if not all_pairs:
         return scores
@@ -85,12 +110,21 @@ def random_similarity(vectors: DataFrame, seed: int = 0) -> DataFrame:
     return pairs.withColumn("score", uniform(F.concat_ws("|", F.lit(str(seed)), "head", "target")))
 
 
+def _scores_by(weight: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    def scores(vectors: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        known = stage(vectors.select("head", "feature", "cnt"), "vectors")
+        few = has_few_heads(known)
+        return weighted_jaccard(weight(known, more, few), few=few)
+
+    return scores
+
+
 #: Similarity by name: vectors and secondary vectors -> (head, target, score).
 METRICS: dict[str, Callable[..., DataFrame]] = {
     "jaccard": jaccard,
-    "tf_weighted_jaccard": lambda v, more=None: weighted_jaccard(weight_tf(v)),
-    "tfidf_weighted_jaccard": lambda v, more=None: weighted_jaccard(weight_tfidf(v, more)),
-    "ttest_weighted_jaccard": lambda v, more=None: weighted_jaccard(weight_ttest(v, more)),
+    "tf_weighted_jaccard": _scores_by(lambda v, more, few: weight_tf(v)),
+    "tfidf_weighted_jaccard": _scores_by(lambda v, more, few: weight_tfidf(v, more)),
+    "ttest_weighted_jaccard": _scores_by(weight_ttest),
     "random": lambda v, more=None: random_similarity(v),
 }
 
@@ -107,14 +141,18 @@ _WEIGHTS: dict[str, Callable[..., DataFrame]] = {
     "jaccard": lambda v, more=None: v.select("head", "feature", F.lit(1.0).alias("weight")).distinct(),
     "tf_weighted_jaccard": lambda v, more=None: weight_tf(v),
     "tfidf_weighted_jaccard": lambda v, more=None: weight_tfidf(v, more),
-    "ttest_weighted_jaccard": lambda v, more=None: weight_ttest(v, more),
+    "ttest_weighted_jaccard": weight_ttest,
 }
 
 
 def similar_words(vectors: DataFrame, metric: str = "ttest_weighted_jaccard", more: DataFrame | None = None, k: int = 50) -> DataFrame:
-    """The k nearest targets of each head by a metric of METRICS; of weighted Jaccard without listing all pairs."""
+    """The k nearest targets of each head by a metric of METRICS; of weighted Jaccard without listing all pairs, unless the heads are so few that these are fewer than the vectors' rows."""
     if metric not in _WEIGHTS:
         return top_neighbours(METRICS[metric](vectors, more), k)
+    vectors = stage(vectors.select("head", "feature", "cnt"), "vectors")
+    if has_few_heads(vectors) and vectors.select("head").distinct().count() ** 2 <= vectors.count():
+        weights = weight_ttest(vectors, more, few=True) if metric == "ttest_weighted_jaccard" else _WEIGHTS[metric](vectors, more)
+        return top_neighbours(weighted_jaccard(weights.where("head is not null and weight is not null"), few=True), k)
     return neighbours.top_weighted_jaccard(_WEIGHTS[metric](vectors, more), k)
 
 

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.operators import similarity, windows
+from corpuscle.operators import similarity, stats, windows
 
 
 class Sent:
@@ -62,3 +62,28 @@ def test_contextual_similarity_meets_heads_by_sets(spark, monkeypatch):
     found = similarity.contextual_similarity(docs, heads, stats, 10, 1, 5, 20).collect()
     assert sizes["sums"] == 1 and len(found) == 40
     assert {(r.jt, r.jb, r.jacc) for r in found} == {(160, 160, 1.0)}
+
+
+@pytest.mark.parametrize("metric", ["jaccard", "tf_weighted_jaccard", "tfidf_weighted_jaccard", "ttest_weighted_jaccard"])
+def test_few_heads_score_as_many_do(spark, monkeypatch, metric):
+    rows = [(f"h{k % 5}", f"f{k % 7 * (k % 3)}", k % 4 + 1) for k in range(60)] + [("h9", "alone", 1), ("h8", None, 2), (None, "f0", 1)]
+    table = spark.createDataFrame(rows, "head string, feature string, cnt long").dropDuplicates(["head", "feature"])
+    key = lambda df: sorted((r.head, r.target, None if r.score is None else round(r.score, 9)) for r in df.collect())
+    found, best = key(similarity.METRICS[metric](table)), key(similarity.similar_words(table, metric, k=2))
+    monkeypatch.setattr(similarity, "FEW_HEADS", 0)
+    assert found == key(similarity.METRICS[metric](table)) and best == key(similarity.similar_words(table, metric, k=2))
+
+
+def test_few_heads_are_dealt_by_feature_once(spark):
+    table = spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], "head string, feature string, cnt long")
+    plan = similarity._few_tops(similarity.weight_ttest(table, few=True))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(feature") == 1 and "SortMergeJoin" not in plan
+
+
+def test_ngram_bags_shuffle_no_windows(spark, monkeypatch):
+    rows = [("t", "a b a c a b"), ("u", "x a\n a  b"), ("v", None), ("w", "a b"), ("s", "a b c d"), ("s", "b b c d"), (None, "a a c"), (None, "a b c")]
+    docs, known = spark.createDataFrame(rows, "title string, text string"), spark.createDataFrame([("a",), ("b",)], "word string")
+    found = [sorted(map(tuple, stats.ngram_bags(docs, 2, known, 1, at_once=n).collect())) for n in (1, 5, 1 << 20)]
+    assert found[0] == found[1] == found[2] == sorted(map(tuple, stats._shuffled_ngram_bags(docs, 2, known, 1).collect())) != []
+    own = docs.where("title in ('t', 'u', 'v', 'w')")
+    assert "Exchange" not in stats.ngram_bags(own, 2, known, 1)._jdf.queryExecution().executedPlan().toString()
