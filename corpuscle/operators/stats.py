@@ -84,12 +84,43 @@ def bags(docs: DataFrame, words: DataFrame | None = None, min_doc_len: int = 10_
     return kept.unionByName(empty.select("doc_id", F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("cnt")))
 
 
-def ngram_bags(docs: DataFrame, n: int = 10, words: DataFrame | None = None, min_doc_len: int = 10_000) -> DataFrame:
-    """(doc_id, word, cnt) of every window [i, i + n) with i + n < length: the last window is left out.
-
-    doc_id is title-i-(i+n); windows without a kept word have no rows. A word is sent on once for each window it
-    lies in, after the vocabulary filter.
-    """
+def _window_bags(n: int, min_doc_len: int, listed, at_once: int):
+    """Rows (doc_id, word, cnt) of texts whose titles are their own: a window's words are sorted within its row."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from .windows import ROWS_OUT, _tokens
+
+    def run(batches):
+        for batch in batches:
+            names, ids, sizes = _tokens(batch.column("text"), False)
+            keep = np.ones(len(names), bool) if listed is None else listed.value.numbers(names) >= 0
+            kept = np.where(keep[ids], ids, len(names)) if len(names) else ids  # what isn't kept comes last
+            counts = np.where((sizes > min_doc_len) & (sizes > n), sizes - n, 0)  # windows of each text
+            ends = np.cumsum(counts)
+            first = np.cumsum(sizes) - sizes
+            for begin in range(0, int(ends[-1]) if len(ends) else 0, step := max(1, at_once // n)):
+                window = np.arange(begin, min(begin + step, ends[-1]))
+                doc = np.searchsorted(ends, window, "right")
+                i = window - (ends[doc] - counts[doc])
+                words = np.sort(kept[(first[doc] + i)[:, None] + np.arange(n)], axis=1)
+                new = np.ones(words.shape, bool)
+                new[:, 1:] = words[:, 1:] != words[:, :-1]
+                starts = np.flatnonzero(new)
+                cnt, word = np.diff(starts, append=words.size), words.ravel()[starts]
+                real = word < len(names)
+                title = pc.binary_join_element_wise(batch.column("title").take(pa.array(doc)).cast(pa.string()), pa.array(i).cast(pa.string()), pa.array(i + n).cast(pa.string()), "-")
+                row, word, cnt = (starts // n)[real], word[real], cnt[real]
+                for k in range(0, len(row), ROWS_OUT):
+                    at = slice(k, k + ROWS_OUT)
+                    yield pa.RecordBatch.from_arrays([title.take(pa.array(row[at])), names.take(pa.array(word[at])).cast(pa.string()), pa.array(cnt[at].astype(np.int64))], ["doc_id", "word", "cnt"])
+
+    return run
+
+
+def _shuffled_ngram_bags(docs: DataFrame, n: int, words: DataFrame | None, min_doc_len: int) -> DataFrame:
+    """ngram_bags of titles that several documents may have, and of words of any number: a word is sent on once for each window."""
     rows = docs.select("title", X.tokens(F.col("text")).alias("w")).select("title", "w", F.size("w").alias("len")).where((F.col("len") > min_doc_len) & (F.col("len") > n))
     placed = rows.select("title", "len", F.posexplode("w").alias("pos", "word"))
     if words is not None:
@@ -100,6 +131,31 @@ def ngram_bags(docs: DataFrame, n: int = 10, words: DataFrame | None = None, min
     return windows.groupBy("title", "i", "word").agg(F.count(F.lit(1)).alias("cnt")).select(name.alias("doc_id"), "word", "cnt")
 
 
+def ngram_bags(docs: DataFrame, n: int = 10, words: DataFrame | None = None, min_doc_len: int = 10_000, at_once: int = 1 << 21) -> DataFrame:
+    """(doc_id, word, cnt) of every window [i, i + n) with i + n < length: the last window is left out.
+
+    doc_id is title-i-(i+n); windows without a kept word have no rows. A document's windows are counted in its task,
+    with the list of words; only documents that share their title with another (or have none), and all where words are
+    too many to send to tasks, are shuffled.
+    """
+    from ..sources import staging
+    from .windows import listed_words
+
+    staging.bound_batches(docs.sparkSession)
+    known = None if words is None else staging.stage(words.select("word").distinct(), "words")
+    listed = None if known is None else listed_words(known)
+    if known is not None and listed is None:
+        return _shuffled_ngram_bags(docs, n, known, min_doc_len)
+    sent = listed and docs.sparkSession.sparkContext.broadcast(listed)
+    shared = staging.stage(docs.groupBy("title").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or title is null").select("title"), "shared")
+    rest = None
+    if not shared.isEmpty():
+        rest = _shuffled_ngram_bags(docs.join(shared, docs["title"].eqNullSafe(shared["title"]), "left_semi"), n, known, min_doc_len)
+        docs = docs.join(shared, docs["title"].eqNullSafe(shared["title"]), "left_anti")
+    found = docs.select(F.col("title").cast("string").alias("title"), "text").mapInArrow(_window_bags(n, min_doc_len, sent, at_once), "doc_id string, word string, cnt long")
+    return found if rest is None else found.unionByName(rest)
+
+
 def in_category(docs: DataFrame, names: list[str], raw: str = "text") -> DataFrame:
     """Documents whose raw text names any of the categories; no names keep all."""
     if not names:
