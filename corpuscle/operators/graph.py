@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.staging import stage
+from .numbering import numbered
 
 #: The languages that an article is expected to link to.
 LANGUAGES = ("fr", "de", "ja", "zh", "it", "pl", "es", "ru", "pt", "nl")
@@ -43,21 +44,28 @@ def missing_languages(docs: DataFrame, min_words: int = 1000, languages: tuple[s
 def resolve_redirects(redirects: DataFrame) -> DataFrame:
     """(src, dst, hops): where each redirect (src, dst) ends, however far; null where redirects go round in a circle.
 
-    Hops double each time: every redirect that still leads to another is joined with what that one leads to. After as
-    many hops as there are redirects, what still leads to another is in a circle or leads into one.
+    Hops double each time: every redirect that still leads to another is joined with what that one leads to; those that
+    are at their end are told by a column and left out of that side. After as many hops as there are redirects, what
+    still leads to another is in a circle or leads into one. Titles travel as numbers.
     """
-    first = stage(redirects.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst")), "redirects")
-    current, done, n = stage(first.withColumn("hops", F.lit(1).cast("long")), "hops"), 1, first.count()
-    while done <= n:
-        step = current.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("hops").alias("_h"))
-        joined = current.join(step, F.col("dst") == F.col("_s"), "left")
-        if joined.where("_s is not null").isEmpty():
-            break
-        current = stage(joined.select("src", F.coalesce("_d", "dst").alias("dst"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")), "hops")
+    found = stage(redirects.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst")), "redirects")
+    names = stage(numbered(found.select(F.col("src").alias("name")), "name", name="n"), "names")
+    # dst is the number of a redirect, or null at an end; at is the redirect whose dst is the end
+    linked = found.join(names.select(F.col("name").alias("src"), F.col("n").alias("at")), "src").join(names.select(F.col("name").alias("dst"), F.col("n").alias("to")), "dst", "left")
+    linked = stage(linked.select("src", "dst", "at", "to"), "linked")
+    current, done, n = stage(linked.select("at", "to", F.col("at").alias("last"), F.lit(1).cast("long").alias("hops")), "hops"), 1, found.count()
+    ended, active = current.where("to is null"), current.where("to is not null")
+    while done <= n and not active.isEmpty():
+        step = current.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("last").alias("_last"), F.col("hops").alias("_h"))
+        moved = active.join(step, "to").select("at", F.col("_to").alias("to"), F.col("_last").alias("last"), (F.col("hops") + F.col("_h")).alias("hops"))
+        moved = stage(moved, "hops")
+        ended = ended.unionByName(moved.where("to is null"))
+        active = moved.where("to is not null")
+        current = ended.unionByName(active)
         done *= 2
-    still = current.join(first.select(F.col("src").alias("_s")), F.col("dst") == F.col("_s"), "left")
-    circle = F.col("_s").isNotNull()
-    return still.select("src", F.when(~circle, F.col("dst")).alias("dst"), F.when(~circle, F.col("hops")).alias("hops"))
+    ends = linked.select(F.col("at").alias("last"), F.col("dst").alias("end"))
+    known = ended.select("at", "last", "hops").join(ends, "last").select("at", "end", "hops")
+    return linked.select("src", "at").join(known, "at", "left").select("src", F.col("end").alias("dst"), "hops")
 
 
 def template_closure(pages: DataFrame, templates: DataFrame) -> DataFrame:
