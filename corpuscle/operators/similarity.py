@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -145,14 +146,35 @@ _WEIGHTS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def _ttest_of(n: float) -> Callable:
+    """weight_ttest of arrays: counts, heads' numbers of features, features' masses."""
+
+    def weigh(cnt: np.ndarray, types: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        a = types / n * (mass / n)
+        return np.divide(cnt / n - a, np.sqrt(a), out=np.zeros(len(a)), where=a != 0)
+
+    return weigh
+
+
+#: Weights that are functions of a row's count and of what its head and its feature have in all, by metric.
+_ARRAYS: dict[str, Callable[[float], Callable]] = {
+    "ttest_weighted_jaccard": _ttest_of,
+}
+
+
 def similar_words(vectors: DataFrame, metric: str = "ttest_weighted_jaccard", more: DataFrame | None = None, k: int = 50) -> DataFrame:
     """The k nearest targets of each head by a metric of METRICS; of weighted Jaccard without listing all pairs, unless the heads are so few that these are fewer than the vectors' rows."""
     if metric not in _WEIGHTS:
         return top_neighbours(METRICS[metric](vectors, more), k)
     vectors = stage(vectors.select("head", "feature", "cnt"), "vectors")
-    if has_few_heads(vectors) and vectors.select("head").distinct().count() ** 2 <= vectors.count():
+    few = has_few_heads(vectors)
+    if few and vectors.select("head").distinct().count() ** 2 <= vectors.count():
         weights = weight_ttest(vectors, more, few=True) if metric == "ttest_weighted_jaccard" else _WEIGHTS[metric](vectors, more)
         return top_neighbours(weighted_jaccard(weights.where("head is not null and weight is not null"), few=True), k)
+    if not few and more is None and metric in _ARRAYS:
+        found = neighbours.top_of_short_lists(vectors, _ARRAYS[metric], k)
+        if found is not None:
+            return top_neighbours(found, k)
     return neighbours.top_weighted_jaccard(_WEIGHTS[metric](vectors, more), k)
 
 
