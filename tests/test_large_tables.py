@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscle.functions import tree
 from corpuscle.operators import ranges, trees
 from corpuscle.plans import markup
 from corpuscle.plans.registry import ORACLE_SQL, QUERIES
@@ -47,6 +48,15 @@ def test_small_files_of_pages_are_many_tasks(spark, sf_dir):
     assert markup._customers(spark, sf_dir, markup.PAGE).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("lines", [["----"], ["{|", *["| a || b"] * 3000, "|}"], ["a", ""]])
+def test_a_page_is_parsed_in_time_that_grows_with_its_lines(monkeypatch, lines):
+    moved, put = [], tree.Node.put
+    monkeypatch.setattr(tree.Node, "put", lambda node, children: moved.append(len(children)) or put(node, children))
+    page = tree.parse("\n".join(lines if len(lines) > 2 else lines * 3000))
+    assert sum(1 for _ in page.walk()) > 3000 and sum(moved) < 20_000
+    assert all(child.parent is node for node in page.walk() for child in node.children)
+
+
 def test_nodes_below_nested_nodes_come_once(spark):
     pages = spark.createDataFrame([("a", "== A ==\n=== B ===\n==== C ====\nx"), ("b", "== A ==\ny")], "title string, text string")
     nodes = trees.node_table(pages, ())
