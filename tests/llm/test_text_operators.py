@@ -348,3 +348,58 @@ def test_language_model_against_seating_one_by_one(monkeypatch):
     expected = seated_one_by_one(4, counts, 400, 300, random.Random(5))
     assert np.abs(found.sum(axis=1) - 1).max() < 0.02 and np.abs(expected.sum(axis=1) - 1).max() < 1e-9
     assert np.abs(found - expected).max() < 0.06 and np.abs(found - expected).mean() < 0.02
+
+
+def test_language_model_knows_every_context(spark):
+    """Words that are one in thousands keep their contexts: a pair that was seen is likelier than one that was not."""
+    learned = [k for k in range(5000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    held = [k for k in range(5000) if zlib.crc32(str(k).encode()) % 7 == 2]
+    rows = [(k, f"common{k % 3} left{k % 700} right{k % 700} common{k % 5}") for k in learned]
+    rows += [(held[0], "left5 right5"), (held[1], "left5 right6"), (held[2], "left6 right6"), (held[3], "never right5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.score for r in language_model.score_documents(docs).where("held_out").collect()}
+    one, other, two, after = (found[held[k]] for k in range(4))
+    assert one > other + 2 and two > other + 2 and abs(one - two) < 0.5
+    assert one > after + 2
+
+
+def test_language_model_is_the_same_by_any_way(spark):
+    """Words and pairs held by each task, joined, or some of each: one model; null ids and texts, copies and empty texts too."""
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(3000)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for k in range(400)]
+    rows += [(500, None), (501, ""), (None, words[0]), (7, rows[7][1]), (502, "only here " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plain = language_model.score_documents(docs).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score)
+    for share in (1.0, 0.02):
+        found = language_model.score_documents(docs, local_share=share).collect()
+        for a, b in zip(sorted(plain, key=key), sorted(found, key=key), strict=True):
+            assert (a.doc_id, a.held_out, a.n_tokens, a.n_known, a.train_tokens) == (b.doc_id, b.held_out, b.n_tokens, b.n_known, b.train_tokens)
+            assert math.isclose(a.base_score, b.base_score, rel_tol=1e-9) and math.isclose(a.score, b.score, rel_tol=1e-5)
+
+
+def test_language_model_sums_to_one(spark):
+    """Texts of all words and an unknown one after each context: they lie near a plain sampler's, and steps add up to one."""
+    words = ["a", "b", "c", "unknown"]
+    number = {w: k + 1 for k, w in enumerate(words)}  # 0 is the end
+    learned = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 != 2]
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 == 2]
+    texts = ["a b a b", "a b c", "b a", "a", "c c b"]
+    asked = ["", *words, *(f"{u} {z}" for u in words for z in words)]
+    steps = lambda text: list(zip([0, *(number[w] for w in text.split())], [*(number[w] for w in text.split()), 0]))
+    counts = {}
+    for step in (x for text in texts for x in steps(text)):
+        counts[step] = counts.get(step, 0) + 1
+    expected = np.log10(seated_one_by_one(5, counts, 300, 200, random.Random(3)))
+    docs = spark.createDataFrame([*zip(learned, texts), *zip(held, asked)], "doc_id long, text string")
+    for share in (language_model.LOCAL_SHARE, 1.0):
+        found = {r.doc_id: r.score for r in language_model.score_documents(docs, local_share=share).where("held_out").collect()}
+        score = {text: found[k] for k, text in zip(held, asked)}
+        for text in asked:
+            assert abs(sum(expected[step] for step in steps(text)) - score[text]) < 0.3
+        # with x = 1 / P(end | word): x(u) = 1 + sum of P(text "u z") / P(text "u") x(z), and P(no word) + sum of P(text "z") x(z) is one
+        p = {text: 10**x for text, x in score.items()}
+        ratio = np.array([[p[f"{u} {z}"] / p[u] for z in words] for u in words])
+        x = np.linalg.solve(np.eye(4) - ratio, np.ones(4))
+        assert math.isclose(p[""] + sum(p[z] * y for z, y in zip(words, x)), 1.0, rel_tol=1e-5)
