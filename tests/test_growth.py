@@ -64,6 +64,35 @@ def test_contextual_similarity_meets_heads_by_sets(spark, monkeypatch):
     assert {(r.jt, r.jb, r.jacc) for r in found} == {(160, 160, 1.0)}
 
 
+@pytest.mark.parametrize("masked, listed", [(62, 1000), (0, 1000), (62, 9)])
+def test_contextual_similarity_sums_by_head_in_tasks(spark, monkeypatch, masked, listed):
+    """What leaves tasks grows with targets and heads, however many sets of heads the features have."""
+    texts = [" ".join(f"f{(j * k + k) % 16}" if k % 3 else f"t{k % 2}" for k in range(30)) for j in range(9)] + [None, "t0", "t3 " * 3]
+    held = {h: {f"f{k}" for k in range(16) if k >> h & 1} | {"t1"} for h in range(4)}
+    df = {f"f{k}": k + 1 for k in range(16)} | {"t0": 9, "t1": 9, "t3": 30}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    heads = spark.createDataFrame([(f"h{h}", f) for h in held for f in held[h]] + [(None, "f1"), ("h1", None), ("h0", "f1")], "head string, feature string")
+    stats_ = spark.createDataFrame([*df.items(), (None, 99)], "word string, df long")
+    sizes, stage = {}, similarity.stage
+    monkeypatch.setattr(similarity, "stage", lambda df, label: (made := stage(df, label), sizes.update({label: made.count()}))[0])
+    monkeypatch.setattr(similarity, "MASKED_HEADS", masked)
+    monkeypatch.setattr(windows, "LISTED_WORDS", listed)
+    found = similarity.contextual_similarity(docs, heads, stats_, 4, 2, 3, 9, ("f9",)).collect()
+    sums = {}
+    for text in texts:
+        w = (text or "").split()
+        for i, target in enumerate(w if len(w) > 2 else []):
+            if df[target] >= 9 and target != "f9":
+                near = {w[j] for j in range(max(0, i - 4), min(len(w), i + 4)) if j != i and df[w[j]] >= 3}
+                for h in held:
+                    n = sums.setdefault((f"h{h}", target), [0, 0, 0.0, 0.0])
+                    for k, part in ((0, near & held[h]), (1, near)):
+                        n[k], n[k + 2] = n[k] + len(part), n[k + 2] + sum(1 / df[f] for f in part)
+    assert {(r.head, r.target): (r.jt, r.jb, round(r.wt, 9), round(r.wb, 9)) for r in found} == {k: (*v[:2], *(round(x, 9) for x in v[2:])) for k, v in sums.items()}
+    if masked:
+        assert sizes["sums"] <= len({t for _, t in sums}) * (len(held) + 1)
+
+
 @pytest.mark.parametrize("metric", ["jaccard", "tf_weighted_jaccard", "tfidf_weighted_jaccard", "ttest_weighted_jaccard"])
 def test_few_heads_score_as_many_do(spark, monkeypatch, metric):
     rows = [(f"h{k % 5}", f"f{k % 7 * (k % 3)}", k % 4 + 1) for k in range(60)] + [("h9", "alone", 1), ("h8", None, 2), (None, "f0", 1)]
