@@ -1,5 +1,7 @@
 """Steps whose memory, shuffles or time grew faster than the input."""
 
+import time
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,43 @@ def test_windows_count_alike_with_lists_and_without(spark, monkeypatch, limit):
     assert {(r.word, r.word2): r.cnt for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("listed", [4, 1000])
+def test_pairs_are_counted_in_passes(spark, monkeypatch, listed):
+    """The disk holds the sums of one pass at a time; long lists are sent in parts, and pairs stay numbers."""
+    texts = [" ".join(f"w{k * j % 11}" for k in range(40)) for j in range(1, 9)] + [None, "", "w1  w2", "w1 w2 w1"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    key = lambda df: sorted((r.word, r.word2, r.cooc, r.docs) for r in df.collect())
+    want, written, stage = key(windows.cooccurrence(docs, 6, 2, 2)), [], windows.stage
+
+    def kept(df, label, free=False):
+        made = stage(df, label, free)
+        written.append((label, free, dict(made.dtypes), made.count()))
+        return made
+
+    monkeypatch.setattr(windows, "stage", kept)
+    monkeypatch.setattr(windows, "PASS_BYTES", 1)
+    monkeypatch.setattr(windows, "LISTED_WORDS", listed)
+    assert key(windows.cooccurrence(docs, 6, 2, 2)) == want != []
+    passes = [x for x in written if x[0] == "counts"]
+    assert len(passes) >= 6 and all(x[1] and x[2]["a"] == x[2]["b"] == "int" for x in passes)
+    assert sum(x[3] for x in passes) == len(want) and max(x[3] for x in passes) < len(want) / 2
+
+
+def test_a_stage_frees_its_shuffles(spark):
+    from corpuscle.sources import staging
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(manager.getAllFiles().apply(k)) for k in range(manager.getAllFiles().size())}
+    before, setting = files(), spark.conf.get(staging._CLEANUP, None)
+    rows = staging.stage(spark.range(1000).repartition("id").groupBy("id").count(), "rows", free=True)
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and rows.count() == 1000 and spark.conf.get(staging._CLEANUP, None) == setting
+
+
 def test_contextual_similarity_meets_heads_by_sets(spark, monkeypatch):
     """Pairs of target and feature are not listed again for each head: forty heads hold the same features."""
     docs = spark.createDataFrame([("t " + " ".join(f"f{k}" for k in range(j, j + 8)),) for j in range(20)], "text string")
