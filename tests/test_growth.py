@@ -1,5 +1,6 @@
 """Steps whose memory, shuffles or time grew faster than the input."""
 
+import math
 import time
 
 import pyarrow as pa
@@ -85,6 +86,21 @@ def test_a_stage_frees_its_shuffles(spark):
     assert not left and rows.count() == 1000 and spark.conf.get(staging._CLEANUP, None) == setting
 
 
+@pytest.mark.parametrize("listed", [2, 1000])
+def test_pmi_shuffles_no_pairs(spark, monkeypatch, listed):
+    rows = [(a, b, 2 + len(a) * k, 2) for k, (a, b) in enumerate((x, y) for x in ("a", "bb", "c", "dd", "e") for y in ("a", "bb", "c", "dd", "e", "f") if x != y)] + [(None, "a", 3, 2), ("a", None, 3, 2)]
+    pairs = spark.createDataFrame(rows, "word string, word2 string, cooc long, docs long")
+    monkeypatch.setattr(windows, "LISTED_WORDS", listed)
+    found = windows.pmi(pairs)
+    f = {}
+    for a, _, n, _ in rows:
+        f[a] = f.get(a, 0) + n
+    want = {(a, b): round(math.log(n * sum(f.values()) / (f[a] * f[b])), 9) for a, b, n, _ in rows if a and b in f and b}
+    assert {(r.word, r.word2): round(r.pmi, 9) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "HashJoin" not in plan and "SortMergeJoin" not in plan
+
+
 def test_contextual_similarity_meets_heads_by_sets(spark, monkeypatch):
     """Pairs of target and feature are not listed again for each head: forty heads hold the same features."""
     docs = spark.createDataFrame([("t " + " ".join(f"f{k}" for k in range(j, j + 8)),) for j in range(20)], "text string")
